@@ -17,15 +17,25 @@ from pagemill.functions.text import content_hash, fuzzy_hash, title_hash
 from pagemill.functions.urls import url_key_hash
 from pagemill.functions.values import HASH_RETENTION_DAYS
 from pagemill.operators.skew import HOT_ROWS, salted_join
-from pagemill.session import cut_lineage
+from pagemill.session import built_once, cut_lineage
 
 KEY_TYPES = ("url", "content", "title", "fuzzy")
 STRICT = ("url", "content")
 DEFAULT = ("url", "content", "fuzzy")  # an equal title never decides
 
 
-def _column_or_null(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+@built_once
+def _key_columns(present: frozenset):
+    def column(name: str) -> Column:
+        return F.col(name) if name in present else F.lit(None).cast("string")
+
+    url, title, content = column("url"), column("title"), column("content")
+    return (
+        url_key_hash(url).alias("url_key"),
+        content_hash(content).alias("content_key"),
+        title_hash(title).alias("title_key"),
+        fuzzy_hash(content, F.coalesce(title, F.lit(""))).alias("fuzzy_key"),
+    )
 
 
 def with_keys(records: DataFrame) -> DataFrame:
@@ -33,14 +43,8 @@ def with_keys(records: DataFrame) -> DataFrame:
 
     Missing ``url``, ``title`` or ``content`` columns count as null.
     """
-    url, title, content = (_column_or_null(records, c) for c in ("url", "title", "content"))
-    return records.select(
-        "*",
-        url_key_hash(url).alias("url_key"),
-        content_hash(content).alias("content_key"),
-        title_hash(title).alias("title_key"),
-        fuzzy_hash(content, F.coalesce(title, F.lit(""))).alias("fuzzy_key"),
-    )
+    present = frozenset(c for c in ("url", "title", "content") if c in records.columns)
+    return records.select("*", *_key_columns(present))
 
 
 def key_rows(keyed: DataFrame, types: Sequence[str] = KEY_TYPES, carry: Sequence[str] = ("id",)) -> DataFrame:
@@ -138,11 +142,9 @@ def _keys_of(types: Sequence[str]) -> Column:
     return F.filter(F.array(*[F.col(f"{t}_key") for t in types]), lambda k: k.isNotNull())
 
 
-def _winners(rows: DataFrame, order: str, id: str) -> DataFrame:
+def _winners(rows: DataFrame) -> DataFrame:
     """Per key the first row and the number of rows."""
-    return rows.groupBy("key_type", "key").agg(
-        F.min(F.struct(F.col(order), F.col(id).alias("_id"))).alias("w"), F.count(F.lit(1)).alias("n")
-    )
+    return rows.groupBy("key_type", "key").agg(F.min(F.struct("_o", "_i")).alias("w"), F.count(F.lit(1)).alias("n"))
 
 
 def keep_greedy(
@@ -167,43 +169,43 @@ def keep_greedy(
        rows that share a key with a kept row are dropped.  Each round settles
        at least the earliest open row; the loop runs until none is open.
     """
-    narrow = keyed.select(id, order, *[f"{t}_key" for t in types])
-    rows = key_rows(narrow, types, carry=(id, order))
+    key_columns = [f"{t}_key" for t in types]
+    narrow = keyed.select(F.col(id).alias("_i"), F.col(order).alias("_o"), *key_columns)
     single = (
-        _winners(rows, order, id).filter(F.col("n") == 1)
-        .groupBy(F.col("w._id").alias(id)).agg(F.collect_set("key_type").alias("_single"))
+        _winners(key_rows(narrow, types, carry=("_i", "_o"))).filter(F.col("n") == 1)
+        .groupBy(F.col("w._i").alias("_i")).agg(F.collect_set("key_type").alias("_single"))
     )
-    shared = narrow.join(single, id, "left").select(
-        id, order,
-        *[
-            F.when(~F.coalesce(F.array_contains("_single", t), F.lit(False)), F.col(f"{t}_key")).alias(f"{t}_key")
-            for t in types
-        ],
+    shared = cut_lineage(
+        narrow.join(single, "_i", "left").select(
+            "_i", "_o",
+            *[
+                F.when(~F.coalesce(F.array_contains("_single", t), F.lit(False)), F.col(f"{t}_key")).alias(f"{t}_key")
+                for t in types
+            ],
+        )
     )
     has_keys = F.size(_keys_of(types)) > 0
-    shared = cut_lineage(shared)
-    kept = shared.filter(~has_keys).select(id)
-    key_columns = [f"{t}_key" for t in types]
+    kept = shared.filter(~has_keys).select("_i")
     open_rows = cut_lineage(
-        shared.filter(has_keys).groupBy(*key_columns)
-        .agg(F.min(F.struct(F.col(order).alias("o"), F.col(id).alias("i"))).alias("f"))
-        .select(F.col("f.i").alias(id), F.col("f.o").alias(order), *key_columns)
+        shared.filter(has_keys).groupBy(*key_columns).agg(F.min(F.struct("_o", "_i")).alias("f"))
+        .select("f._i", "f._o", *key_columns)
     )
     while not open_rows.isEmpty():
-        long = key_rows(open_rows, types, carry=(id, order))
-        leads = _winners(long, order, id).groupBy(F.col("w._id").alias(id)).agg(F.count(F.lit(1)).alias("_leads"))
-        settled = cut_lineage(
-            open_rows.join(leads, id, "left").withColumn("_kept", F.col("_leads") == F.size(_keys_of(types)))
+        leads = (
+            _winners(key_rows(open_rows, types, carry=("_i", "_o")))
+            .groupBy(F.col("w._i").alias("_i")).agg(F.count(F.lit(1)).alias("_leads"))
         )
+        first_in_all = F.coalesce(F.col("_leads") == F.size(_keys_of(types)), F.lit(False))
+        settled = cut_lineage(open_rows.join(leads, "_i", "left").withColumn("_kept", first_in_all).drop("_leads"))
         now_kept = settled.filter("_kept")
-        kept = kept.union(now_kept.select(id))
+        kept = kept.union(now_kept.select("_i"))
+        rest = settled.filter("NOT _kept").drop("_kept")
         taken = key_rows(now_kept, types, carry=()).distinct()
-        rest = settled.filter(~F.coalesce("_kept", F.lit(False))).drop("_leads", "_kept")
         dropped = salted_join(
-            key_rows(rest, types, carry=(id,)), taken, ["key_type", "key"], "left_semi", [id], hot_rows
-        ).select(id).distinct()
-        open_rows = cut_lineage(rest.join(dropped, id, "left_anti"))
-    return kept
+            key_rows(rest, types, carry=("_i",)), taken, ["key_type", "key"], "left_semi", ["_i"], hot_rows
+        ).select("_i").distinct()
+        open_rows = cut_lineage(rest.join(dropped, "_i", "left_anti"))
+    return kept.withColumnRenamed("_i", id)
 
 
 def greedy_dedup(

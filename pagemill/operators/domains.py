@@ -33,7 +33,11 @@ def matching_domains(domains: DataFrame, entries: DataFrame, match: str = "subst
             for r in entries.select(F.length("piece").alias("n")).filter(F.col("n") <= _MAX_HOST).distinct().collect()
         ]
         positions = F.sequence(F.lit(1), F.length("domain"))
-        cuts = [F.transform(positions, lambda i, n=n: F.substring("domain", i, F.lit(n))) for n in lengths]
+
+        def pieces_of(n: int):
+            return F.transform(positions, lambda i: F.substring("domain", i, F.lit(n)))
+
+        cuts = [pieces_of(n) for n in lengths]
         whole = F.array_distinct(F.flatten(F.array(*cuts))) if cuts else F.array().cast("array<string>")
         cut = distinct.withColumn("piece", F.explode(whole))
     return cut.join(entries, "piece", "left_semi").select("domain").distinct()

@@ -16,6 +16,7 @@ from pagemill.functions import html as H
 from pagemill.functions.text import clean_text, word_count
 from pagemill.functions.urls import let, link_targets, resolve_url
 from pagemill.operators.tree import RAW_TYPE, tree_fields
+from pagemill.session import built_once
 
 RECORD_COLUMNS = (
     "title", "content", "meta_description", "meta_keywords", "language", "author", "canonical_url",
@@ -23,20 +24,31 @@ RECORD_COLUMNS = (
 )
 
 
+@built_once
+def _reading_columns(html: str):
+    stripped, main = F.col("_stripped"), F.col("_main")
+    return (
+        H.strip_boilerplate(F.col(html)),
+        H.main_inner(stripped),
+        F.when(H.needs_tree(stripped, main), F.col(html)),
+        H.raw_fields(stripped, main),
+    )
+
+
 def with_raw_fields(pages: DataFrame, html: str = "html", mode: str = "auto") -> DataFrame:
     """Adds ``_raw``, the pieces of each page: ``mode`` is 'sql', 'tree', or 'auto' (decided per page)."""
-    page = F.col(html)
     if mode == "tree":
-        return pages.withColumn("_raw", F.when(page.isNotNull(), tree_fields(page)))
-    stripped, main, tree_page = F.col("_stripped"), F.col("_main"), F.col("_tree_page")
-    read = pages.withColumn("_stripped", H.strip_boilerplate(page)).withColumn("_main", H.main_inner(stripped))
+        return pages.withColumn("_raw", F.when(F.col(html).isNotNull(), tree_fields(F.col(html))))
+    stripped, main, tree_page, raw = _reading_columns(html)
+    read = pages.withColumn("_stripped", stripped).withColumn("_main", main)
     if mode == "sql":
-        return read.withColumn("_raw", H.raw_fields(stripped, main)).drop("_stripped", "_main")
+        return read.withColumn("_raw", raw).drop("_stripped", "_main")
+    wanted = F.col("_tree_page")
     return (
-        read.withColumn("_tree_page", F.when(H.needs_tree(stripped, main), page))
-        .withColumn("_raw", F.when(tree_page.isNull(), H.raw_fields(stripped, main)))
-        .withColumn("_tree", tree_fields(tree_page))
-        .withColumn("_raw", F.when(tree_page.isNotNull(), F.col("_tree")).otherwise(F.col("_raw")))
+        read.withColumn("_tree_page", tree_page)
+        .withColumn("_raw", F.when(wanted.isNull(), raw))
+        .withColumn("_tree", tree_fields(wanted))
+        .withColumn("_raw", F.when(wanted.isNotNull(), F.col("_tree")).otherwise(F.col("_raw")))
         .drop("_stripped", "_main", "_tree_page", "_tree")
     )
 
@@ -67,21 +79,8 @@ def _schema_org(html: Column, microdata: Column) -> Column:
     )
 
 
-def extract_pages(
-    pages: DataFrame,
-    mode: str = "auto",
-    url: str = "url",
-    html: str = "html",
-    allowed: Sequence[str] = (),
-    blocked: Sequence[str] = (),
-    strict_compat: bool = False,
-) -> DataFrame:
-    """Adds the record columns to ``pages`` and drops the raw page.
-
-    ``strict_compat`` applies the file-type rule to images as well, which
-    drops ordinary image addresses.
-    """
-    raw = with_raw_fields(pages, html, mode)
+@built_once
+def _record_columns(url: str, html: str, allowed: tuple, blocked: tuple, strict_compat: bool):
     r, u = F.col("_raw"), F.col(url)
     empty = F.array().cast("array<string>")
     headings = F.map_from_arrays(
@@ -94,8 +93,7 @@ def extract_pages(
         ]),
     )
     canonical = F.when(F.coalesce(r["canonical"], F.lit("")) != "", resolve_url(u, r["canonical"]))
-    out = raw.select(
-        *[c for c in pages.columns if c != html],
+    return (
         _cleaned(r["title"]).alias("title"),
         _cleaned(r["content"]).alias("content"),
         _cleaned(r["meta"]["description"]).alias("meta_description"),
@@ -111,8 +109,29 @@ def extract_pages(
         _schema_org(F.col(html), r["microdata"]).alias("schema_org_data"),
         r["parse_error"].alias("parse_error"),
     )
-    return out.withColumn("word_count", word_count(F.col("content"))).select(
-        *[c for c in pages.columns if c != html], *RECORD_COLUMNS
+
+
+def extract_pages(
+    pages: DataFrame,
+    mode: str = "auto",
+    url: str = "url",
+    html: str = "html",
+    allowed: Sequence[str] = (),
+    blocked: Sequence[str] = (),
+    strict_compat: bool = False,
+) -> DataFrame:
+    """Adds the record columns to ``pages`` and drops the raw page.
+
+    ``strict_compat`` applies the file-type rule to images as well, which
+    drops ordinary image addresses.
+    """
+    kept = [c for c in pages.columns if c != html]
+    columns = _record_columns(url, html, tuple(allowed), tuple(blocked), strict_compat)
+    return (
+        with_raw_fields(pages, html, mode)
+        .select(*kept, *columns)
+        .withColumn("word_count", word_count(F.col("content")))
+        .select(*kept, *RECORD_COLUMNS)
     )
 
 

@@ -144,13 +144,14 @@ def export_metrics(points: DataFrame, n: int = METRIC_EXPORT) -> DataFrame:
 
     At most ``n`` points of a metric meet in a row.
     """
-    point = F.struct("rank", "ts", "value", "labels")
+    newest_last = (-F.col("rank")).alias("o")
+    point = F.struct(newest_last, "ts", "value", F.map_entries("labels").alias("labels"))
     return recent_points(points, n).groupBy("name", "type").agg(
         F.max_by("value", F.struct("ts", "seq")).alias("current_value"),
         F.transform(
-            F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("o"), point.alias("p")))),
+            F.sort_array(F.collect_list(point)),
             lambda x: F.struct(
-                x["p"]["ts"].alias("timestamp"), x["p"]["value"].alias("value"), x["p"]["labels"].alias("labels")
+                x["ts"].alias("timestamp"), x["value"].alias("value"), F.map_from_entries(x["labels"]).alias("labels")
             ),
         ).alias("points"),
     )

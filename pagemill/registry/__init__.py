@@ -4,7 +4,7 @@ import importlib
 
 from pagemill.registry.base import QUERIES, Query
 
-_AREAS = ("url_queries", "page_queries")
+_AREAS = ("url_queries", "page_queries", "dedup_queries", "crawl_queries", "store_queries", "metric_queries")
 
 
 def all_queries() -> dict[str, Query]:

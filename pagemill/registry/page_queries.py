@@ -198,7 +198,7 @@ def page_content_by_class(spark, folder):
 @query(f"""
 WITH {SQL_PARSED}
 SELECT page_id, CAST(NULL AS VARCHAR) AS parse_error,
-  {sql_clean(sql_decode("regexp_replace(regexp_replace(regexp_replace(regexp_extract(s, '(?is)<body>(.*)</body>', 1), '(?is)<nav>.*?</nav>', ' ', 'g'), '(?is)<footer>.*?</footer>', ' ', 'g'), '<[^>]*>', ' ', 'g')"))} AS content,
+  {sql_clean(sql_decode("regexp_replace(regexp_replace(regexp_replace(split_part(s, '<body>', 2), '(?is)<nav>.*?</nav>', ' ', 'g'), '(?is)<footer>.*?</footer>', ' ', 'g'), '<[^>]*>', ' ', 'g')"))} AS content,
   0 AS n_links
 FROM stripped""")
 def page_content_body(spark, folder):

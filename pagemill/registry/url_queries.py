@@ -108,11 +108,11 @@ def url_valid(spark, folder):
     )
 
 
-@query(rf"""
-SELECT page_id, sha256(url) AS storage_hash,
-  sha256(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''),
-    '([?&])(ref|utm_source)=[^&]*', '\1', 'g'), '[?&]+$', ''), '([^/])/$', '\1'))) AS url_key_hash
-FROM pages""")
+SQL_URL_KEY_HASH = r"""sha256(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''),
+    '([?&])(ref|utm_source)=[^&]*', '\1', 'g'), '[?&]+$', ''), '([^/])/$', '\1')))"""
+
+
+@query(f"SELECT page_id, sha256(url) AS storage_hash, {SQL_URL_KEY_HASH} AS url_key_hash FROM pages")
 def url_hash(spark, folder):
     url = F.col("url")
     return table(spark, folder, "pages").select(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # What we ask of a session we create ourselves.  A session handed in by the
@@ -72,3 +74,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def built_once(function):
+    """Keep the Columns a function builds, per JVM: large expressions take seconds to assemble.
+
+    Arguments must be hashable (names and settings, not Columns).
+    """
+    built = {}
+
+    @functools.wraps(function)
+    def wrapper(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in built:
+            built[key] = function(*args)
+        return built[key]
+
+    return wrapper

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagemill.functions.values import HASH_RETENTION_DAYS, PRIORITY_HIGH, REPORT_SECONDS
 from pagemill.operators.dedup import DEFAULT, greedy_dedup, key_rows, with_keys
@@ -13,7 +13,7 @@ from pagemill.operators.extract import extract_pages
 from pagemill.operators.frontier import tasks
 from pagemill.schemas import PAGES, SEEN_KEYS
 
-_KEYS_SCHEMA = StructType(SEEN_KEYS.fields).add("batch_id", "bigint")
+_KEYS_SCHEMA = StructType([*SEEN_KEYS.fields, StructField("batch_id", LongType())])
 
 
 def stream_pages(
