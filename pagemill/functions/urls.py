@@ -51,7 +51,7 @@ def url_domain(url: Column) -> Column:
     """Authority with port, lower case; '' if there is none, 'unknown' if unreadable."""
     return let(
         url_parts(url),
-        lambda p: F.when(p.isNull() | _malformed(p), F.lit("unknown")).otherwise(
+        lambda p: F.when(url.isNull() | _malformed(p), F.lit("unknown")).otherwise(
             F.lower(F.substr(p[_AUTHORITY], F.lit(3)))
         ),
     )

@@ -91,7 +91,7 @@ def rule_verdict(url: Column, rules: Column) -> Column:
     """First rule in file order whose path starts the URL's; none allows."""
 
     def first(path: Column) -> Column:
-        hit = F.filter(rules, lambda r: (r["path"] == "%2A") | F.startswith(path, r["path"]))
+        hit = F.filter(rules, lambda r: F.startswith(path, r["path"]))
         return F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))
 
     local = _quoted(url_local_part(url))

@@ -12,7 +12,7 @@ from pagemill.plans.crawl import page_facts, replay_summary
 from pagemill.registry.base import SQL_PARSED, SQL_URL_PARTS, query, table
 from pagemill.schemas import FRONTIER
 from pagemill.session import work_folder, written
-from pagemill.streaming.ingest import as_instant, as_utc_text_time, load_frontier, recrawl_due, save_frontier
+from pagemill.streaming.ingest import as_instant, without_zone, load_frontier, recrawl_due, save_frontier
 
 # --- fetch records, made from the events -----------------------------------
 
@@ -153,7 +153,7 @@ def robots_fresh(spark, folder):
     )
     files = events.filter(F.col("event_type") == "signup").select("origin", F.col("ts").alias("fetched_at"))
     fresh = robots.fresh_rules_for(events.drop("event_type"), files)
-    return fresh.select("event_id", as_utc_text_time(F.col("fetched_at")).alias("fetched_at"))
+    return fresh.select("event_id", without_zone(F.col("fetched_at")).alias("fetched_at"))
 
 
 # --- the frontier, made from the pages -------------------------------------

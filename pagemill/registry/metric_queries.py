@@ -198,7 +198,7 @@ def _log_files(spark, folder):
   value AS stat_value, ts FROM events""")
 def log_records(spark, folder):
     rows = read_logs(spark, _log_files(spark, folder))
-    return rows.select("line", "level", "stat_value", ingest.as_utc_text_time(F.col("ts")).alias("ts"))
+    return rows.select("line", "level", "stat_value", ingest.without_zone(F.col("ts")).alias("ts"))
 
 
 @query("SELECT CAST(event_id AS INTEGER) AS line FROM events WHERE event_type <> 'signup' AND NOT (event_type = 'view' AND value < 10)")
@@ -222,7 +222,7 @@ SELECT time_bucket(INTERVAL 30 SECOND, ts) AS window_start, count(*) AS crawled,
 FROM events GROUP BY 1""")
 def progress_30s(spark, folder):
     rows = ingest.progress(crawl_log(spark, folder))
-    return _rounded(rows.withColumn("window_start", ingest.as_utc_text_time(F.col("window_start"))), "average_response_time")
+    return _rounded(rows.withColumn("window_start", ingest.without_zone(F.col("window_start"))), "average_response_time")
 
 
 def _event_stream(spark, folder):
@@ -251,7 +251,7 @@ def stream_progress(spark, folder):
     ).trigger(availableNow=True).start().awaitTermination()
     written = spark.read.parquet(path)
     latest = written.groupBy("window_start").agg(F.max_by(F.struct("crawled", "errors"), "batch_id").alias("r"))
-    return latest.select(ingest.as_utc_text_time(F.col("window_start")).alias("window_start"), "r.crawled", "r.errors")
+    return latest.select(ingest.without_zone(F.col("window_start")).alias("window_start"), "r.crawled", "r.errors")
 
 
 @query("SELECT DISTINCT user_id FROM events")

@@ -32,11 +32,14 @@ def content_rows(records: DataFrame, stored_at: Column) -> DataFrame:
 
 
 def store_content(records: DataFrame, path: str, stored_at: Column | None = None, files_per_prefix: int = 1) -> None:
-    """Append records; one task per prefix and part, so no task writes many small files."""
+    """Append records, ``files_per_prefix`` files per prefix (choose it for files of about 1 GB).
+
+    The hash spreads rows evenly over prefixes and parts, whatever the URLs.
+    """
     rows = content_rows(records, F.current_timestamp() if stored_at is None else stored_at)
     part = F.pmod(F.conv(F.substring("url_hash", PREFIX_LENGTH + 1, 4), 16, 10).cast("int"), F.lit(files_per_prefix))
     (
-        rows.repartition("hash_prefix", part)
+        rows.repartition(16**PREFIX_LENGTH * files_per_prefix, "hash_prefix", part)
         .write.mode("append").partitionBy("hash_prefix").parquet(path)
     )
 
@@ -115,6 +118,6 @@ def storage_stats(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the newest rows of all keys to a new folder."""
     (
-        read_content(spark, path).repartition("hash_prefix")
+        read_content(spark, path).repartition(16**PREFIX_LENGTH, "hash_prefix")
         .write.partitionBy("hash_prefix").parquet(target)
     )

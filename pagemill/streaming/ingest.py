@@ -98,16 +98,22 @@ def dedup_one_key(records: DataFrame, key: str, ts: str, days: int = HASH_RETENT
     return records.withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark([key])
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def as_instant(ts: Column) -> Column:
     """A time without zone, read as UTC whatever the session's zone."""
-    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, ts))
+    since = ts - F.expr(_EPOCH)
+    minutes = (F.extract(F.lit("DAY"), since) * 24 + F.extract(F.lit("HOUR"), since)) * 60 + F.extract(F.lit("MINUTE"), since)
+    return F.timestamp_micros(
+        minutes * 60_000_000 + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+    )
 
 
-def as_utc_text_time(ts: Column) -> Column:
+def without_zone(ts: Column) -> Column:
     """The reverse of :func:`as_instant`."""
-    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), epoch)
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=seconds)
 
 
 def progress(log: DataFrame, seconds: int = REPORT_SECONDS, watermark: str | None = None) -> DataFrame:
