@@ -106,7 +106,7 @@ def as_instant(ts: Column) -> Column:
     since = ts - F.expr(_EPOCH)
     minutes = (F.extract(F.lit("DAY"), since) * 24 + F.extract(F.lit("HOUR"), since)) * 60 + F.extract(F.lit("MINUTE"), since)
     return F.timestamp_micros(
-        minutes * 60_000_000 + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+        minutes.cast("bigint") * 60_000_000 + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
     )
 
 
