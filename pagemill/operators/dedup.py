@@ -57,10 +57,13 @@ def key_rows(keyed: DataFrame, types: Sequence[str] = KEY_TYPES, carry: Sequence
 
 
 def duplicate_flags(keyed: DataFrame, seen: DataFrame, id: str = "id", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Four flags per row: is its key of that type among the ``seen`` keys (``key_type, key``)?"""
+    """Four flags per row: is its key of that type among the ``seen`` keys (``key_type, key``)?
+
+    ``keyed`` is read three times: hand in a table or something materialised.
+    """
     rows = key_rows(keyed, carry=(id,))
     hits = salted_join(
-        rows, seen.select("key_type", "key").distinct(), ["key_type", "key"], "left_semi", [id], hot_rows
+        rows, seen.select("key_type", "key"), ["key_type", "key"], "left_semi", [id], hot_rows
     )
     flags = hits.groupBy(id).agg(
         *[F.max(F.col("key_type") == t).alias(f"{t}_duplicate") for t in KEY_TYPES]
@@ -112,13 +115,24 @@ def first_seen_flags(keyed: DataFrame, order: str, id: str = "id") -> DataFrame:
     )
 
 
-def duplicate_stats(flagged: DataFrame, approximate: bool = False) -> DataFrame:
-    """Checks, hits per type (titles counted too) and sizes of the key sets."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+def duplicate_stats(flagged: DataFrame, sizes: str = "exact") -> DataFrame:
+    """Checks, hits per type (titles counted too) and sizes of the key sets.
+
+    ``sizes='first_seen'`` is for flags from :func:`first_seen_flags`: there
+    every key has one row that is no duplicate, so the sets need no distinct
+    count.  'exact' and 'approximate' work for any flags.
+    """
+
+    def size(t: str) -> Column:
+        key = F.col(f"{t}_key")
+        if sizes == "first_seen":
+            return F.count_if(key.isNotNull() & ~F.col(f"{t}_duplicate"))
+        return F.approx_count_distinct(key) if sizes == "approximate" else F.count_distinct(key)
+
     return flagged.agg(
         F.count(F.lit(1)).alias("total_checks"),
         *[F.count_if(F.col(f"{t}_duplicate")).alias(f"{t}_duplicates") for t in KEY_TYPES],
-        *[distinct(F.col(f"{t}_key")).alias(f"total_{t}_hashes") for t in KEY_TYPES],
+        *[size(t).alias(f"total_{t}_hashes") for t in KEY_TYPES],
     )
 
 
@@ -200,7 +214,7 @@ def keep_greedy(
         now_kept = settled.filter("_kept")
         kept = kept.union(now_kept.select("_i"))
         rest = settled.filter("NOT _kept").drop("_kept")
-        taken = key_rows(now_kept, types, carry=()).distinct()
+        taken = key_rows(now_kept, types, carry=())
         dropped = salted_join(
             key_rows(rest, types, carry=("_i",)), taken, ["key_type", "key"], "left_semi", ["_i"], hot_rows
         ).select("_i").distinct()
@@ -220,7 +234,7 @@ def greedy_dedup(
     candidates = keyed
     if seen is not None:
         hits = salted_join(
-            key_rows(keyed, types, carry=(id,)), seen.select("key_type", "key").distinct(),
+            key_rows(keyed, types, carry=(id,)), seen.select("key_type", "key"),
             ["key_type", "key"], "left_semi", [id], hot_rows,
         ).select(id).distinct()
         candidates = keyed.join(hits, id, "left_anti")

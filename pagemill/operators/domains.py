@@ -46,10 +46,10 @@ def matching_domains(domains: DataFrame, entries: DataFrame, match: str = "subst
 def filter_domains(
     urls: DataFrame, allowed: DataFrame | None = None, blocked: DataFrame | None = None, match: str = "substring"
 ) -> DataFrame:
-    """Keep rows of ``urls`` (with a ``domain`` column) that no list rejects."""
+    """Keep rows of ``urls`` (``url``, ``domain``) that no list rejects."""
     out = urls
     if blocked is not None:
-        out = salted_join(out, matching_domains(urls, blocked, match), ["domain"], "left_anti", out.columns)
+        out = salted_join(out, matching_domains(urls, blocked, match), ["domain"], "left_anti", ["url"])
     if allowed is not None:
-        out = salted_join(out, matching_domains(urls, allowed, match), ["domain"], "left_semi", out.columns)
+        out = salted_join(out, matching_domains(urls, allowed, match), ["domain"], "left_semi", ["url"])
     return out.select(*urls.columns)

@@ -32,24 +32,32 @@ def _reading_columns(html: str):
         H.main_inner(stripped),
         F.when(H.needs_tree(stripped, main), F.col(html)),
         H.raw_fields(stripped, main),
+        H.json_ld(F.col(html)),
     )
 
 
 def with_raw_fields(pages: DataFrame, html: str = "html", mode: str = "auto") -> DataFrame:
-    """Adds ``_raw``, the pieces of each page: ``mode`` is 'sql', 'tree', or 'auto' (decided per page)."""
+    """Replaces the page by ``_raw``, its pieces, and ``_json_ld``.
+
+    ``mode`` is 'sql', 'tree', or 'auto' (decided per page).  Everything that
+    needs the page text is read before the Python stage, so the rows that wait
+    for it carry no text beyond what goes to Python.
+    """
+    stripped, main, tree_page, raw, json_ld = _reading_columns(html)
+    with_json = pages.withColumn("_json_ld", json_ld)
     if mode == "tree":
-        return pages.withColumn("_raw", F.when(F.col(html).isNotNull(), tree_fields(F.col(html))))
-    stripped, main, tree_page, raw = _reading_columns(html)
-    read = pages.withColumn("_stripped", stripped).withColumn("_main", main)
+        return with_json.withColumn("_raw", F.when(F.col(html).isNotNull(), tree_fields(F.col(html)))).drop(html)
+    read = with_json.withColumn("_stripped", stripped).withColumn("_main", main)
     if mode == "sql":
-        return read.withColumn("_raw", raw).drop("_stripped", "_main")
+        return read.withColumn("_raw", raw).drop("_stripped", "_main", html)
     wanted = F.col("_tree_page")
     return (
         read.withColumn("_tree_page", tree_page)
         .withColumn("_raw", F.when(wanted.isNull(), raw))
+        .drop("_stripped", "_main", html)
         .withColumn("_tree", tree_fields(wanted))
         .withColumn("_raw", F.when(wanted.isNotNull(), F.col("_tree")).otherwise(F.col("_raw")))
-        .drop("_stripped", "_main", "_tree_page", "_tree")
+        .drop("_tree_page", "_tree")
     )
 
 
@@ -58,10 +66,10 @@ def _cleaned(text: Column) -> Column:
     return F.when(text.isNotNull(), clean_text(text))
 
 
-def _schema_org(html: Column, microdata: Column) -> Column:
+def _schema_org(json_ld: Column, microdata: Column) -> Column:
     """Type -> objects as JSON, JSON-LD before microdata, in document order."""
     items = F.concat(
-        H.json_ld(html),
+        F.coalesce(json_ld, F.array().cast("array<struct<type:string,json:string>>")),
         F.transform(
             F.coalesce(microdata, F.array().cast(RAW_TYPE["microdata"].dataType)),
             lambda m: F.struct(m["type"].alias("type"), F.to_json(m["props"]).alias("json")),
@@ -80,7 +88,7 @@ def _schema_org(html: Column, microdata: Column) -> Column:
 
 
 @built_once
-def _record_columns(url: str, html: str, allowed: tuple, blocked: tuple, strict_compat: bool):
+def _record_columns(url: str, allowed: tuple, blocked: tuple, strict_compat: bool):
     r, u = F.col("_raw"), F.col(url)
     empty = F.array().cast("array<string>")
     headings = F.map_from_arrays(
@@ -106,7 +114,7 @@ def _record_columns(url: str, html: str, allowed: tuple, blocked: tuple, strict_
             u, F.coalesce(r["srcs"], empty), allowed, blocked, check_extension=strict_compat
         ).alias("images"),
         headings.alias("headings"),
-        _schema_org(F.col(html), r["microdata"]).alias("schema_org_data"),
+        _schema_org(F.col("_json_ld"), r["microdata"]).alias("schema_org_data"),
         r["parse_error"].alias("parse_error"),
     )
 
@@ -126,7 +134,7 @@ def extract_pages(
     drops ordinary image addresses.
     """
     kept = [c for c in pages.columns if c != html]
-    columns = _record_columns(url, html, tuple(allowed), tuple(blocked), strict_compat)
+    columns = _record_columns(url, tuple(allowed), tuple(blocked), strict_compat)
     return (
         with_raw_fields(pages, html, mode)
         .select(*kept, *columns)

@@ -9,7 +9,7 @@ from pagemill.functions.urls import url_domain
 from pagemill.functions.values import (
     POLITENESS_DELAY, PRIORITY_CRITICAL, PRIORITY_HIGH, PRIORITY_LOW, PRIORITY_NORMAL, RETRY_ATTEMPTS,
 )
-from pagemill.operators.skew import rank_in_group, salted_join, top_k_per_group
+from pagemill.operators.skew import rank_in_group, top_k_per_group
 
 PRIORITY_LABELS = {
     PRIORITY_LOW: "LOW", PRIORITY_NORMAL: "NORMAL", PRIORITY_HIGH: "HIGH", PRIORITY_CRITICAL: "CRITICAL",
@@ -56,9 +56,9 @@ def new_tasks(candidates: DataFrame, processed: DataFrame, frontier: DataFrame |
         "url", "b.domain", "b.depth", (-F.col("b.neg_priority")).cast("int").alias("priority"),
         "b.parent_url", "b.discovered_time", "b.retry_count",
     )
-    out = merged.join(processed.select("url").distinct(), "url", "left_anti")
+    out = merged.join(processed.select("url"), "url", "left_anti")
     if frontier is not None:
-        out = out.join(frontier.select("url").distinct(), "url", "left_anti")
+        out = out.join(frontier.select("url"), "url", "left_anti")
     return out
 
 
@@ -122,20 +122,19 @@ def plan_batch(
     so the ranking keeps at most horizon/delay rows of a domain.
     """
     order = [-F.col("priority"), F.col("seq")]
+    seen = last_access.groupBy("domain").agg(F.max("ts").alias("_last"))
     if horizon is not None:
         k = max(1, int(-(-horizon // delay)))
-        ranked = top_k_per_group(frontier, ["domain"], order, k, ["seq"])
+        ranked = top_k_per_group(frontier, ["domain"], order, k, ["seq"]).join(seen, "domain", "left")
     else:
-        ranked = rank_in_group(frontier, ["domain"], [-F.col("priority")], "seq")
-    seen = last_access.groupBy("domain").agg(F.max("ts").alias("_last"))
-    slots = ranked.withColumn("slot", (F.col("rank") - 1).cast("bigint")).drop("rank")
+        ranked = rank_in_group(frontier, ["domain"], [-F.col("priority")], "seq", group_facts=seen)
     not_before = F.when(
         F.col("_last").isNotNull(), _seconds("_last") + (F.col("slot") + 1) * F.lit(float(delay))
     ).otherwise(F.col("slot") * F.lit(float(delay)))
     planned = (
-        salted_join(slots, seen, ["domain"], "left", ["seq"])
+        ranked.withColumn("slot", (F.col("rank") - 1).cast("bigint"))
         .withColumn("not_before", not_before)
-        .drop("_last")
+        .drop("_last", "rank")
     )
     if max_pages:
         planned = planned.orderBy("slot", F.desc("priority"), "seq").limit(max_pages)

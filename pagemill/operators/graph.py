@@ -38,13 +38,14 @@ def targets(edges: DataFrame) -> DataFrame:
 def one_hop(records: DataFrame, processed: DataFrame, depth: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """New URLs one link away: targets within the depth bound and not processed."""
     reached = targets(link_edges(records, depth)).filter(F.col("depth") <= max_depth)
-    return reached.join(processed.select("url").distinct(), "url", "left_anti")
+    return reached.join(processed.select("url"), "url", "left_anti")
 
 
 def crawl_depth(links: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Least depth of every URL reachable from the seeds, at most ``max_depth``.
 
-    ``links`` is ``(url, links)`` of stored pages.  One level per round; URLs
+    ``links`` is ``(url, links)`` of stored pages; it is joined once per
+    level, so hand it in as ``session.placed_by(links, "url")``.  One level per round; URLs
     without a stored page are reached but lead nowhere.  Stops when a level
     is empty.
     """

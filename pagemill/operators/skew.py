@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,10 +35,13 @@ def salted_join(
     """Join ``facts`` to ``lookup``, spreading hot fact keys over ``salts`` tasks.
 
     Only the lookup rows of hot keys are copied, once per salt; all other
-    rows join as usual.  ``how`` is inner, left, left_semi or left_anti.
+    rows join as usual.  Fact rows with a null key match nothing and are
+    spread too.  ``how`` is inner, left, left_semi or left_anti.  ``facts``
+    is read twice, so hand in a scan or something materialised.
     """
     hot = hot_keys(facts, on, hot_rows).withColumn("_hot", F.lit(True))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    salt = F.when(F.coalesce("_hot", F.lit(False)) | no_key, F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
     zero, last = F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")
     copies = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
     left = facts.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_hot")
@@ -68,14 +72,20 @@ def top_k_per_group(
 
 
 def rank_in_group(
-    df: DataFrame, keys: Sequence[str], leading: Sequence[Column], seq: str, width: int = 1 << 18
+    df: DataFrame,
+    keys: Sequence[str],
+    leading: Sequence[Column],
+    seq: str,
+    width: int = 1 << 18,
+    group_facts: DataFrame | None = None,
 ) -> DataFrame:
     """``rank`` (from 1) of every row of its group, ordered by ``leading`` then ``seq``.
 
     ``seq`` is a unique integer, so one (group, leading, seq div width) cell
     holds at most ``width`` rows.  Rows are ranked inside their cell; the rows
     of earlier cells come from per-cell counts.  No group meets in one task,
-    however large it is.
+    however large it is.  ``group_facts`` (one row per group) is joined to the
+    cell counts, so its columns reach every row without a join by group.
     """
     names = [f"_l{i}" for i in range(len(leading))]
     cells = df.withColumn("_cell", F.floor(F.col(seq) / F.lit(width)).cast("bigint"))
@@ -89,6 +99,8 @@ def rank_in_group(
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    if group_facts is not None:
+        offsets = offsets.join(group_facts, list(keys), "left")
     inside = F.row_number().over(Window.partitionBy(*cell_keys).orderBy(seq))
     return (
         cells.withColumn("_inside", inside)

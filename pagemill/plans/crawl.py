@@ -9,7 +9,7 @@ from pagemill.functions.values import MAX_DEPTH
 from pagemill.operators.dedup import DEFAULT, greedy_dedup, key_rows, with_keys
 from pagemill.operators.extract import extract_pages
 from pagemill.operators.graph import link_edges, targets
-from pagemill.session import cut_lineage, written
+from pagemill.session import cut_lineage, placed_by
 
 _STATES = ("stored", "duplicate", "error")
 
@@ -17,8 +17,8 @@ _STATES = ("stored", "duplicate", "error")
 def page_facts(pages: DataFrame, mode: str = "auto", **rules) -> DataFrame:
     """What a replay needs of a page, computed once: success, keys and links.
 
-    Written out, so the rounds read narrow columns and never a page text.
-    A page without content counts as a failed fetch.
+    Materialised by URL, so the rounds neither read a page text nor move the
+    facts again.  A page without content counts as a failed fetch.
     """
     ok = F.coalesce(F.col("html"), F.lit("")) != ""
     if "error" in pages.columns:
@@ -26,7 +26,7 @@ def page_facts(pages: DataFrame, mode: str = "auto", **rules) -> DataFrame:
     facts = with_keys(extract_pages(pages.withColumn("ok", ok), mode, **rules)).select(
         "url", "ok", "links", *[f"{t}_key" for t in DEFAULT]
     )
-    return written(facts, "page-facts")
+    return placed_by(facts, "url")
 
 
 def crawl_replay(

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.functions.values import EMAIL_MASK, EMAIL_PATTERN, WS
+from pagemill.sources.tables import spread
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +32,13 @@ def query(sql: str | None = None):
     return register
 
 
+# Tables whose rows are costly to process.
+_HEAVY = {"pages": "page_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    scan = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(scan, _HEAVY[name]) if name in _HEAVY else scan
 
 
 # --- SQL pieces (DuckDB) ---------------------------------------------------

@@ -11,7 +11,7 @@ from pagemill.plans.crawl import crawl_replay as replay
 from pagemill.plans.crawl import page_facts, replay_summary
 from pagemill.registry.base import SQL_PARSED, SQL_URL_PARTS, query, table
 from pagemill.schemas import FRONTIER
-from pagemill.session import work_folder, written
+from pagemill.session import placed_by, work_folder, written
 from pagemill.streaming.ingest import as_instant, without_zone, load_frontier, recrawl_due, save_frontier
 
 # --- fetch records, made from the events -----------------------------------
@@ -377,7 +377,7 @@ walk(url, depth) AS (
 )
 SELECT url, min(depth) AS depth FROM walk GROUP BY url""")
 def crawl_depth(spark, folder):
-    links = written(extract_pages(linked_pages(spark, folder)).select("url", "links"), "linked-pages")
+    links = placed_by(extract_pages(linked_pages(spark, folder)).select("url", "links"), "url")
     return graph.crawl_depth(links, _roots(spark, folder)).select("url", "depth")
 
 

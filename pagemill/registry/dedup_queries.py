@@ -91,7 +91,7 @@ SELECT count(*) AS total_checks, count(*) FILTER (u) AS url_duplicates, count(*)
   count(DISTINCT title_key) AS total_title_hashes FROM flags""")
 def dedup_stats(spark, folder):
     flagged = D.first_seen_flags(keyed_pages(spark, folder), "id")
-    return D.duplicate_stats(flagged).drop("fuzzy_duplicates", "total_fuzzy_hashes")
+    return D.duplicate_stats(flagged, "first_seen").drop("fuzzy_duplicates", "total_fuzzy_hashes")
 
 
 @query()

@@ -83,7 +83,7 @@ def final_report(spark, folder):
     """The closing report: crawl, frontier, fetch and duplicate figures in one relation."""
     summary = metrics.crawl_summary(crawl_log(spark, folder))
     queued = page_frontier(spark, folder)
-    duplicates = dedup.duplicate_stats(dedup.first_seen_flags(keyed_pages(spark, folder), "id"))
+    duplicates = dedup.duplicate_stats(dedup.first_seen_flags(keyed_pages(spark, folder), "id"), "first_seen")
     return metrics.final_report({
         "crawl": summary.select(
             "urls_crawled", F.round(F.col("total_bytes_downloaded") / 1048576, 6).alias("megabytes")

@@ -26,7 +26,7 @@ CONTENT = _schema(
     url_hash=_text, url=_text, title=_text, content=_text, meta_description=_text, meta_keywords=_text, language=_text,
     author=_text, canonical_url=_text, word_count=IntegerType(), links=_texts, images=_texts,
     headings=MapType(_text, _texts), schema_org_data=_text, stored_at=TimestampType(), storage_version=_text,
-    hash_prefix=_text,
+    row_hash=LongType(), hash_prefix=_text,
 )
 
 FRONTIER = _schema(

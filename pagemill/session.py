@@ -69,6 +69,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def placed_by(df: DataFrame, key: str) -> DataFrame:
+    """Materialise ``df`` hash-partitioned by ``key``: later joins on ``key`` do not move it again."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartition(partitions, key))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`cut_lineage`, as Parquet: keeps column pruning and filter pushdown."""
     path = work_folder(df.sparkSession, name)

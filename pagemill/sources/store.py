@@ -26,6 +26,7 @@ def content_rows(records: DataFrame, stored_at: Column) -> DataFrame:
         .withColumn("schema_org_data", F.when(F.size("schema_org_data") > 0, structured))
         .withColumn("stored_at", stored_at)
         .withColumn("storage_version", F.lit(STORAGE_VERSION))
+        .withColumn("row_hash", F.xxhash64("title", "content", "word_count"))
         .withColumn("hash_prefix", F.substring("url_hash", 1, PREFIX_LENGTH))
     )
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CONTENT])
@@ -46,8 +47,9 @@ def store_content(records: DataFrame, path: str, stored_at: Column | None = None
 
 def _newest(rows: DataFrame) -> DataFrame:
     # Spark trims every task to one row per key before the shuffle (window
-    # group limit), so a URL stored very often does not pile up anywhere.
-    latest = Window.partitionBy("url_hash").orderBy(F.desc("stored_at"), F.xxhash64("content", "title"))
+    # group limit), so a URL stored very often does not pile up anywhere.  The
+    # stored row hash breaks ties, so no text is read that is not asked for.
+    latest = Window.partitionBy("url_hash").orderBy(F.desc("stored_at"), "row_hash")
     return rows.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
 
 
@@ -86,7 +88,7 @@ def content_exists(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame
 
 def as_records(rows: DataFrame) -> DataFrame:
     """Without key and storage columns; structured data parsed back."""
-    return rows.drop("url_hash", "hash_prefix", "stored_at", "storage_version").withColumn(
+    return rows.drop("url_hash", "hash_prefix", "stored_at", "storage_version", "row_hash").withColumn(
         "schema_org_data",
         F.coalesce(
             F.from_json("schema_org_data", "map<string,array<string>>"),
@@ -110,7 +112,7 @@ def storage_stats(spark: SparkSession, path: str) -> DataFrame:
         F.count(F.lit(1)).alias("total_stored"),
         F.count_distinct("url_hash").alias("total_urls"),
         F.count_if(F.coalesce("content", F.lit("")) == "").alias("without_content"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[c for c in rows.columns if c != "hash_prefix"])))), F.lit(0))
+        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[c for c in rows.columns if c not in ("hash_prefix", "row_hash")])))), F.lit(0))
         .cast("bigint").alias("total_size_bytes"),
     )
 

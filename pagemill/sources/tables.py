@@ -17,6 +17,16 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet", schema:
     return spark.read.format(format).schema(schema).load(path)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A table scan over at least as many tasks as there are cores.
+
+    For work that is heavy per row on a table of few files.  Large tables have
+    more splits than that and are left as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def seed_urls(spark: SparkSession, urls: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(u,) for u in urls], "url string")
 

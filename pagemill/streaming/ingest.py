@@ -76,6 +76,9 @@ def dedup_stream(
         if retention_days is not None:
             seen = seen.filter(F.col("first_seen") >= first_seen - F.make_dt_interval(F.lit(retention_days)))
         keyed = with_keys(batch).persist()
+        # The batch is the small side: history is scanned for its keys, not shuffled.
+        asked = key_rows(keyed, DEFAULT, carry=()).distinct()
+        seen = seen.join(asked, ["key_type", "key"], "left_semi")
         try:
             kept = greedy_dedup(keyed, order, DEFAULT, id, seen).filter("kept").drop("kept").persist()
             kept.write.mode("overwrite").parquet(f"{pages_path}/batch_id={batch_id}")

@@ -105,7 +105,7 @@ def test_allowed_and_blocked(spark):
 
 def test_domain_lists_as_tables(spark):
     hosts = ["a.example.com", "b.example.org", "spam.example.com", "x.spam", "spa.m"]
-    df = spark.createDataFrame([(h,) for h in hosts for _ in range(3)], "domain string")
+    df = spark.createDataFrame([(f"http://{h}/{i}", h) for h in hosts for i in range(3)], "url string, domain string")
     entries = spark.createDataFrame([("spam",), ("EXAMPLE.org",), ("",), ("n" * 300,)], "entry string")
     assert {r.domain for r in matching_domains(df, entries).collect()} == {"b.example.org", "spam.example.com", "x.spam"}
     assert {r.domain for r in matching_domains(df, entries, "suffix").collect()} == {"b.example.org", "x.spam"}
