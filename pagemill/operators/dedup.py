@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import content_hash, fuzzy_hash, title_hash
 from pagemill.functions.urls import url_key_hash
 from pagemill.functions.values import HASH_RETENTION_DAYS
-from pagemill.operators.skew import HOT_ROWS, salted_join
+from pagemill.operators.skew import HOT_ROWS, exploded, salted_join
 from pagemill.session import built_once, cut_lineage
 
 KEY_TYPES = ("url", "content", "title", "fuzzy")
@@ -50,10 +50,8 @@ def with_keys(records: DataFrame) -> DataFrame:
 def key_rows(keyed: DataFrame, types: Sequence[str] = KEY_TYPES, carry: Sequence[str] = ("id",)) -> DataFrame:
     """Long form: one row ``(*carry, key_type, key)`` per key that is not null."""
     pairs = F.array(*[F.struct(F.lit(t).alias("key_type"), F.col(f"{t}_key").alias("key")) for t in types])
-    return (
-        keyed.select(*carry, F.explode(F.filter(pairs, lambda p: p["key"].isNotNull())).alias("k"))
-        .select(*carry, "k.key_type", "k.key")
-    )
+    present = F.filter(pairs, lambda p: p["key"].isNotNull())
+    return exploded(keyed, present, "k", *carry).select(*carry, "k.key_type", "k.key")
 
 
 def duplicate_flags(keyed: DataFrame, seen: DataFrame, id: str = "id", hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import html as H
 from pagemill.functions.text import clean_text, word_count
 from pagemill.functions.urls import let, link_targets, resolve_url
+from pagemill.operators.skew import exploded
 from pagemill.operators.tree import RAW_TYPE, tree_fields
 from pagemill.session import built_once
 
@@ -149,4 +150,4 @@ def heading_column(level: int) -> Column:
 
 def explode_links(records: DataFrame, url: str = "url") -> DataFrame:
     """Relation form of the links: one row per (page, link)."""
-    return records.select(F.col(url).alias("parent_url"), F.explode("links").alias("link"))
+    return exploded(records, F.col("links"), "link", F.col(url).alias("parent_url"))

@@ -18,9 +18,9 @@ PRIORITY_LABELS = {
 
 def tasks(
     urls: DataFrame, depth: int | Column, priority: int | Column, parent_url: Column | None = None,
-    discovered_time: Column | None = None,
+    discovered_time: Column | None = None, seq: Column | None = None,
 ) -> DataFrame:
-    """Frontier rows for a relation with ``url``."""
+    """Frontier rows for a relation with ``url``; with ``seq``, a unique integer, in queue order."""
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
     return urls.select(
         "url",
@@ -30,6 +30,7 @@ def tasks(
         (F.lit(None) if parent_url is None else parent_url).cast("string").alias("parent_url"),
         (F.lit(None) if discovered_time is None else discovered_time).cast("timestamp").alias("discovered_time"),
         F.lit(0).alias("retry_count"),
+        *([] if seq is None else [seq.cast("bigint").alias("seq")]),
     )
 
 

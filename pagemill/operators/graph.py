@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import is_valid_url
 from pagemill.functions.values import MAX_DEPTH, PRIORITY_NORMAL
+from pagemill.operators.skew import exploded
 from pagemill.session import cut_lineage
 
 
 def link_edges(records: DataFrame, depth: str | None = None) -> DataFrame:
     """One row per page and link: what a stored page puts into the frontier."""
     child_depth = (F.col(depth) + 1 if depth else F.lit(1)).cast("int")
-    return records.select(
-        F.col("url").alias("parent_url"),
-        F.explode("links").alias("url"),
-        child_depth.alias("depth"),
-        F.lit(PRIORITY_NORMAL).alias("priority"),
+    edges = exploded(
+        records, F.col("links"), "_link", F.col("url").alias("parent_url"), child_depth.alias("depth")
     )
+    return edges.select("parent_url", F.col("_link").alias("url"), "depth", F.lit(PRIORITY_NORMAL).alias("priority"))
 
 
 def outbound_links(records: DataFrame, allowed: Sequence[str] = (), blocked: Sequence[str] = ()) -> DataFrame:

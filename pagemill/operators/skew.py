@@ -12,6 +12,15 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+def exploded(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """``keep`` and one row per array element; rows without elements go.
+
+    A plain ``explode`` makes Spark infer a filter on the array, and computing
+    the array once more for it would double the work of a costly one.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with at least ``hot_rows`` rows.
 
@@ -76,19 +85,19 @@ def rank_in_group(
     keys: Sequence[str],
     leading: Sequence[Column],
     seq: str,
-    width: int = 1 << 18,
+    cell_bits: int = 18,
     group_facts: DataFrame | None = None,
 ) -> DataFrame:
     """``rank`` (from 1) of every row of its group, ordered by ``leading`` then ``seq``.
 
-    ``seq`` is a unique integer, so one (group, leading, seq div width) cell
-    holds at most ``width`` rows.  Rows are ranked inside their cell; the rows
+    ``seq`` is a unique integer, so one (group, leading, seq >> cell_bits) cell
+    holds at most 2**cell_bits rows.  Rows are ranked inside their cell; the rows
     of earlier cells come from per-cell counts.  No group meets in one task,
     however large it is.  ``group_facts`` (one row per group) is joined to the
     cell counts, so its columns reach every row without a join by group.
     """
     names = [f"_l{i}" for i in range(len(leading))]
-    cells = df.withColumn("_cell", F.floor(F.col(seq) / F.lit(width)).cast("bigint"))
+    cells = df.withColumn("_cell", F.shiftright(F.col(seq).cast("bigint"), cell_bits))
     for name, column in zip(names, leading):
         cells = cells.withColumn(name, column)
     cell_keys = [*keys, *names, "_cell"]

@@ -26,7 +26,7 @@ def page_facts(pages: DataFrame, mode: str = "auto", **rules) -> DataFrame:
     facts = with_keys(extract_pages(pages.withColumn("ok", ok), mode, **rules)).select(
         "url", "ok", "links", *[f"{t}_key" for t in DEFAULT]
     )
-    return placed_by(facts, "url")
+    return placed_by(facts, "url", "page-facts")
 
 
 def crawl_replay(

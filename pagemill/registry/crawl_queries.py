@@ -163,7 +163,7 @@ def page_frontier(spark, folder):
     """Every page queued: the language in its address gives the priority, the page id the order."""
     pages = table(spark, folder, "pages").withColumn("lang", F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]+)/", 1))
     priority = F.when(F.col("lang") == "en", 2).when(F.col("lang") == "fr", 3).when(F.col("lang") == "es", 4).otherwise(1)
-    return frontier.tasks(pages, 0, priority).join(pages.select("url", F.col("page_id").alias("seq")), "url")
+    return frontier.tasks(pages, 0, priority, seq=F.col("page_id"))
 
 
 def last_access(spark, folder):
@@ -377,7 +377,7 @@ walk(url, depth) AS (
 )
 SELECT url, min(depth) AS depth FROM walk GROUP BY url""")
 def crawl_depth(spark, folder):
-    links = placed_by(extract_pages(linked_pages(spark, folder)).select("url", "links"), "url")
+    links = placed_by(extract_pages(linked_pages(spark, folder)).select("url", "links"), "url", "linked-pages")
     return graph.crawl_depth(links, _roots(spark, folder)).select("url", "depth")
 
 

@@ -9,6 +9,7 @@ from pagemill.functions import text as T
 from pagemill.functions.urls import url_domain
 from pagemill.operators.extract import explode_links, extract_pages, heading_column
 from pagemill.operators.graph import outbound_links
+from pagemill.operators.skew import exploded
 from pagemill.plans.flagship import domain_summary
 from pagemill.registry.base import SQL_PARSED, query, sql_clean, sql_collapse, sql_decode, sql_words, table
 
@@ -80,13 +81,13 @@ def page_word_count(spark, folder):
 
 @query(f"WITH {SQL_PARSED} SELECT page_id, unnest(links) AS link FROM parsed")
 def page_links(spark, folder):
-    return _records(spark, folder).select("page_id", F.explode("links").alias("link"))
+    return exploded(_records(spark, folder), F.col("links"), "link", "page_id")
 
 
 @query(f"""WITH {SQL_PARSED}
 SELECT page_id, unnest(list_filter(links, lambda l: NOT contains(l, 'spam'))) AS link FROM parsed""")
 def outbound_links_allowed(spark, folder):
-    return outbound_links(_records(spark, folder), blocked=("spam",)).select("page_id", F.explode("links").alias("link"))
+    return exploded(outbound_links(_records(spark, folder), blocked=("spam",)), F.col("links"), "link", "page_id")
 
 
 # --- pages with more markup, made from the given pages ---------------------
@@ -147,7 +148,7 @@ SELECT page_id, unnest(['https://cdn.example.org/' || page_id, regexp_extract(ur
   1 AS strict_images FROM pages""")
 def page_images(spark, folder):
     pages = rich_pages(spark, folder)
-    loose = extract_pages(pages).select("page_id", F.explode("images").alias("image"))
+    loose = exploded(extract_pages(pages), F.col("images"), "image", "page_id")
     strict = extract_pages(pages, strict_compat=True).select("page_id", F.size("images").alias("strict_images"))
     return loose.join(strict, "page_id")
 
@@ -158,8 +159,8 @@ SELECT page_id, unnest(['Article', 'Person', 'Unknown']) AS type,
           '{{"@type":["Person","Agent"],"id":' || page_id || '}}', '{{"name":"x"}}']) AS object FROM pages""")
 def json_ld(spark, folder):
     records = extract_pages(rich_pages(spark, folder))
-    by_type = records.select("page_id", F.explode("schema_org_data").alias("type", "objects"))
-    return by_type.select("page_id", "type", F.explode("objects").alias("object"))
+    by_type = exploded(records, F.map_entries("schema_org_data"), "e", "page_id")
+    return exploded(by_type, F.col("e.value"), "object", "page_id", F.col("e.key").alias("type"))
 
 
 def microdata_pages(spark, folder):
@@ -178,8 +179,9 @@ WITH {SQL_PARSED}
 SELECT page_id, 'Product' AS type, 'T' || page_id AS sku, '9.5' AS price, len(links) AS n_links FROM parsed""")
 def microdata(spark, folder):
     records = extract_pages(microdata_pages(spark, folder))
-    objects = records.select("page_id", F.size("links").cast("bigint").alias("n_links"), F.explode("schema_org_data").alias("type", "objects"))
-    return objects.select("page_id", "type", "n_links", F.explode("objects").alias("o")).select(
+    n_links = F.size("links").cast("bigint").alias("n_links")
+    by_type = exploded(records, F.map_entries("schema_org_data"), "e", "page_id", n_links)
+    return exploded(by_type, F.col("e.value"), "o", "page_id", "n_links", F.col("e.key").alias("type")).select(
         "page_id", "type", F.get_json_object("o", "$.sku").alias("sku"), F.get_json_object("o", "$.price").alias("price"), "n_links"
     )
 

@@ -69,10 +69,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def placed_by(df: DataFrame, key: str) -> DataFrame:
-    """Materialise ``df`` hash-partitioned by ``key``: later joins on ``key`` do not move it again."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartition(partitions, key))
+def placed_by(df: DataFrame, key: str, name: str = "placed") -> DataFrame:
+    """Write ``df`` bucketed by ``key`` in the shared folder and read it back.
+
+    Joins on ``key`` then leave it where it is, and each reads only the
+    columns it needs: for a table that a loop joins again and again.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"pagemill_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+        .option("path", work_folder(spark, name)).saveAsTable(table)
+    )
+    return spark.table(table)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -147,7 +147,7 @@ def test_ranking_helpers(spark):
     for g in {r.g for r in rows}:
         for rank, r in enumerate(sorted((r for r in rows if r.g == g), key=lambda r: (-r.p, r.seq)), 1):
             expected[r.seq] = rank
-    ranked = rank_in_group(df, ["g"], [-F.col("p")], "seq", width=64)
+    ranked = rank_in_group(df, ["g"], [-F.col("p")], "seq", cell_bits=6)
     assert {r.seq: r["rank"] for r in ranked.collect()} == expected
     top = top_k_per_group(df, ["g"], [F.desc("p"), F.col("seq")], 10, ["seq"], salts=4)
     assert {r.seq: r["rank"] for r in top.collect()} == {s: k for s, k in expected.items() if k <= 10}
