@@ -275,6 +275,16 @@ def frontier_new_tasks(spark, folder):
     return frontier.new_tasks(_candidates(records), _processed(records)).select("url", "parent_url", "domain")
 
 
+@query(f"""
+WITH {SQL_PARSED}, rows AS (SELECT page_id, len(string_split(regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1), '/')) AS depth FROM parsed)
+SELECT page_id, CAST(depth AS INTEGER) AS depth FROM rows WHERE depth <= 2""")
+def depth_limited(spark, folder):
+    """Queued pages within a depth bound; the number of path parts stands for the depth."""
+    path = F.regexp_extract("url", "^[a-z]+://[^/]*/([^?#]*)", 1)
+    queued = table(spark, folder, "pages").select("page_id", F.size(F.split(path, "/")).alias("depth"))
+    return frontier.depth_filter(queued, 2)
+
+
 @query(f"WITH {_SQL_TARGETS} SELECT count(*) AS added FROM targets WHERE url NOT IN (SELECT url FROM done)")
 def frontier_added(spark, folder):
     records = _page_records(spark, folder)

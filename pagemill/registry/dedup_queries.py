@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import dedup as D
 from pagemill.operators.extract import extract_pages
 from pagemill.registry.base import SQL_PARSED, query, sql_collapse, table
-from pagemill.registry.page_queries import SQL_FEATURES, SQL_FUZZY_KEY
+from pagemill.registry.page_queries import SQL_FEATURES, SQL_FUZZY_KEY, sql_features
 from pagemill.registry.url_queries import SQL_URL_KEY_HASH
 from pagemill.session import written
 
@@ -35,6 +35,13 @@ keys AS (SELECT d.doc_id AS id, CASE WHEN d.text <> '' THEN sha256({sql_collapse
            CASE WHEN d.text <> '' THEN {SQL_FUZZY_KEY} END AS fuzzy_key
          FROM documents d JOIN features USING (doc_id))"""
 
+SQL_ALL_PAGE_KEYS = f"""
+{SQL_PARSED},
+page_texts AS (SELECT page_id AS doc_id, content AS text, title FROM parsed),
+{sql_features('page_texts')},
+all_page_keys AS (SELECT page_id AS id, url, {SQL_URL_KEY_HASH} AS url_key, sha256({sql_collapse('lower(content)')}) AS content_key,
+                    {SQL_FUZZY_KEY} AS fuzzy_key FROM parsed JOIN features ON doc_id = page_id)"""
+
 SQL_PAGE_KEYS = f"""
 {SQL_PARSED},
 page_keys AS (SELECT page_id AS id, {SQL_URL_KEY_HASH} AS url_key, sha256({sql_collapse('lower(content)')}) AS content_key,
@@ -94,7 +101,18 @@ def dedup_stats(spark, folder):
     return D.duplicate_stats(flagged, "first_seen").drop("fuzzy_duplicates", "total_fuzzy_hashes")
 
 
-@query()
+def sql_greedy(keys: str, columns: str) -> str:
+    """One pass in id order over relation ``keys``; ``taken`` holds the keys of the kept rows so far."""
+    return f"""
+ordered AS MATERIALIZED (SELECT id, list_filter([{columns}], lambda k: k IS NOT NULL) AS ks, row_number() OVER (ORDER BY id) AS n FROM {keys}),
+walk(n, id, kept, taken) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, false, []::VARCHAR[]
+  UNION ALL
+  SELECT o.n, o.id, NOT list_has_any(w.taken, o.ks), CASE WHEN list_has_any(w.taken, o.ks) THEN w.taken ELSE list_concat(w.taken, o.ks) END
+  FROM walk w JOIN ordered o ON o.n = w.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {SQL_DOC_KEYS}, {sql_greedy('keys', 'content_key, fuzzy_key')} SELECT id, kept FROM walk WHERE id IS NOT NULL")
 def dedup_greedy(spark, folder):
     """Greedy keep-first by content and near-duplicate key, in document order."""
     return D.greedy_dedup(keyed_documents(spark, folder), "id").select("id", "kept")

@@ -8,7 +8,7 @@ from pagemill.operators import dedup, fetchlog, frontier, metrics
 from pagemill.operators.extract import extract_pages
 from pagemill.registry.base import SQL_PARSED, query, sql_words, table
 from pagemill.registry.crawl_queries import fetch_log, page_frontier
-from pagemill.registry.dedup_queries import keyed_pages
+from pagemill.registry.dedup_queries import SQL_ALL_PAGE_KEYS, keyed_pages, sql_greedy
 from pagemill.schemas import PAGES
 from pagemill.session import work_folder
 from pagemill.sources.tables import events_by_kind, read_logs, without_noise, write_json
@@ -273,7 +273,9 @@ def stream_ingest(spark, folder):
     return spark.read.parquet(path).select("page_id", "title", "word_count", F.size("links").cast("bigint").alias("n_links"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SQL_ALL_PAGE_KEYS}, {sql_greedy('all_page_keys', 'url_key, content_key, fuzzy_key')}
+SELECT id, url FROM walk JOIN pages ON page_id = id WHERE kept""")
 def stream_dedup(spark, folder):
     """Pages kept by greedy deduplication over a stream."""
     pages = ingest.stream_pages(spark, folder, schema=PAGES, pattern="pages.parquet")

@@ -241,9 +241,11 @@ def title_hash(spark, folder):
 
 _stop = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
-SQL_FEATURES = f"""
+def sql_features(source: str) -> str:
+    """CTE ``features`` for a relation ``(doc_id, text, title)``."""
+    return f"""
 words AS (SELECT doc_id, unnest(string_split(k, ' ')) AS w, generate_subscripts(string_split(k, ' '), 1) AS p
-          FROM (SELECT doc_id, {sql_collapse('lower(text)')} AS k FROM documents)),
+          FROM (SELECT doc_id, {sql_collapse('lower(text)')} AS k FROM {source})),
 significant AS (SELECT doc_id, w, count(*) AS n, min(p) AS p FROM words
                 WHERE length(w) > 3 AND w NOT IN ({_stop}) GROUP BY doc_id, w),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rn FROM significant),
@@ -252,9 +254,13 @@ tops AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS significant_words,
 counts AS (SELECT doc_id, count(*) AS n_words FROM words WHERE w <> '' GROUP BY doc_id),
 features AS (
   SELECT d.doc_id, coalesce(n_words, 0) // 100 AS word_count_bucket, length(text) // 1000 AS char_count_bucket,
-         CAST(0 AS BIGINT) AS title_words, coalesce(significant_words, 0) AS significant_words, coalesce(top_words, '') AS top_words
-  FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN tops USING (doc_id)
+         CASE WHEN title = '' THEN 0 ELSE len(string_split(title, ' ')) END AS title_words,
+         coalesce(significant_words, 0) AS significant_words, coalesce(top_words, '') AS top_words
+  FROM {source} d LEFT JOIN counts USING (doc_id) LEFT JOIN tops USING (doc_id)
 )"""
+
+
+SQL_FEATURES = "untitled AS (SELECT doc_id, text, '' AS title FROM documents)," + sql_features("untitled")
 SQL_FUZZY_KEY = "md5(concat_ws(' ', word_count_bucket, char_count_bucket, title_words, significant_words, top_words))"
 
 

@@ -32,17 +32,21 @@ def content_rows(records: DataFrame, stored_at: Column) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CONTENT])
 
 
+def _by_prefix(rows: DataFrame, files_per_prefix: int = 1) -> DataFrame:
+    """Rows of a file together: no task writes a piece of every prefix."""
+    context, conf = rows.sparkSession.sparkContext, rows.sparkSession.conf
+    tasks = max(context.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.conv(F.substring("url_hash", PREFIX_LENGTH + 1, 4), 16, 10).cast("int"), F.lit(files_per_prefix))
+    return rows.repartition(min(tasks, 16**PREFIX_LENGTH * files_per_prefix), "hash_prefix", part)
+
+
 def store_content(records: DataFrame, path: str, stored_at: Column | None = None, files_per_prefix: int = 1) -> None:
     """Append records, ``files_per_prefix`` files per prefix (choose it for files of about 1 GB).
 
     The hash spreads rows evenly over prefixes and parts, whatever the URLs.
     """
     rows = content_rows(records, F.current_timestamp() if stored_at is None else stored_at)
-    part = F.pmod(F.conv(F.substring("url_hash", PREFIX_LENGTH + 1, 4), 16, 10).cast("int"), F.lit(files_per_prefix))
-    (
-        rows.repartition(16**PREFIX_LENGTH * files_per_prefix, "hash_prefix", part)
-        .write.mode("append").partitionBy("hash_prefix").parquet(path)
-    )
+    _by_prefix(rows, files_per_prefix).write.mode("append").partitionBy("hash_prefix").parquet(path)
 
 
 def _newest(rows: DataFrame) -> DataFrame:
@@ -117,9 +121,7 @@ def storage_stats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def compact(spark: SparkSession, path: str, target: str) -> None:
+def compact(spark: SparkSession, path: str, target: str, files_per_prefix: int = 1) -> None:
     """Write the newest rows of all keys to a new folder."""
-    (
-        read_content(spark, path).repartition(16**PREFIX_LENGTH, "hash_prefix")
-        .write.partitionBy("hash_prefix").parquet(target)
-    )
+    newest = _by_prefix(read_content(spark, path), files_per_prefix)
+    newest.write.partitionBy("hash_prefix").parquet(target)
