@@ -10,6 +10,7 @@ from pagemill.operators.extract import extract_pages
 from pagemill.plans.crawl import crawl_replay as replay
 from pagemill.plans.crawl import page_facts, replay_summary
 from pagemill.registry.base import SQL_PARSED, SQL_URL_PARTS, query, table
+from pagemill.registry.dedup_queries import SQL_ALL_PAGE_KEYS
 from pagemill.schemas import FRONTIER
 from pagemill.session import placed_by, work_folder, written
 from pagemill.streaming.ingest import as_instant, without_zone, load_frontier, recrawl_due, save_frontier
@@ -368,8 +369,7 @@ def _roots(spark, folder):
     return with_parent.join(parents, "parent", "left_anti").select("url")
 
 
-@query(f"""
-WITH RECURSIVE {SQL_PARSED},
+SQL_EDGES = f"""
 nodes AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?p=' || page_id AS url FROM pages),
 tree AS (SELECT p.page_id, c.url AS link FROM nodes p JOIN nodes c ON c.page_id > 0 AND (c.page_id - 1) // {_FANOUT} = p.page_id),
 mirrors AS (SELECT page_id, 'https://mirror.example.org/' || page_id AS link FROM nodes),
@@ -380,7 +380,11 @@ edges AS (
   UNION ALL SELECT url, tree.link FROM tree JOIN nodes USING (page_id)
   UNION ALL SELECT mirrors.link, tree.link FROM tree JOIN mirrors USING (page_id)
   UNION ALL SELECT url, mirrors.link FROM mirrors JOIN nodes USING (page_id)
-),
+)"""
+
+
+@query(f"""
+WITH RECURSIVE {SQL_PARSED}, {SQL_EDGES},
 walk(url, depth) AS (
   SELECT url, 0 FROM nodes WHERE page_id = 0
   UNION SELECT child, depth + 1 FROM walk JOIN edges ON parent = walk.url WHERE depth < 5 AND child <> walk.url
@@ -391,12 +395,40 @@ def crawl_depth(spark, folder):
     return graph.crawl_depth(links, _roots(spark, folder)).select("url", "depth")
 
 
-@query()
+# The crawl one URL at a time: ``level`` holds what is left of this depth, ``found`` the links for the next.
+SQL_REPLAY = f"""
+{SQL_ALL_PAGE_KEYS}, {SQL_EDGES},
+places AS (SELECT page_id, url FROM nodes UNION ALL SELECT page_id, link FROM mirrors),
+linked AS (SELECT parent, list(DISTINCT child) AS links FROM edges GROUP BY parent),
+facts AS MATERIALIZED (
+  SELECT places.url, links, [places.url, content_key, fuzzy_key] AS ks
+  FROM places JOIN all_page_keys k ON k.id = places.page_id JOIN linked ON linked.parent = places.url),
+walk(depth, url, state, level, found, met, taken) AS (
+  SELECT 0, NULL::VARCHAR, NULL::VARCHAR, list(url), []::VARCHAR[], list(url), []::VARCHAR[] FROM nodes WHERE page_id = 0
+  UNION ALL
+  (SELECT depth, url, state, level, CASE WHEN state = 'stored' THEN list_concat(found, links) ELSE found END, met,
+    CASE WHEN state = 'stored' THEN list_concat(taken, ks) ELSE taken END
+  FROM (
+    SELECT w.depth, w.level[1] AS url, w.level[2:] AS level, w.found, w.met, w.taken, f.links, f.ks,
+      CASE WHEN f.url IS NULL THEN 'error' WHEN list_has_any(w.taken, f.ks) THEN 'duplicate' ELSE 'stored' END AS state
+    FROM walk w LEFT JOIN facts f ON f.url = w.level[1] WHERE len(w.level) > 0)
+  UNION ALL
+  SELECT depth + 1, NULL, NULL, fresh, []::VARCHAR[], list_concat(met, fresh), taken
+  FROM (SELECT *, list_sort(list_filter(list_distinct(found), lambda u: NOT list_contains(met, u))) AS fresh
+        FROM walk WHERE len(level) = 0 AND depth < 5)
+  WHERE len(fresh) > 0)),
+replayed AS (SELECT url, depth, state FROM walk WHERE url IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {SQL_REPLAY} SELECT url, depth, state FROM replayed")
 def crawl_replay(spark, folder):
     """The whole crawl: mirrors turn out to be duplicates, their links are not followed."""
-    return replay(page_facts(linked_pages(spark, folder)), _roots(spark, folder))
+    replayed = replay(page_facts(linked_pages(spark, folder)), _roots(spark, folder))
+    return replayed.select("url", "depth", "state")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_REPLAY}
+SELECT depth, count(*) AS crawled, count(*) FILTER (state = 'stored') AS stored, count(*) FILTER (state = 'duplicate') AS duplicate,
+  count(*) FILTER (state = 'error') AS error FROM replayed GROUP BY depth""")
 def crawl_replay_summary(spark, folder):
     return replay_summary(replay(page_facts(linked_pages(spark, folder)), _roots(spark, folder)))
