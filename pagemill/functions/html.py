@@ -81,6 +81,7 @@ def needs_tree(stripped: Column, main: Column) -> Column:
 
     Plain substring tests come first; they decide for most pages.
     """
+    # An entity without its semicolon is plain text.
     known = "|".join(e[1:-1] for e in ENTITIES) + "|amp"
     trees = ("itemtype", "<svg", "<textarea", "<template", "<iframe", "<xmp", "<plaintext")
     nested = [f"<{name}" for name in (*UNWANTED_TAGS, "main", "article")]
@@ -97,7 +98,7 @@ def needs_tree(stripped: Column, main: Column) -> Column:
         | (_contains_any(low, UNWANTED_CLASSES) & low.rlike(rf"(?s)\bclass\s*=[^>]*(?:{classes})")),
     )
     odd_text = (
-        stripped.rlike(rf"&(?!(?:{known});)[#A-Za-z]") | stripped.rlike(r"""=\s*(?:"[^"<>]*[<>]|'[^'<>]*[<>])""")
+        stripped.rlike(rf"&(?:#|(?!(?:{known});)[A-Za-z][A-Za-z0-9]*;)") | stripped.rlike(r"""=\s*(?:"[^"<>]*[<>]|'[^'<>]*[<>])""")
     )
     return F.coalesce((main == "") | in_page | in_main | odd_text, F.lit(False))
 

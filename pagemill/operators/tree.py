@@ -6,8 +6,8 @@ here and does everything before and after.
 
 from __future__ import annotations
 
-import html as _html
 import re
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -36,6 +36,23 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 
+_ENTITY = re.compile(r"&(?:#(\d{1,7});?|#[xX]([0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]*);)")
+
+
+def _char(match):
+    decimal, hexadecimal, name = match.groups()
+    if name:
+        code = 39 if name == "apos" else name2codepoint.get(name, 0)
+    else:
+        code = int(decimal) if decimal else int(hexadecimal, 16)
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else match[0]
+
+
+def _unescape(text):
+    """Decode entities; a name counts only with its semicolon."""
+    return _ENTITY.sub(_char, text) if "&" in text else text
+
+
 class _Node:
     __slots__ = ("name", "attrs", "parent", "children")
 
@@ -69,7 +86,7 @@ class _Node:
 def _attrs(source):
     out = {}
     for name, double, single, bare in _ATTR.findall(source):
-        out.setdefault(name.lower(), _html.unescape(double or single or bare))
+        out.setdefault(name.lower(), _unescape(double or single or bare))
     return out
 
 
@@ -78,11 +95,11 @@ def _tree(source):
     at = 0
     for match in _TOKEN.finditer(source):
         if match.start() > at:
-            node.children.append(_html.unescape(source[at:match.start()]))
+            node.children.append(_unescape(source[at:match.start()]))
         at = match.end()
         if match["plain"]:
             leaf = _Node(match["plain"].lower(), _attrs(match["plain_attrs"]), node)
-            leaf.children.append(_html.unescape(match["plain_text"]))
+            leaf.children.append(_unescape(match["plain_text"]))
             node.children.append(leaf)
         elif match["open"]:
             name = match["open"].lower()
@@ -99,7 +116,7 @@ def _tree(source):
             if above is not None and above.parent is not None:
                 node = above.parent
     if at < len(source):
-        node.children.append(_html.unescape(source[at:]))
+        node.children.append(_unescape(source[at:]))
     return root
 
 

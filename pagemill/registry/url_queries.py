@@ -92,7 +92,7 @@ _extensions = "|".join(SKIP_EXTENSIONS)
 WITH {SQL_URL_PARTS}
 SELECT page_id,
   NOT contains(domain, 'spam') AND (contains(domain, 'example.com') OR contains(domain, 'example.org')) AS valid,
-  NOT contains(domain, 'spam') AND (suffix(domain, '.example.com') OR suffix(domain, '.example.org')) AS valid_suffix,
+  NOT (domain = 'spam-farm.example.org' OR suffix(domain, '.spam-farm.example.org')) AND (suffix(domain, '.example.com') OR suffix(domain, '.example.org')) AS valid_suffix,
   NOT regexp_matches(path, '\.({_extensions})$') AS page_type,
   false AS archive_valid
 FROM parts""")

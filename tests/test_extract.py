@@ -37,6 +37,8 @@ def page(body, head=""):
         ("<nav>n</nav>text <b>bold</b><footer>f</footer>", "text bold"),
         ("<article>one<article>two</article>three</article>", "one two three"),
         ("<article>a < b &amp; c &lt;d&gt; &eacute;&#33;</article>", "a < b & c <d> é!"),
+        ("<article>&eacute;&amp;amp; &amp &#x41;&apos;&unknown; a&b</article>", "é&amp; &amp A'&unknown; a&b"),
+        ("<article>cut &amp</article>", "cut &amp"),
         ("<article>x<!-- y -->z<script>var a='</p>';</script>w</article>", "x z w"),
         ("<article>mail me@example.org\xa0 now</article>", "mail [EMAIL] now"),
         ("<article></article>after", ""),
