@@ -16,7 +16,8 @@ def _quoted(text: Column) -> Column:
     encoded = F.url_encode(F.coalesce(F.try_url_decode(plain), text))
     for old, new in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
         encoded = F.replace(encoded, F.lit(old), F.lit(new))
-    return encoded
+    # Most paths hold only characters that stand for themselves.
+    return F.when(text.rlike(r"^[A-Za-z0-9_.~/-]*$"), text).otherwise(encoded)
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
