@@ -92,24 +92,21 @@ def outbound_links_allowed(spark, folder):
 
 # --- pages with more markup, made from the given pages ---------------------
 
-_lang = F.regexp_extract("html", '<html lang="([^"]*)"', 1)
-_id = F.col("page_id").cast("string")
-
-
 def rich_pages(spark, folder):
     """Every page with head metadata, headings, images, JSON-LD and a changed main element."""
+    lang, key = F.regexp_extract("html", '<html lang="([^"]*)"', 1), F.col("page_id").cast("string")
     head = F.concat(
-        F.lit('<meta name="description" content="About  page '), _id, F.lit(" in "), _lang, F.lit('">'),
-        F.lit('<meta property="og:description" content="other"><meta name=\'keywords\' content="'), _lang,
-        F.lit(', crawl"><meta property="article:author" content="Author '), _id,
-        F.lit(' &amp; co"><link rel="canonical" href="../canonical/'), _id, F.lit('?v=1#x">'),
-        F.lit('<script type="application/ld+json">{"@type":"Article","headline":"p'), _id,
-        F.lit('","lang":"'), _lang, F.lit('"}</script><script type="application/ld+json">[{"@type":["Person","Agent"],"id":'),
-        _id, F.lit('},{"name":"x"},7]</script><script type="application/ld+json">{bad json</script></head>'),
+        F.lit('<meta name="description" content="About  page '), key, F.lit(" in "), lang, F.lit('">'),
+        F.lit('<meta property="og:description" content="other"><meta name=\'keywords\' content="'), lang,
+        F.lit(', crawl"><meta property="article:author" content="Author '), key,
+        F.lit(' &amp; co"><link rel="canonical" href="../canonical/'), key, F.lit('?v=1#x">'),
+        F.lit('<script type="application/ld+json">{"@type":"Article","headline":"p'), key,
+        F.lit('","lang":"'), lang, F.lit('"}</script><script type="application/ld+json">[{"@type":["Person","Agent"],"id":'),
+        key, F.lit('},{"name":"x"},7]</script><script type="application/ld+json">{bad json</script></head>'),
     )
     body = F.concat(
-        F.lit('<h2>Part  '), _id, F.lit('</h2><h2> </h2><h3>a<b>b</b></h3><img src="/img/'), _id,
-        F.lit('.png"><img alt="y" src="https://CDN.example.org/'), _id, F.lit('#x"><img src=""></article>'),
+        F.lit('<h2>Part  '), key, F.lit('</h2><h2> </h2><h3>a<b>b</b></h3><img src="/img/'), key,
+        F.lit('.png"><img alt="y" src="https://CDN.example.org/'), key, F.lit('#x"><img src=""></article>'),
     )
     return table(spark, folder, "pages").withColumn(
         "html", F.replace(F.replace("html", F.lit("</head>"), head), F.lit("</article>"), body)
@@ -165,10 +162,11 @@ def json_ld(spark, folder):
 
 def microdata_pages(spark, folder):
     """Every page with a product described in microdata, some of it inside navigation."""
+    key = F.col("page_id").cast("string")
     item = F.concat(
         F.lit('<nav itemscope itemtype="https://schema.org/Gone"><i itemprop="x">y</i><a href="/inner">inner</a></nav>'
-              '<div itemscope itemtype="https://schema.org/Product"><span itemprop="sku"> S'), _id,
-        F.lit(' </span><meta itemprop="price" content="9.5"><b itemprop="empty"></b><i itemprop="sku">T'), _id,
+              '<div itemscope itemtype="https://schema.org/Product"><span itemprop="sku"> S'), key,
+        F.lit(' </span><meta itemprop="price" content="9.5"><b itemprop="empty"></b><i itemprop="sku">T'), key,
         F.lit('</i></div></article>'),
     )
     return table(spark, folder, "pages").withColumn("html", F.replace("html", F.lit("</article>"), item))
