@@ -35,3 +35,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def total(df: DataFrame, column: Column) -> int:
     """One number over the whole table; 0 where it is empty."""
     return int(df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0])
+
+
+# A list of keys may be broadcast up to this size; beyond it the rows are shuffled instead.
+BROADCAST_BYTES = 8 << 20
+
+
+def _joined(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    keys = keys.select(F.col(key).alias("_key")).distinct()
+    width = 16 + total(keys.limit(1000), F.octet_length(F.col("_key").cast("string"))) // 1000
+    if keys.count() * width <= BROADCAST_BYTES:
+        keys = F.broadcast(keys)
+    return rows.join(keys, F.col(key).eqNullSafe(F.col("_key")), how)
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``keys`` (null equals null).  Broadcasts the keys only where their counted size is small."""
+    return _joined(rows, keys, key, "left_semi")
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``keys`` (null equals null), in the same way."""
+    return _joined(rows, keys, key, "left_anti")

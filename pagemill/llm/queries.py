@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import sharding
+from pagemill.llm import exact_dedup, sharding
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -24,3 +24,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @_query
 def op3_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_digest(sharding.external_shuffle(_table(spark, folder, "documents")))
+
+
+@_query
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
+
+
+LLM_SQL["op9_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS squeezed
+  FROM documents
+), g AS (
+  SELECT doc_id, first_value(doc_id) OVER (PARTITION BY squeezed ORDER BY points DESC, doc_id) AS keep_id,
+    count(*) OVER (PARTITION BY squeezed) AS group_size, sha256(squeezed) AS text_sha256 FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
