@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import exact_dedup, sharding
+from pagemill.llm import exact_dedup, sharding, simhash
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -40,3 +40,8 @@ WITH d AS (
     count(*) OVER (PARTITION BY squeezed) AS group_size, sha256(squeezed) AS text_sha256 FROM d
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g"""
+
+
+@_query
+def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
