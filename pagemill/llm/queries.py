@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, exact_dedup, sharding, simhash, token_counts
+from pagemill.llm import bpe, embedding_dedup, exact_dedup, packing, pii, quality, sharding, simhash, token_counts, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -56,3 +57,30 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.coding_digest(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@_query
+def op1_pii_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii_digest(_table(spark, folder, "documents"))
+
+
+@_query
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op6_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    toxic = F.coalesce(F.col("toxic"), F.lit(0))
+    labels = _table(spark, folder, "labels").select("doc_id", toxic.alias("toxic"), (toxic * (1 - F.coalesce("quality", F.lit(1)))).alias("toxic_junk"))
+    return toxicity.toxicity(_table(spark, folder, "documents"), labels, ("toxic", "toxic_junk"))
+
+
+@_query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, folder, "documents"))
