@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from pagemill.llm.components import components
 from pagemill.session import written
@@ -79,7 +80,7 @@ class Quantiser:
         return np.sqrt(out)
 
 
-def _unit(vectors: list, dim: int) -> np.ndarray:
+def _unit(vectors, dim: int) -> np.ndarray:
     points = np.array(vectors, np.float64).reshape(-1, dim)
     return points / np.sqrt((points * points).sum(1))[:, None]
 
@@ -106,8 +107,9 @@ def near_duplicate_vectors(
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.first("c").alias("c"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     classes = written(classes.select("class", "c.*", "n", "least", F.monotonically_increasing_id().alias("node")), "pq-classes")
     links = None
+    kind = "<f4" if df.schema[vector_col].dataType.elementType == FloatType() else "<f8"  # as exact as the column itself
     for found in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
-        part = written(_compared(classes.filter(F.col("dim") == found), found, threshold, sample_rows, list_rows, most_lists, tile_rows), "pq-links")
+        part = written(_compared(classes.filter(F.col("dim") == found), found, threshold, sample_rows, list_rows, most_lists, tile_rows, kind), "pq-links")
         links = part if links is None else links.unionByName(part)
     if links is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -124,11 +126,11 @@ def near_duplicate_vectors(
     )
 
 
-def _compared(classes: DataFrame, dim: int, threshold: float, sample_rows: int, list_rows: int, most_lists: int, tile_rows: int) -> DataFrame:
+def _compared(classes: DataFrame, dim: int, threshold: float, sample_rows: int, list_rows: int, most_lists: int, tile_rows: int, kind: str) -> DataFrame:
     """``(a, b, m)``: links between classes, and with null ``b`` how many rows of other classes (part ``m``) class ``a`` links to."""
     count = classes.count()
     sample = _unit([r["v"] for r in classes.orderBy("class").limit(sample_rows).select("v").collect()], dim)
-    quantiser = Quantiser(sample, max(1, min(most_lists, len(sample) // 16 + 1, math.ceil(count / list_rows) * 4)))
+    quantiser = Quantiser(sample, max(1, min(most_lists, len(sample) // 16 + 1, math.ceil(count / list_rows / 4))))
     held = classes.sparkSession.sparkContext.broadcast(quantiser)
     radius = math.sqrt(2 - 2 * threshold)
 
@@ -139,19 +141,21 @@ def _compared(classes: DataFrame, dim: int, threshold: float, sample_rows: int,
                 part = batch.slice(start, 2048)
                 if not part.num_rows:
                     continue
-                points = _unit(part.column("v").to_pylist(), dim)
+                vectors = np.array(part.column("v").to_pylist(), np.float64).reshape(-1, dim)
+                points = _unit(vectors, dim)
                 home, codes, error = held.value.encode(points)
                 at, to = np.nonzero(held.value.probes(points, radius))
                 row = np.concatenate([np.arange(len(points)), at])
                 entry = np.arange(len(row)) < len(points)
-                taken = part.take(pa.array(row))
+                taken = part.select(["label", "node", "n"]).take(pa.array(row))
+                raw = [v.tobytes() for v in vectors.astype(kind)]
                 blob = [c.tobytes() for c in codes]
                 yield pa.RecordBatch.from_arrays([
-                    taken.column("label"), pa.array(np.concatenate([home, to]), pa.int32()), taken.column("node"), taken.column("n"), taken.column("v"), pa.array(entry),
+                    taken.column("label"), pa.array(np.concatenate([home, to]), pa.int32()), taken.column("node"), taken.column("n"), pa.array([raw[i] for i in row.tolist()], pa.binary()), pa.array(entry),
                     pa.array([*blob, *[None] * len(at)], pa.binary()), pa.array(np.concatenate([error, np.zeros(len(at))])),
                 ], ["label", "list", "node", "n", "v", "entry", "code", "error"])
 
-    entered = written(classes.select("label", "node", "n", "v").mapInArrow(enter, "label string, list int, node long, n long, v array<double>, entry boolean, code binary, error double"), "pq-lists")
+    entered = classes.select("label", "node", "n", "v").mapInArrow(enter, "label string, list int, node long, n long, v binary, entry boolean, code binary, error double")
     sizes = entered.groupBy("label", "list").agg(F.sum(F.col("entry").cast("int")).alias("entries"), F.sum((~F.col("entry")).cast("int")).alias("queries"))
     sizes = sizes.select("label", "list", F.ceil(F.col("entries") / tile_rows).cast("int").alias("rows"), F.ceil(F.col("queries") / tile_rows).cast("int").alias("columns")).filter("rows > 0")
     placed = entered.join(sizes, ["label", "list"])
@@ -165,7 +169,7 @@ def _compared(classes: DataFrame, dim: int, threshold: float, sample_rows: int,
         if entries.empty or queries.empty:
             return pd.DataFrame({"a": [], "b": [], "m": []}).astype({"a": "int64", "b": "Int64", "m": "int64"})
         codes = np.frombuffer(b"".join(entries.code), np.uint8).reshape(len(entries), -1)
-        stored, asked = np.array(entries.v.tolist()), np.array(queries.v.tolist())
+        stored, asked = (np.frombuffer(b"".join(side.v), kind).reshape(-1, dim).astype(np.float64) for side in (entries, queries))
         stored_norm, asked_norm = np.sqrt((stored * stored).sum(1)), np.sqrt((asked * asked).sum(1))
         units = asked / asked_norm[:, None]
         e_node, q_node, times = entries.node.to_numpy(), queries.node.to_numpy(), entries.n.to_numpy()
