@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import cut_lineage
+from pagemill.session import cut_lineage, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +13,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps in turn, until nothing changes.  A step
     needs one aggregate with map-side combine and one join, so a node with
-    very many links does not have to fit in a task.  Links to itself and
-    repeated links do no harm.
+    very many links does not have to fit in a task.  The aggregate is written
+    before the join: both sides of it are then plain exchanges, so Spark can
+    split the links of a hot node over tasks, or send a small aggregate to all.
+    Links to itself and repeated links do no harm.
     """
     pairs = links.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).filter("high > low").distinct()
     before = None
@@ -31,13 +33,13 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("high").alias("node"), F.col("low").alias("other")).unionAll(
         pairs.select(F.col("low").alias("node"), F.col("high").alias("other"))
     )
-    least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+    least = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m")), "star-least")
     larger = pairs.select(F.col("low").alias("node"), F.col("high").alias("other"))
     return larger.join(least, "node").select(F.col("other").alias("high"), F.col("m").alias("low"))
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to the smallest of them."""
-    least = pairs.groupBy("high").agg(F.min("low").alias("m"))
+    least = written(pairs.groupBy("high").agg(F.min("low").alias("m")), "star-least")
     moved = pairs.join(least, "high").select(F.col("low").alias("high"), F.col("m").alias("low")).filter("high > low")
     return moved.unionAll(least.select("high", F.col("m").alias("low"))).distinct()
