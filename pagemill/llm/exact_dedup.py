@@ -118,7 +118,8 @@ def _decided(df: DataFrame, rows: DataFrame, answers: DataFrame, id_col: str, te
     sure = same.groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).select("sha", F.when(F.col("texts") > 1, clash).otherwise(F.col("n")).cast("long").alias("group_size"))
     order = F.struct((-F.col("points")).alias("p"), "id", "src", "row")
     best = suspects.groupBy("sha").agg(F.min(order).alias("best"))
-    groups = sure.join(best, "sha")
+    # Written, so that the join below has plain exchanges on both sides and a hot group's rows can be split over tasks.
+    groups = written(sure.join(best, "sha"), "dedup-groups")
     return rows.join(groups, "sha", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
