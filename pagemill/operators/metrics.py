@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from pagemill.functions.values import HISTOGRAM_BUCKETS, METRIC_EXPORT, METRIC_HISTORY
 from pagemill.operators.skew import top_k_per_group
@@ -43,7 +44,7 @@ def summary_rates(summary: DataFrame) -> DataFrame:
 
 def as_gauges(stats: DataFrame, prefix: str = "crawler_") -> DataFrame:
     """Every numeric column of a one-row result as a gauge ``(name, value)``."""
-    numeric = [c for c, t in stats.dtypes if t in ("int", "bigint", "double", "float")]
+    numeric = [f.name for f in stats.schema if isinstance(f.dataType, NumericType)]
     wide = stats.select(*[F.col(c).cast("double").alias(f"{prefix}{c}") for c in numeric])
     return wide.unpivot([], [f"{prefix}{c}" for c in numeric], "name", "value")
 
@@ -114,8 +115,13 @@ def counters(points: DataFrame) -> DataFrame:
 
 
 def current_values(points: DataFrame) -> DataFrame:
-    """Last value per metric."""
-    return points.groupBy("name").agg(F.max_by("value", F.struct("ts", "seq")).alias("value"))
+    """Value per metric: the running total of a counter, the last value of any other."""
+    return _current(points).select("name", "value")
+
+
+def _current(points: DataFrame) -> DataFrame:
+    last, total = F.max_by("value", F.struct("ts", "seq")), F.sum("value")
+    return points.groupBy("name", "type").agg(F.when(F.col("type") == "counter", total).otherwise(last).alias("value"))
 
 
 def histogram(
@@ -142,12 +148,11 @@ def recent_points(points: DataFrame, n: int = METRIC_HISTORY) -> DataFrame:
 def export_metrics(points: DataFrame, n: int = METRIC_EXPORT) -> DataFrame:
     """One row per metric with its current value and last points, ready for JSON.
 
-    At most ``n`` points of a metric meet in a row.
+    The current value comes from all points, not from those exported.  At most ``n`` points of a metric meet in a row.
     """
     newest_last = (-F.col("rank")).alias("o")
     point = F.struct(newest_last, "ts", "value", F.map_entries("labels").alias("labels"))
-    return recent_points(points, n).groupBy("name", "type").agg(
-        F.max_by("value", F.struct("ts", "seq")).alias("current_value"),
+    exported = recent_points(points, n).groupBy("name", "type").agg(
         F.transform(
             F.sort_array(F.collect_list(point)),
             lambda x: F.struct(
@@ -155,6 +160,8 @@ def export_metrics(points: DataFrame, n: int = METRIC_EXPORT) -> DataFrame:
             ),
         ).alias("points"),
     )
+    current = _current(points).withColumnRenamed("value", "current_value")
+    return current.join(exported, ["name", "type"]).select("name", "type", "current_value", "points")
 
 
 def percentiles(
@@ -165,8 +172,10 @@ def percentiles(
     Values are counted first, so equal values cost one row.  The range of a
     group is cut into ``cells``; cell counts tell which cell holds each
     quantile, and only the counts of those cells are ranked.  A large group
-    is never sorted in one task.
+    is never sorted in one task.  Without keys the whole table is one group.
     """
+    if not keys:
+        return percentiles(values.withColumn("_all", F.lit(0)), value, ["_all"], quantiles, cells).drop("_all")
     keys = list(keys)
     counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")

@@ -63,11 +63,12 @@ def summary_rates(spark, folder):
 
 @query(f"""
 WITH {SQL_LOG}
-SELECT unnest(['crawler_urls_crawled', 'crawler_pages_stored', 'crawler_errors', 'crawler_duplicates_skipped']) AS name,
-  unnest([urls_crawled, pages_stored, errors, duplicates_skipped])::DOUBLE AS value FROM summary""")
+SELECT unnest(['crawler_urls_crawled', 'crawler_pages_stored', 'crawler_errors', 'crawler_duplicates_skipped', 'crawler_total_bytes_downloaded',
+    'crawler_average_response_time', 'crawler_elapsed_time', 'crawler_pages_per_minute']) AS name,
+  unnest([urls_crawled::DOUBLE, pages_stored::DOUBLE, errors::DOUBLE, duplicates_skipped::DOUBLE, total_bytes_downloaded::DOUBLE,
+    round(average_response_time, 6), round(elapsed_time::DOUBLE, 6), round(urls_crawled / (elapsed_time / 60), 6)]) AS value FROM summary""")
 def bulk_gauges(spark, folder):
-    summary = metrics.crawl_summary(crawl_log(spark, folder))
-    return metrics.as_gauges(summary.select("urls_crawled", "pages_stored", "errors", "duplicates_skipped"))
+    return _rounded(metrics.as_gauges(metrics.crawl_summary(crawl_log(spark, folder))), "value")
 
 
 @query(f"""
@@ -121,9 +122,9 @@ def errors_by_type(spark, folder):
     return metrics.counters(_points(spark, folder))
 
 
-@query(f"WITH {_SQL_POINTS} SELECT name, arg_max(value, (ts, seq)) AS value FROM points GROUP BY name")
+@query(f"WITH {_SQL_POINTS} SELECT name, round(CASE WHEN type = 'counter' THEN sum(value) ELSE arg_max(value, (ts, seq)) END, 6) AS value FROM points GROUP BY name, type")
 def gauge_current(spark, folder):
-    return metrics.current_values(_points(spark, folder))
+    return _rounded(metrics.current_values(_points(spark, folder)), "value")
 
 
 @query("""
@@ -143,8 +144,9 @@ def metric_history(spark, folder):
 
 
 @query(f"""
-WITH {_SQL_POINTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) AS rank FROM points)
-SELECT name, type, round(max(value) FILTER (rank = 1), 6) AS current_value, count(*) AS n_points, round(sum(value), 3) AS points_sum,
+WITH {_SQL_POINTS}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) AS rank, sum(value) OVER (PARTITION BY name) AS total FROM points)
+SELECT name, type, round(CASE WHEN type = 'counter' THEN max(total) ELSE max(value) FILTER (rank = 1) END, 6) AS current_value, count(*) AS n_points, round(sum(value), 3) AS points_sum,
   round(max(value) FILTER (rank = 100), 6) AS oldest FROM ranked WHERE rank <= 100 GROUP BY name, type""")
 def metrics_export(spark, folder):
     """Metrics as JSON with their last 100 points, read back."""
@@ -165,6 +167,12 @@ def response_percentiles(spark, folder):
     return metrics.percentiles(table(spark, folder, "events"), "value", ["event_type"], [0.5, 0.9, 0.95, 0.99])
 
 
+@query("""
+SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS quantile, unnest(quantile_disc(value, [0.5, 0.9, 0.95, 0.99])) AS value FROM events""")
+def response_percentiles_overall(spark, folder):
+    return metrics.percentiles(table(spark, folder, "events"), "value", [], [0.5, 0.9, 0.95, 0.99])
+
+
 @query()
 def response_percentiles_approx(spark, folder):
     events = table(spark, folder, "events")
