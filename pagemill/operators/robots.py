@@ -81,11 +81,19 @@ def agent_rules(rules: DataFrame, agent: str) -> DataFrame:
     )
 
 
-def latest_rules(rules: DataFrame, at: Column, ttl_seconds: int = ROBOTS_TTL_SECONDS) -> DataFrame:
-    """Per origin, the newest file fetched within ``ttl_seconds`` before ``at``."""
+def latest_rules(
+    rules: DataFrame, files: DataFrame, at: Column, ttl_seconds: int = ROBOTS_TTL_SECONDS
+) -> DataFrame:
+    """Per origin, the rules of the newest of ``files`` fetched within ``ttl_seconds`` before ``at``.
+
+    The file is chosen among all fetches, so one that is missing or has no
+    rules for the agent still takes the place of an older one: its origin has
+    no row here, which allows everything.
+    """
     age = F.unix_micros(at) - F.unix_micros("fetched_at")
-    fresh = rules.filter((age >= 0) & (age < ttl_seconds * 1_000_000))
-    return fresh.groupBy("origin").agg(F.max_by("rules", "fetched_at").alias("rules"))
+    fresh = files.filter((age >= 0) & (age < ttl_seconds * 1_000_000))
+    newest = fresh.groupBy("origin").agg(F.max("fetched_at").alias("fetched_at"))
+    return rules.join(newest, ["origin", "fetched_at"], "left_semi").select("origin", "rules")
 
 
 def rule_verdict(url: Column, rules: Column) -> Column:

@@ -132,13 +132,20 @@ def robots_rules(spark, folder):
 
 @query(f"""
 WITH {SQL_URL_PARTS}
-SELECT page_id, NOT starts_with(path, '/en/') AS anybot, starts_with(path, '/fr/') OR NOT starts_with(path, '/fr') AS millbot FROM parts""")
+SELECT page_id, gone OR NOT starts_with(path, '/en/') AS anybot, gone OR starts_with(path, '/fr/') OR NOT starts_with(path, '/fr') AS millbot
+FROM (SELECT *, length(scheme || '://' || domain) % 2 = 0 AS gone FROM parts)""")
 def robots_allowed(spark, folder):
-    rules = written(robots.robots_rules(robots_files(spark, folder)), "robots-rules")
+    """Each origin has an old file that forbids all; where its length is even, the newest fetch found none."""
+    newer = robots_files(spark, folder)
+    older = newer.withColumns({"fetched_at": F.lit("2023-12-31 23:50:00").cast("timestamp"), "body": F.lit("User-agent: *\nDisallow: /")})
+    gone = newer.filter(F.length("origin") % 2 == 0).withColumns({
+        "fetched_at": F.lit("2024-01-01 00:20:00").cast("timestamp"), "status": F.lit(404), "body": F.lit(None).cast("string")})
+    files = written(newer.unionByName(older).unionByName(gone), "robots-files")
+    rules = written(robots.robots_rules(files), "robots-rules")
     at = F.lit("2024-01-01 00:30:00").cast("timestamp")
     pages = table(spark, folder, "pages").select("page_id", "url")
     for name, agent in (("anybot", "anybot/2.0"), ("millbot", "Millbot/1.0 (+test)")):
-        by_origin = robots.latest_rules(robots.agent_rules(rules, agent), at)
+        by_origin = robots.latest_rules(robots.agent_rules(rules, agent), files, at)
         pages = robots.robots_allowed(pages, by_origin).withColumnRenamed("allowed", name)
     return pages.drop("url")
 

@@ -176,7 +176,7 @@ def test_robots_against_standard_library(spark, agent):
     robots_df = spark.createDataFrame(files, "origin string, fetched_at timestamp, status int, body string")
     urls = [f"http://h{i}{p}" for i in range(len(ROBOTS)) for p in PATHS] + ["http://gone/a", "http://none/a"]
     rules = robots.robots_rules(robots_df)
-    by_origin = robots.latest_rules(robots.agent_rules(rules, agent), F.lit(at(10)))
+    by_origin = robots.latest_rules(robots.agent_rules(rules, agent), robots_df, F.lit(at(10)))
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     got = {r.url: r.allowed for r in robots.robots_allowed(df, by_origin, hot_rows=5).collect()}
     expected = {"http://gone/a": True, "http://none/a": True}
@@ -187,12 +187,23 @@ def test_robots_against_standard_library(spark, agent):
     assert got == expected
 
 
+def test_a_newer_file_without_rules_replaces_an_older_one(spark):
+    deny, other = "User-agent: *\nDisallow: /", "User-agent: else\nDisallow: /"
+    files = spark.createDataFrame(
+        [("http://a", at(0), 200, deny), ("http://a", at(1800), 404, None), ("http://b", at(0), 200, deny), ("http://b", at(1800), 200, other), ("http://c", at(0), 200, deny)],
+        "origin string, fetched_at timestamp, status int, body string",
+    )
+    by_origin = robots.latest_rules(robots.agent_rules(robots.robots_rules(files), "mill/1.0"), files, F.lit(at(2400)))
+    urls = spark.createDataFrame([("http://a/x",), ("http://b/x",), ("http://c/x",)], "url string")
+    assert {r.url: r.allowed for r in robots.robots_allowed(urls, by_origin).collect()} == {"http://a/x": True, "http://b/x": True, "http://c/x": False}
+
+
 def test_robots_freshness(spark):
     rules = spark.createDataFrame(
         [("o", at(0), [(0, True, "/old")]), ("o", at(100), [(0, True, "/new")]), ("o", at(9000), [(0, True, "/future")]), ("p", at(0), [(0, True, "/")])],
         "origin string, fetched_at timestamp, rules array<struct<line:int,allow:boolean,path:string>>",
     )
-    latest = {r.origin: r.rules[0].path for r in robots.latest_rules(rules, F.lit(at(3650))).collect()}
+    latest = {r.origin: r.rules[0].path for r in robots.latest_rules(rules, rules, F.lit(at(3650))).collect()}
     assert latest == {"o": "/new"}
     rng = random.Random(1)
     files = [("o" if rng.random() < 0.7 else "p", rng.randrange(0, 40000)) for _ in range(40)]
