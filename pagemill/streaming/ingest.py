@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pagemill.functions.values import HASH_RETENTION_DAYS, PRIORITY_HIGH, REPORT_SECONDS
 from pagemill.operators.dedup import DEFAULT, greedy_dedup, key_rows, with_keys
@@ -13,7 +13,8 @@ from pagemill.operators.extract import extract_pages
 from pagemill.operators.frontier import tasks
 from pagemill.schemas import PAGES, SEEN_KEYS
 
-_KEYS_SCHEMA = StructType([*SEEN_KEYS.fields, StructField("batch_id", LongType())])
+_KEYS_SCHEMA = StructType([*SEEN_KEYS.fields, StructField("run", StringType()), StructField("batch_id", LongType())])
+_ONCE = {"availableNow": True}
 
 
 def stream_pages(
@@ -29,20 +30,26 @@ def stream_pages(
     return reader.load(path)
 
 
-def extract_stream(pages: DataFrame, path: str, checkpoint: str, mode: str = "auto", **rules) -> StreamingQuery:
-    """Extract every arriving page and append the records to ``path``.  Stateless, exactly once."""
+def extract_stream(
+    pages: DataFrame, path: str, checkpoint: str, mode: str = "auto", trigger: dict | None = None, **rules
+) -> StreamingQuery:
+    """Extract every arriving page and append the records to ``path``.  Stateless, exactly once.
+
+    ``trigger`` is as for ``writeStream.trigger``, as in ``{"processingTime": "1 minute"}``;
+    by default the stream takes what is there and ends.
+    """
     return (
         extract_pages(pages, mode, **rules).writeStream.format("parquet")
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or _ONCE)).start()
     )
 
 
-def _read_keys(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Keys of batches before ``before``: a replayed batch does not meet its own keys."""
+def _read_keys(spark: SparkSession, path: str, run: str, before: int) -> DataFrame:
+    """Keys of other runs and of this run's batches before ``before``: a replayed batch does not meet its own keys."""
     if not _exists(spark, path):
         return spark.createDataFrame([], _KEYS_SCHEMA)
-    return spark.read.schema(_KEYS_SCHEMA).parquet(path).filter(F.col("batch_id") < before)
+    return spark.read.schema(_KEYS_SCHEMA).parquet(path).filter((F.col("run") != run) | (F.col("batch_id") < before))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -59,20 +66,28 @@ def dedup_stream(
     id: str,
     now: Column | None = None,
     retention_days: int | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep-first over several keys, across batches.
 
     No single key partitions this state, so each batch is checked against a
     table of stored keys, deduplicated in itself, and written with its keys
-    under its batch number: a batch that runs again overwrites its own output
-    and changes nothing.  Pages are written before keys, and keys of later
+    under its run and batch number: a batch that runs again overwrites its own
+    output and changes nothing.  The run is the query's id, which lives in the
+    checkpoint: a new checkpoint is a new run, which sees the keys of all
+    earlier runs and never overwrites their output.  One run at a time may
+    write to a pair of tables.  Pages are written before keys, and keys of later
     batches are never read, so a lost driver cannot leave a batch half seen.
     """
     first_seen = F.current_timestamp() if now is None else now
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _read_keys(spark, keys_path, batch_id)
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if run is None:
+            raise RuntimeError("the streaming query's id is not known")
+        place = f"run={run}/batch_id={batch_id}"
+        seen = _read_keys(spark, keys_path, run, batch_id)
         if retention_days is not None:
             seen = seen.filter(F.col("first_seen") >= first_seen - F.make_dt_interval(F.lit(retention_days)))
         keyed = with_keys(batch).persist()
@@ -81,10 +96,10 @@ def dedup_stream(
         seen = seen.join(asked, ["key_type", "key"], "left_semi")
         try:
             kept = greedy_dedup(keyed, order, DEFAULT, id, seen).filter("kept").drop("kept").persist()
-            kept.write.mode("overwrite").parquet(f"{pages_path}/batch_id={batch_id}")
+            kept.write.mode("overwrite").parquet(f"{pages_path}/{place}")
             (
                 key_rows(kept, DEFAULT, carry=()).distinct().withColumn("first_seen", first_seen)
-                .write.mode("overwrite").parquet(f"{keys_path}/batch_id={batch_id}")
+                .write.mode("overwrite").parquet(f"{keys_path}/{place}")
             )
             kept.unpersist()
         finally:
@@ -92,7 +107,7 @@ def dedup_stream(
 
     return (
         records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or _ONCE)).start()
     )
 
 

@@ -61,13 +61,13 @@ def test_metrics(spark):
     rows = [("g", "gauge", DAY, i, float(i), {"b": "1", "a": "2"}) for i in range(1500)]
     rows += [("c", "counter", DAY + datetime.timedelta(seconds=i), i, 1.0, {"a": "2", "b": "1"} if i % 2 else {"b": "1", "a": "2"}) for i in range(9)]
     df = spark.createDataFrame(rows, METRIC_POINTS)
-    assert {r.name: r.value for r in metrics.current_values(df).collect()} == {"g": 1499.0, "c": 1.0}
+    assert {r.name: r.value for r in metrics.current_values(df).collect()} == {"g": 1499.0, "c": 9.0}
     assert [tuple(r) for r in metrics.counters(df).collect()] == [("c", "a=2,b=1", 9.0)]
     recent = metrics.recent_points(df).filter("name = 'g'")
     assert recent.count() == 1000 and recent.agg(F.min("seq")).first()[0] == 500
     exported = {r.name: r for r in metrics.export_metrics(df).collect()}
     assert [p.value for p in exported["g"].points] == [float(i) for i in range(1400, 1500)]
-    assert exported["c"].current_value == 1.0
+    assert exported["c"].current_value == 9.0
     values = [rng.choice([0.005, 0.3, 1.0, rng.random() * 20]) for _ in range(500)]
     hist = metrics.histogram(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()
     assert {r.le: r.cumulative_count for r in hist} == {r.le: sum(v <= r.le for v in values) for r in hist}
@@ -139,6 +139,25 @@ def test_stream_dedup_equals_batch(spark, small, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(pages).collect()) == sorted(expected)
 
 
+def test_runs_with_their_own_checkpoints_keep_each_other(spark, tmp_path):
+    """A second run on the same tables loses nothing of the first and finds duplicates of it."""
+    pages, keys = str(tmp_path / "pages"), str(tmp_path / "keys")
+    inputs = ([(1, "http://h/a", "one text")], [(2, "http://h/b", "other words"), (3, "http://h/a", "changed")])
+    for k, rows in enumerate(inputs):
+        df = spark.createDataFrame(rows, "id long, url string, content string")
+        df.write.parquet(str(tmp_path / f"in{k}"))
+        stream = ingest.stream_pages(spark, str(tmp_path / f"in{k}"), schema=df.schema)
+        ingest.dedup_stream(stream, pages, keys, str(tmp_path / f"state{k}"), "id", "id").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(pages).collect()) == [1, 2]
+
+
+def test_gauges_take_every_number_and_percentiles_no_key(spark):
+    one = spark.sql("SELECT 1S AS a, 2Y AS b, CAST(3.5 AS DECIMAL(5, 2)) AS c, 'x' AS d, 4L AS e")
+    assert {r.name: r.value for r in metrics.as_gauges(one, "").collect()} == {"a": 1.0, "b": 2.0, "c": 3.5, "e": 4.0}
+    values = spark.range(1, 101).select(F.col("id").cast("double").alias("v"))
+    assert [tuple(r) for r in metrics.percentiles(values, "v", [], [0.5]).collect()] == [(0.5, 50.0)]
+
+
 def test_stream_extraction_equals_batch(spark, small, tmp_path):
     out = str(tmp_path / "out")
     stream = ingest.stream_pages(spark, small, schema=PAGES, pattern="pages.parquet")
