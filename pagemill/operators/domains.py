@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.skew import salted_join
 
-_MAX_HOST = 253
-
 
 def matching_domains(domains: DataFrame, entries: DataFrame, match: str = "substring") -> DataFrame:
     """Distinct ``domain`` values that match some ``entry``.
 
     A substring test has no join key, so every domain is cut into its
-    substrings of those lengths that occur among the entries (a domain has at
-    most 253 characters), and these are joined by equality.
+    substrings of those lengths that occur among the entries and are not above
+    its own, and these are joined by equality.
     """
     distinct = domains.select("domain").distinct()
     entries = entries.select(F.lower("entry").alias("piece")).filter(F.col("piece") != "").distinct()
@@ -27,18 +25,13 @@ def matching_domains(domains: DataFrame, entries: DataFrame, match: str = "subst
         )
         cut = distinct.withColumn("piece", F.explode(pieces))
     else:
-        # At most 253 different lengths, whatever the number of entries.
-        lengths = [
-            r["n"]
-            for r in entries.select(F.length("piece").alias("n")).filter(F.col("n") <= _MAX_HOST).distinct().collect()
-        ]
-        positions = F.sequence(F.lit(1), F.length("domain"))
-
-        def pieces_of(n: int):
-            return F.transform(positions, lambda i: F.substring("domain", i, F.lit(n)))
-
-        cuts = [pieces_of(n) for n in lengths]
-        whole = F.array_distinct(F.flatten(F.array(*cuts))) if cuts else F.array().cast("array<string>")
+        lengths = F.lit([r["n"] for r in entries.select(F.length("piece").alias("n")).distinct().collect()]).cast("array<int>")
+        own = F.length("domain")
+
+        def pieces_of(n):
+            return F.transform(F.sequence(F.lit(1), own - n + 1), lambda i: F.substring("domain", i, n))
+
+        whole = F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: n <= own), pieces_of)))
         cut = distinct.withColumn("piece", F.explode(whole))
     return cut.join(entries, "piece", "left_semi").select("domain").distinct()
 

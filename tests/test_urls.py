@@ -120,3 +120,12 @@ def test_hashes(spark):
     row = df.select(U.storage_hash(F.col("u")).alias("s"), U.url_key_hash(F.col("u")).alias("k")).first()
     assert row.s == hashlib.sha256(b"HTTP://H.com/a/?utm_source=1").hexdigest()
     assert row.k == hashlib.sha256(b"http://h.com/a").hexdigest()
+
+
+def test_long_list_entries_block(spark):
+    """An authority may be longer than a host name; entries of any length count."""
+    df = spark.createDataFrame([("u" * 300 + "@h.org",), ("h.org",), ("",), (None,)], "domain string")
+    for entry, hits in (("u" * 260, 1), ("U" * 300 + "@h.org", 1), ("u" * 301, 0), ("h.org", 2)):
+        entries = spark.createDataFrame([(entry,), ("not there",)], "entry string")
+        assert matching_domains(df, entries).count() == hits
+    assert matching_domains(df, spark.createDataFrame([], "entry string")).count() == 0
