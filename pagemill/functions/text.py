@@ -146,7 +146,7 @@ def _decode_foreign(body: pd.Series, charset: pd.Series) -> pd.DataFrame:
             return True, bytes(raw).decode(name)
         except UnicodeDecodeError:
             return True, None
-        except LookupError:
+        except (LookupError, ValueError):  # unknown, or a name no codec can take
             return False, None
 
     return pd.DataFrame([one(raw, name) for raw, name in zip(body, charset)], columns=["known", "text"])
