@@ -2,9 +2,9 @@
 
 Every stage reads all that its predecessor kept, as Parquet, and all but the
 last return the columns of ``documents``.  Results are whole: nothing but what
-a stage's own decision rejects is left out.  Two rows that agree in id and
-text are judged alike, so decisions are joined back by id where ids are
-unique and by id and text where they may not be.
+a stage's own decision rejects is left out.  Ids may be null or shared by many
+rows, so a stage that rejects rows first writes its input with a key for each
+row, and decisions are joined back by that key.
 """
 
 from __future__ import annotations
@@ -19,26 +19,35 @@ from pagemill.session import written
 ORACLE_SQL = None  # a fitted classifier, fingerprints and packing are no SQL; tests hold the stages against brute force
 
 
-def _where(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids are among ``ids``; null equals null."""
-    chosen = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+ROW, KEY = "_row", "_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, written with ``ROW``, a number of its own for each row."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _where(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose row numbers are among ``rows``, with their own columns."""
+    return keyed.join(rows.select(ROW), ROW, "left_semi").drop(ROW, KEY)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality scorer keeps (operator 7).  Rows that share an id go together, by the worst of their scores."""
-    scores = quality.quality_scores(docs)
-    return _where(docs, scores.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept"))
+    """Documents that the quality scorer keeps (operator 7), each row by its own text."""
+    keyed = _keyed(docs)
+    return _where(keyed, quality.quality_scores(keyed, row_col=ROW).filter("kept"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (operator 9)."""
-    return _where(docs, exact_dedup.exact_duplicates(docs).filter("kept"))
+    """One row of each group of equal texts (operator 9, where a null id counts as smallest)."""
+    keyed = _keyed(docs).withColumn(KEY, F.struct("doc_id", ROW))
+    return _where(keyed, exact_dedup.exact_duplicates(keyed, KEY).filter("kept").select(F.col(KEY)[ROW].alias(ROW)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id (operator 10)."""
-    return _where(docs, simhash.near_duplicates(docs).filter("doc_id <=> component_id"))
+    """Of each group of linked fingerprints one row with the smallest id (operator 10), and one with a null id only where there is no other."""
+    keyed = _keyed(docs).withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", ROW))
+    return _where(keyed, simhash.near_duplicates(keyed, KEY).filter(F.col(KEY)[ROW] == F.col("component_id")[ROW]).select(F.col(KEY)[ROW].alias(ROW)))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

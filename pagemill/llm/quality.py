@@ -114,16 +114,18 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4096, threshold: float = 0.5) -> DataFrame:
+def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4096, threshold: float = 0.5, row_col: str | None = None) -> DataFrame:
     """For each row ``id_col``, ``fired`` (bits), ``weak_bad`` (posterior), ``score`` (1 is good) and ``kept`` (``score >= threshold``).
 
     The scorer is fitted on at most ``sample_rows`` rows with the smallest
     hashes of their ids; the labellers' accuracies come from all rows.  Null
     texts count as empty; empty texts fire nothing and their score is the
     scorer's intercept, so they stay where most texts are good.  Repeated rows
-    get equal results.
+    get equal results.  ``row_col`` names a column that is handed through, a
+    key of the rows where ids are none.
     """
-    source = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    through = [] if row_col is None else [row_col]
+    source = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *(F.col(c).alias("row") for c in through))
     kind = source.schema["id"].dataType.simpleString()
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +151,8 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             sets = np.array([fired(t) for t in texts], np.int64)
             weak = _posterior((sets[:, None] >> np.arange(len(LABELLERS))) & 1, share, bad, good)
             scores = np.array([1 / (1 + np.exp(-(features(t) @ weights + base))) for t in texts])
-            columns = [batch.column("id"), pa.array(sets, pa.int32()), pa.array(weak), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fired", "weak_bad", "score"])
+            columns = [batch.column("id"), pa.array(sets, pa.int32()), pa.array(weak), pa.array(scores), *(batch.column("row") for _ in through)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fired", "weak_bad", "score", *("row" for _ in through)])
 
-    scored = source.mapInArrow(score, f"id {kind}, fired int, weak_bad double, score double")
-    return scored.select(F.col("id").alias(id_col), "fired", "weak_bad", "score", (F.col("score") >= threshold).alias("kept"))
+    scored = source.mapInArrow(score, f"id {kind}, fired int, weak_bad double, score double" + "".join(f", row {source.schema['row'].dataType.simpleString()}" for _ in through))
+    return scored.select(F.col("id").alias(id_col), "fired", "weak_bad", "score", (F.col("score") >= threshold).alias("kept"), *(F.col("row").alias(c) for c in through))

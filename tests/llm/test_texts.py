@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, pii, quality, sharding, simhash, toxicity
 from pagemill.llm.queries import LLM_QUERIES
@@ -120,3 +121,29 @@ def test_pipeline(spark, small):
     assert set(out.doc_id) == {r.doc_id for r in near.collect()}
     assert (out.groupby("sequence_id").length.sum() <= 4096).all()
     assert "op4_best_fit_packing" in LLM_QUERIES
+
+
+def test_pipeline_without_unique_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = [f"The {a} walked to the {b} and spoke, softly." for a in ("fox", "cat", "dog", "owl") for b in ("house", "river", "bridge", "market", "garden")]
+    junk = "$$ @@ ## %% ^^ && | | $$ @@ ## %% | | " * 6
+    texts = [(None, t) for t in plain[:8]] + [(7, t) for t in plain[8:16]] + [(k, t) for k, t in enumerate(plain[16:], 20)]
+    texts += [(None, junk), (7, junk), (None, None), (None, None)] + [(k, junk + str(k)) for k in range(40, 46)]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in texts], schema)
+    got = corpus_pipeline.drop_low_quality(spark, docs, "")
+    verdict = {r.doc_id: r.kept for r in quality.quality_scores(docs.withColumn("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))).collect()}
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    assert got.columns == docs.columns and not all(verdict.values())
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(str((r.doc_id, r.text)) for r in hashed if verdict[r.h])
+
+    rows = [(None, "a b"), (None, "ab"), (None, "a b"), (3, "a b"), (3, "a b"), (3, "c"), (None, "c"), (5, "d"), (5, "d"), (None, "e"), (None, "f")]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in rows], schema)
+    left = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("None", "a b"), ("None", "c"), ("5", "d"), ("None", "e"), ("None", "f")])
+
+    rows = [(None, "one two three four"), (None, "One two  three four"), (None, plain[0]), (4, plain[0]), (4, plain[0]), (2, plain[0]), (4, plain[7]), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in rows], schema)
+    left = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower().split()) for r in left) == sorted([("None", "one two three four".split()), ("2", plain[0].lower().split()), ("4", plain[7].lower().split()), ("None", [])])
