@@ -3,9 +3,13 @@
 Seeds are what fixed patterns find: addresses of mail and network, card and
 phone numbers.  The word before an entity is a lexical pattern.  Identifier-
 like tokens after the same words are candidates.  Patterns and instances form
-a graph, which is scored in rounds: a pattern is as good as the instances it
-stands before, an instance as good as the patterns that stand before it.
-Candidates of patterns with high scores are found entities, kind ``context``.
+a graph, which is scored in rounds.  A pattern's score is the share of its
+occurrences whose instances are seeds or accepted; a candidate is accepted for
+a pattern when the mean score of the other patterns it follows is high, so none
+raises the pattern it is judged by.  Both are shares of occurrences: more text
+of the same kind leaves them where they are, while shares of distinct instances
+would rise, as seeds stay new and clean numbers come again.  Candidates of
+patterns with high scores are found entities, kind ``context``.
 
 Positions come from splitting a text by a pattern: gaps and matches alternate,
 so running sums of their lengths are the places.  Patterns are written with
@@ -77,12 +81,14 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return out.withColumn("stop", stop).select("row", "id", "mark", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop", "valid", "instance", "before")
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_score: float = 0.8, least_seeds: int = 3) -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_score: float = 0.8, least_seeds: int = 3, least_share: float = 0.1) -> DataFrame:
     """``row``, ``id``, ``mark`` (hash of the text) and ``found``: the sorted spans ``(start, kind number, stop, kind)`` of each row of ``df``; empty where there are none.
 
     Null texts count as empty.  Base spans always stay; a context span is added
-    where it touches none of them and its pattern has ``least_seeds`` seeds and
-    a score of ``least_score``.  Repeated rows have equal spans of their own.
+    where it touches none of them and its pattern has a score of ``least_score``,
+    ``least_seeds`` seeds and seeds for a share of ``least_share`` of its
+    occurrences; the last keeps a frequent word from passing by a count alone.
+    Repeated rows have equal spans of their own.
     """
     every = written(spans(df, id_col, text_col), "pii-spans")
     good = every.filter("valid")
@@ -95,16 +101,19 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     free = ~is_base & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("stop")) >= F.col("stop"))
     candidates = written(beside.filter(free).drop("reach", "next"), "pii-candidates")
     edges = written(
-        base.unionByName(candidates).filter("before <> ''").groupBy("before", "instance").agg(F.max(F.col("kind") != "context").cast("double").alias("seed")), "pii-graph",
+        base.unionByName(candidates).filter("before <> ''").groupBy("before", "instance").agg(F.max(F.col("kind") != "context").cast("double").alias("seed"), F.count(F.lit(1)).alias("n")), "pii-graph",
     )
-    scores = edges.select("instance", "seed").groupBy("instance").agg(F.max("seed").alias("score"))
+    share = lambda good: F.sum(F.when(good, F.col("n")).otherwise(0)) / F.sum("n")
+    is_seed = F.col("seed") == 1
+    patterns = edges.groupBy("before").agg(share(is_seed).alias("p"))
     for _ in range(rounds):
-        patterns = edges.join(scores, "instance").groupBy("before").agg(F.avg("score").alias("p"), F.sum("seed").alias("seeds"))
-        patterns = patterns.filter(F.col("seeds") >= least_seeds)
-        miss = F.sum(F.log(F.lit(1.0) - F.least(F.col("p"), F.lit(0.999))))
-        scores = written(edges.join(patterns, "before", "left").groupBy("instance").agg(
-            F.greatest(F.max("seed"), F.lit(1.0) - F.exp(F.coalesce(miss, F.lit(0.0)))).alias("score")), "pii-scores")
-    strong = patterns.filter(F.col("p") >= least_score).select("before")
+        judged = edges.join(patterns.select("before", "p"), "before")
+        whole = judged.groupBy("instance").agg(F.sum(F.col("n") * F.col("p")).alias("mass"), F.sum("n").alias("times"))
+        others = (F.col("mass") - F.col("n") * F.col("p")) / F.nullif(F.col("times") - F.col("n"), F.lit(0))
+        accepted = is_seed | (F.coalesce(others, F.lit(0.0)) >= least_score)
+        patterns = written(judged.join(whole, "instance").groupBy("before").agg(
+            share(accepted).alias("p"), F.sum("seed").alias("seeds"), share(is_seed).alias("share")), "pii-scores")
+    strong = patterns.filter((F.col("p") >= least_score) & (F.col("seeds") >= least_seeds) & (F.col("share") >= least_share)).select("before")
     added = candidates.join(strong, "before", "left_semi")
     entry = F.struct("start", _rank(F.col("kind")).alias("rank"), "stop", "kind")
     found = base.unionByName(added).groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("found"))

@@ -147,3 +147,23 @@ def test_pipeline_without_unique_ids(spark, tmp_path):
     docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in rows], schema)
     left = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted((str(r.doc_id), (r.text or "").lower().split()) for r in left) == sorted([("None", "one two three four".split()), ("2", plain[0].lower().split()), ("4", plain[7].lower().split()), ("None", [])])
+
+
+def _context_rows(times):
+    """A fixture of 116 texts, repeated with new seeds and identifiers: common clean numbers follow many words, each of which has some seeds."""
+    out, words = [], [f"w{chr(97 + k)}" for k in range(8)]
+    for t in range(times):
+        for k, word in enumerate(words):
+            out += [f"{word} p{t}x{k}y{i}@d.co" for i in range(4)]
+            out += [f"{word} {1990 + i}" for i in range(8)]
+        out += [f"call p{t}z{i}@d.co" for i in range(9)] + [f"call ext-{t}00{i} so" for i in range(2)]
+        out += [f"ring ext-{t}00{i} so" for i in range(2)] + [f"ring p{t}r{i}@d.co" for i in range(3)] + [f"in 1990 and {t}7" for _ in range(4)]
+    return out
+
+
+def test_contexts_do_not_grow_with_size(spark):
+    for times in (1, 10, 100):
+        table = spark.createDataFrame(list(enumerate(_context_rows(times))), "doc_id long, text string").repartition(8)
+        found = pii.pii_digest(table).withColumnRenamed("doc_id", "id").join(table, F.col("id") == F.col("doc_id")).filter("n_context > 0")
+        words = {r.text.split()[0]: r["count"] for r in found.withColumn("text", F.split("text", " ")[0]).groupBy("text").count().collect()}
+        assert words == {"call": 2 * times, "ring": 2 * times}
