@@ -11,7 +11,8 @@ of the same kind leaves them where they are, while shares of distinct instances
 would rise, as seeds stay new and clean numbers come again.  Candidates of
 patterns with high scores are found entities, kind ``context``.
 
-Positions come from splitting a text by a pattern: gaps and matches alternate,
+A candidate is a token that has a digit anywhere, without the punctuation at its
+ends.  Positions come from splitting a text by a pattern: gaps and matches alternate,
 so running sums of their lengths are the places.  Patterns are written with
 possessive parts and cannot backtrack over a long text.
 """
@@ -33,10 +34,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "context": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*+(?<=[0-9])(?![^\x20\x09-\x0D])",
+    # A whole token with a digit, anywhere in it; its punctuation at both ends is trimmed below.
+    "context": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+",
 }
-# The word before a match, read from the end of the gap before it.
-_BEFORE = r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]{0,4}$"
+_SIGN, _NO_SIGN = r"[^\p{L}\p{M}\p{N}]", r"[\p{L}\p{M}\p{N}]"
+_SPACE = " \t\n\x0b\x0c\r"
+_WORD = 40  # of a longer word before a match, its last characters
 
 
 def _digits(found: Column) -> Column:
@@ -60,15 +63,35 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _before(gaps: Column, found: Column, i: Column, kind: str) -> Column:
+    """The word that ends before match ``i``, at any distance of white space; it may lie in earlier matches."""
+    last = lambda left: F.right(F.rtrim(left, F.lit(_SPACE)), F.lit(_WORD + 1))
+    gap = last(F.get(gaps, i))
+    if kind == "context":  # a match ends where white space begins, so the word is in the gap or the whole match before
+        word = F.when((gap == "") & (i > 0), F.get(found, i - 1)).otherwise(gap)
+    else:
+        # Each match has a character at least, so this many reach back over a word.
+        back = F.transform(F.sequence(F.greatest(i - _WORD - 1, F.lit(0)), i - 1), lambda j: F.concat(F.get(gaps, j), F.get(found, j)))
+        inside = (F.length(gap) > _WORD) | gap.rlike(r"[\x20\x09-\x0D]")
+        word = F.when((i == 0) | inside, gap).otherwise(last(F.concat(F.array_join(back, ""), F.get(gaps, i))))
+    return F.lower(F.regexp_extract(F.right(word, F.lit(_WORD)), r"[^\x20\x09-\x0D]++\z", 0))
+
+
 def _matches(text: Column, kind: str) -> Column:
-    """``kind``, ``k``, ``gap`` (code points before, since the last match), ``found``, ``size`` and the word ``before``, in order."""
+    """``kind``, ``k``, ``gap`` (code points before, since the last match), ``size``, ``lead`` and ``tail`` (trimmed off), ``instance`` and the word ``before``, in order."""
     pattern = PATTERNS[kind]
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.transform(found, lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("k"), F.length(F.get(gaps, i)).cast("long").alias("gap"), F.length(m).cast("long").alias("size"),
-        _valid(kind, m).alias("valid"), F.sha2(m, 256).alias("instance"),
-        F.lower(F.regexp_extract(F.right(F.get(gaps, i), F.lit(48)), _BEFORE, 1)).alias("before"),
-    ))
+    def one(m: Column, i: Column) -> Column:  # noqa: E306
+        headless = F.regexp_replace(m, rf"\A{_SIGN}++", "") if kind == "context" else m
+        core = F.regexp_replace(headless, rf"(?<={_NO_SIGN}){_SIGN}++\z", "") if kind == "context" else m
+        size = lambda c: F.length(c).cast("long")
+        valid = _valid(kind, m)
+        return F.struct(
+            F.lit(kind).alias("kind"), i.alias("k"), size(F.get(gaps, i)).alias("gap"), size(m).alias("size"),
+            (size(m) - size(headless)).alias("lead"), (size(headless) - size(core)).alias("tail"), valid.alias("valid"), F.sha2(core, 256).alias("instance"),
+            F.when(valid, _before(gaps, found, i, kind)).otherwise("").alias("before"),
+        )
+    return F.transform(found, one)  # noqa: E305
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,7 +101,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     out = rows.select("row", "id", "mark", F.explode_outer(every).alias("m")).select("row", "id", "mark", "m.*").repartition("row")
     order = Window.partitionBy("row", "kind").orderBy("k")
     stop = F.sum(F.col("gap") + F.col("size")).over(order)
-    return out.withColumn("stop", stop).select("row", "id", "mark", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop", "valid", "instance", "before")
+    start = F.col("stop") - F.col("size") + F.col("lead")
+    return out.withColumn("stop", stop).select("row", "id", "mark", "kind", start.alias("start"), (F.col("stop") - F.col("tail")).alias("stop"), "valid", "instance", "before")
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_score: float = 0.8, least_seeds: int = 3, least_share: float = 0.1) -> DataFrame:

@@ -167,3 +167,21 @@ def test_contexts_do_not_grow_with_size(spark):
         found = pii.pii_digest(table).withColumnRenamed("doc_id", "id").join(table, F.col("id") == F.col("doc_id")).filter("n_context > 0")
         words = {r.text.split()[0]: r["count"] for r in found.withColumn("text", F.split("text", " ")[0]).groupBy("text").count().collect()}
         assert words == {"call": 2 * times, "ring": 2 * times}
+
+
+def test_contexts_inside_punctuation(spark):
+    rows = [f"some words call +1 (663) 555-68{i} please" for i in range(10, 60)] + [f"write      a{i}@b.co" for i in range(9)]
+    rows += [f"to a{i}@b.co c{i}@d.co" for i in range(9)] + [f"ref: \u00e9p{i}@x.co" for i in range(9)]
+    odd = {
+        "call ext-5512, please": "ext-5512", "call (AB-99)": "AB-99", "call      AB12C.": "AB12C", "call \t \n  X7": "X7", "write 12-3456.": "12-3456",
+        "call, X8": None, "call nothing": None, "call x-" + "-" * 20_000 + "1!": "x-" + "-" * 20_000 + "1", "call 7-up's": "7-up's",
+        "call \U0001f600Z5\U0001f600\u2028": "Z5",
+    }
+    texts = rows + list(odd)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s.startswith("context")] for r in pii.pii_digest(table).collect()}
+    assert [[texts[k][int(a):int(b)] for _, a, b in found[k]] for k in range(len(rows), len(texts))] == [[w] if w else [] for w in odd.values()]
+    words = pii.spans(table).filter("valid and kind = 'email'").select("before").distinct().collect()
+    assert {w.before for w in words} >= {"write", "to", *(f"a{i}@b.co" for i in range(9))}
+    beside = spark.createDataFrame([(0, "10.0.0.1,10.0.0.2\n\n\n\n\n\n 10.0.0.3 x10.0.0.4y  10.0.0.5")], "doc_id long, text string")
+    assert [r.before for r in pii.spans(beside).filter("kind = 'ip'").orderBy("start").collect()] == ["", "10.0.0.1,", "10.0.0.1,10.0.0.2", "x", "x10.0.0.4y"]
