@@ -5,7 +5,8 @@ together is counted over all documents (at most 2**labellers rows), and
 expectation-maximisation finds from these counts how often each labeller fires
 on bad and on good texts.  The posterior of a document's firing set is its
 label.  A logistic scorer over hashed word shapes learns these labels from a
-bounded sample and decides on every document.
+bounded sample and decides on every document.  A long word is read to its end,
+as consecutive shapes, so text without blanks is judged by all of it.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ LABELLERS = ("symbol_words", "symbol_share", "upper_words", "bang_words", "bars"
 
 
 @functools.lru_cache(1 << 17)
-def shape(word: str) -> str:
-    """A word with letters and digits folded: ``Then,`` is ``a,``, ``THEN!!`` is ``A!!``."""
+def _folded(word: str) -> tuple[str, ...]:
     for pattern, sign in _SHAPES:
         word = pattern.sub(sign, word)
-    return word[:8]
+    return tuple(word[i:i + 8] for i in range(0, len(word), 8))
+
+
+def shapes_of(word: str) -> tuple[str, ...]:
+    """A word with letters and digits folded, in pieces of 8 signs: ``Then,`` is ``a,``, ``THEN!!`` is ``A!!``."""
+    return _folded(word) if len(word) <= 64 else _folded.__wrapped__(word)
 
 
 @functools.lru_cache(1 << 16)
@@ -52,10 +57,10 @@ def fired(text: str) -> int:
     words = text.split()
     if not words:
         return 0
-    shapes, n = [shape(w) for w in words], len(words)
-    odd = sum(any(c not in "aA0.,;:'\"()-?!’" for c in s) for s in shapes) / n
+    parts, n = [shapes_of(w) for w in words], len(words)
+    odd = sum(any(c not in "aA0.,;:'\"()-?!’" for c in s) for p in parts for s in p) / sum(map(len, parts))
     signs = sum(not (c.isalnum() or c.isspace() or c in ".,;:'\"()-?!") for c in text) / len(text)
-    upper = sum(s.startswith("A") and len(w) > 1 for s, w in zip(shapes, words)) / n
+    upper = sum(p[0].startswith("A") and len(w) > 1 for p, w in zip(parts, words)) / n
     bang = sum(w.endswith("!!") for w in words) / n
     bars = sum(w == "|" for w in words) / n
     same = sum(a == b for a, b in zip(words, words[1:])) / n
@@ -69,14 +74,14 @@ def features(text: str) -> np.ndarray:
     words = text.split()
     if not words:
         return found
-    shapes = [shape(w) for w in words]
+    shapes = [s for w in words for s in shapes_of(w)]
     counts: dict[str, int] = {}
     for s in shapes:
         counts[s] = counts.get(s, 0) + 1
     for a, b in zip(shapes, shapes[1:]):
         counts[a + " " + b] = counts.get(a + " " + b, 0) + 1
     for name, n in counts.items():
-        found[bucket(name)] += n / len(words)
+        found[bucket(name)] += n / len(shapes)
     found[bucket(f"again {round(10 * _again(words))}")] += 1
     return np.sqrt(found)
 

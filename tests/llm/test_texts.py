@@ -185,3 +185,12 @@ def test_contexts_inside_punctuation(spark):
     assert {w.before for w in words} >= {"write", "to", *(f"a{i}@b.co" for i in range(9))}
     beside = spark.createDataFrame([(0, "10.0.0.1,10.0.0.2\n\n\n\n\n\n 10.0.0.3 x10.0.0.4y  10.0.0.5")], "doc_id long, text string")
     assert [r.before for r in pii.spans(beside).filter("kind = 'ip'").orderBy("start").collect()] == ["", "10.0.0.1,", "10.0.0.1,10.0.0.2", "x", "x10.0.0.4y"]
+
+
+def test_quality_reads_long_words(spark):
+    plain = [f"The {a} walked to the {b} and spoke, softly." for a in ("fox", "cat", "dog", "owl") for b in ("house", "river", "bridge", "market", "garden")]
+    clean, junk = [f"one,two,six,ten,{'red,sea,' * k}" for k in range(1, 11)], [f"one,two,six,ten,{'$%#' * (40 + k)}" for k in range(10)]
+    table = spark.createDataFrame(list(enumerate(plain + clean + junk)), "doc_id long, text string")
+    kept = {r.doc_id for r in quality.quality_scores(table).filter("kept").collect()}
+    assert kept == set(range(len(plain) + len(clean)))
+    assert quality.fired(junk[0]) & 1 and not np.array_equal(quality.features(clean[0]), quality.features(junk[0]))
