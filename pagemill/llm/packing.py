@@ -2,10 +2,11 @@
 
 Pieces are dealt over partitions of bounded size, and each is packed by
 best-fit decreasing.  Dual feasible functions give a lower bound on its bins.
-A partition that meets its bound is certified and final.  The others keep what
-is filled to the brim, give the rest to new partitions, mixed anew, and pack
-again; what they give up comes back in no more bins, or the earlier packing
-stays.
+A partition that meets its bound is certified and final but for its least
+filled bin.  The others keep what is filled to the brim.  These bins and the
+rest go to new partitions, mixed anew, and are packed again; what is given up
+comes back in no more bins, or the earlier packing stays.  This ends with one
+partition, or after a fixed number of rounds.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tokenizers import Tokenizer
 from pagemill.llm.common import slices, text_of
 from pagemill.session import written
 
-_PACKED = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long, part long, round int, bin int, offset long, bins int, bound int, room long"
+_PACKED = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long, part long, round int, bin int, offset long, bins int, bound int, room long, last boolean"
 
 
 @functools.lru_cache(2)
@@ -90,10 +91,13 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def pack(cut: DataFrame, size: int = 4096, part_rows: int = 4096, rounds: int = 6) -> DataFrame:
+def pack(cut: DataFrame, size: int = 4096, part_rows: int = 4096, rounds: int = 6, least_bins: int = 64) -> DataFrame:
     """``cut`` with ``sequence_id`` and ``offset`` for each piece, and ``certified``: its partition met its bound.
 
-    A partition holds about ``part_rows`` pieces whatever the size of the table.
+    A partition holds about ``part_rows`` pieces whatever the size of the table,
+    or more where these would not fill ``least_bins`` sequences.  There are at
+    most ``rounds`` rounds; after the last, a partition may keep a bin that is
+    partly filled.
     Pieces are dealt by place, not by value, so repeated rows spread.  An empty
     table gives no sequences.
     """
@@ -111,26 +115,26 @@ def pack(cut: DataFrame, size: int = 4096, part_rows: int = 4096, rounds: int =
         lengths = group.length.to_numpy()
         where, offset = best_fit(lengths, size)
         held = np.bincount(where, weights=lengths).astype(np.int64)
-        made = group.assign(bin=where, offset=offset, bins=len(held), bound=lower_bound(lengths, size), room=size - held[where])
+        made = group.assign(bin=where, offset=offset, bins=len(held), bound=lower_bound(lengths, size), room=size - held[where], last=where == held.argmin())
         return made[[c.split()[0] for c in schema.split(", ")]]
 
     while True:
-        count = open_rows.count()
+        count, mass = open_rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         if count == 0:
             break
-        parts = max(1, math.ceil(count / part_rows))
+        parts = max(1, min(math.ceil(count / part_rows), math.ceil(mass / (least_bins * size))))
         dealt = open_rows.drop("was").withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts))).withColumn("round", F.lit(number))
         packed = written(dealt.groupBy("part").applyInPandas(fill, schema), "pack-round")
-        tally = packed.select("part", "bins", "bound").distinct().agg(F.sum("bins").alias("bins"), F.sum(F.when(F.col("bins") > F.col("bound"), 1).otherwise(0)).alias("gaps")).first()
+        tally = packed.select("part", "bins").distinct().agg(F.sum("bins").alias("bins")).first()
         sure = F.col("bins") == F.col("bound")
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "round", "part", "bin", "offset"]
         worse = bins_before is not None and tally["bins"] >= bins_before[0]
         if worse:  # the exchange gained nothing: the packing before it stays
-            final.append(bins_before[1].select(*names, F.lit(False).alias("certified")))
+            final.append(bins_before[1].select(*names, sure.alias("certified")))
             break
-        loose = packed.filter(~sure & (F.col("room") > 0))
-        settled = packed.filter(sure | (F.col("room") == 0))
-        if tally["gaps"] == 0 or parts == 1 or number + 1 >= rounds:
+        again = (F.col("room") > 0) & (~sure | F.col("last"))
+        loose, settled = packed.filter(again), packed.filter(~again)
+        if parts == 1 or number + 1 >= rounds:
             final.append(packed.select(*names, sure.alias("certified")))
             break
         final.append(settled.select(*names, sure.alias("certified")))

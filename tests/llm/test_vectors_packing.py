@@ -74,3 +74,13 @@ def test_packing(spark):
             assert held.length.sum() <= 64 and held.offset.tolist() == [0, *np.cumsum(held.length)[:-1].tolist()]
         assert out.sequence_id.nunique() <= 1.05 * packing.lower_bound(out.length.to_numpy(), 64)
     assert packing.pack_documents(table.limit(0), path).count() == 0
+
+
+def test_packing_many_partitions(spark):
+    for length in ("1 + id % 8", "1"):
+        cut = spark.range(30_000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", f"CAST({length} AS long) AS length", "0L AS ids_crc32")
+        out = packing.pack(cut, 64, part_rows=200).toPandas()
+        assert sorted(out.doc_id) == list(range(30_000)) and (out.groupby("sequence_id").length.sum() <= 64).all()
+        for _, held in out.sort_values("offset").groupby("sequence_id"):
+            assert held.offset.tolist() == [0, *np.cumsum(held.length)[:-1].tolist()]
+        assert out.sequence_id.nunique() <= packing.lower_bound(out.length.to_numpy(), 64) + 1
