@@ -1,10 +1,10 @@
-"""Token counts by a compiled transducer, without making the tokens.
+"""Token counts by cached merging of segments, without making the tokens.
 
 A merge never joins two characters that stand side by side in no entry of the
 vocabulary, so a text falls apart at such pairs, and its count is the sum over
-the segments.  That makes counting a deterministic transducer: its state is
-the segment open so far, a pair that cuts leads to a fresh state and emits the
-count of the segment closed.  Segment counts are compiled when first met.
+the segments.  A segment is counted by merging when first met, and its count is
+kept if it has up to 64 characters.  No states or transitions are compiled from
+the merge table: the state is the open segment itself.
 
 A chunk of text is then a function from states to states, kept as a triple:
 what it adds to the open segment, the count emitted after, and the segment it
