@@ -141,29 +141,31 @@ def _beside(nodes: Column, at: Column) -> Column:
 
 
 def _descend(level: DataFrame, above: DataFrame) -> DataFrame:
-    """``level`` with ``path``, where ``above`` (``tree, place, path``) has the paths of the next stored level."""
+    """``level`` with ``path`` and the other columns of ``above``, which has those of the next stored level."""
     parents = above.withColumnRenamed("place", "subtree")
+    others = [c for c in above.columns if c not in ("tree", "place", "path")]
     met = _with_middle(_subtrees(level)).join(parents, ["tree", "subtree"])
-    runs = met.select("tree", "total", "path", "middle", F.posexplode(_runs(F.col("held"))).alias("at", "run"))
+    runs = met.select("tree", "total", "path", *others, "middle", F.posexplode(_runs(F.col("held"))).alias("at", "run"))
     over = F.when(F.col("total") > FANOUT, F.array(_beside(F.col("middle"), F.col("at")))).otherwise(F.array().cast(_PATH))
-    ways = runs.select("tree", "total", F.concat(over, F.col("path")).alias("path"), "run")
+    ways = runs.select("tree", "total", *others, F.concat(over, F.col("path")).alias("path"), "run")
     nodes = ways.select("*", F.posexplode("run").alias("at", "held"))
     own = F.array(_beside(F.transform("run", lambda n: n["node"]), F.col("at")))
-    return nodes.select("tree", "total", "held.*", F.concat(own, F.col("path")).alias("path"))
+    return nodes.select("tree", "total", *others, "held.*", F.concat(own, F.col("path")).alias("path"))
 
 
 def paths(tree: Tree, above_roots: DataFrame) -> DataFrame:
     """The leaves of all trees with ``path``: the siblings from the leaf up, and then the path of their root.
 
-    ``above_roots`` has ``tree`` and the ``path`` of each tree's root.  Upper
-    levels, a small share of all nodes, are written; the leaves' paths are not.
+    ``above_roots`` has ``tree`` and the ``path`` of each tree's root, and
+    columns that all nodes of a tree get.  Upper levels, a small share of all
+    nodes, are written; the leaves' paths are not.
     """
-    found = None
+    kept, found = ["tree", "place", *(c for c in above_roots.columns if c != "tree")], None
     for height in range(len(tree.levels) - 1, -1, -1):
         level = tree.levels[height]
         tops = level.filter("total = 1").join(above_roots, "tree")
-        rows = tops if found is None else tops.unionByName(_descend(level, found.select("tree", "place", "path")))
-        found = written(rows.select("tree", "place", "path"), "merkle-paths") if height else rows
+        rows = tops if found is None else tops.unionByName(_descend(level, found))
+        found = written(rows.select(*kept), "merkle-paths") if height else rows
     return found
 
 
@@ -200,8 +202,7 @@ def proofs(made: Manifest) -> DataFrame:
     """
     start = made.top.roots.select("tree", F.array().cast(_PATH).alias("path"))
     tops = paths(made.top, start).select(F.col("group").alias("tree"), F.col("node").alias("subroot"), "path")
-    leaves = paths(made.groups, written(tops, "merkle-tops").select("tree", "path"))
-    return leaves.join(tops.select("tree", "subroot"), "tree").withColumn("root", F.lit(made.root))
+    return paths(made.groups, written(tops, "merkle-tops")).withColumn("root", F.lit(made.root))
 
 
 def folded(leaf: Column, path: Column) -> Column:
