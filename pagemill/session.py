@@ -39,17 +39,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def _shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder;
-    on a cluster a machine-local folder would lose data with its machine.
+    Only a session on one machine may be without that setting.  It gets a
+    temporary folder, once, as its checkpoint folder; on a cluster a
+    machine-local folder would lose data with its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = os.path.join(tempfile.gettempdir(), "pagemill-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
+    return context.getCheckpointDir()
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
