@@ -7,15 +7,10 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import url_domain
 from pagemill.functions.values import (
-    POLITENESS_DELAY, PRIORITY_CRITICAL, PRIORITY_HIGH, PRIORITY_LOW, PRIORITY_NORMAL, RETRY_ATTEMPTS,
+    POLITENESS_DELAY, PRIORITY_HIGH, PRIORITY_LOW, RETRY_ATTEMPTS,
 )
 from pagemill.operators.skew import rank_in_group, top_k_per_group
 
-PRIORITY_LABELS = {
-    PRIORITY_LOW: "LOW", PRIORITY_NORMAL: "NORMAL", PRIORITY_HIGH: "HIGH", PRIORITY_CRITICAL: "CRITICAL",
-}
-
-
 def tasks(
     urls: DataFrame, depth: int | Column, priority: int | Column, parent_url: Column | None = None,
     discovered_time: Column | None = None, seq: Column | None = None,

@@ -53,10 +53,10 @@ def page_lang(spark, folder):
     return _records(spark, folder).select("page_id", "language")
 
 
-_H1 = sql_clean(sql_decode("regexp_replace(regexp_extract(s, '(?is)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))
+SQL_H1 = sql_clean(sql_decode("regexp_replace(regexp_extract(s, '(?is)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))
 
 
-@query(f"WITH {SQL_PARSED} SELECT page_id, {_H1} AS h1 FROM stripped")
+@query(f"WITH {SQL_PARSED} SELECT page_id, {SQL_H1} AS h1 FROM stripped")
 def page_h1(spark, folder):
     return _records(spark, folder).select("page_id", F.array_join(heading_column(1), "|").alias("h1"))
 
@@ -133,7 +133,7 @@ def page_canonical(spark, folder):
 
 @query(f"""
 WITH {SQL_PARSED}
-SELECT page_id, {_H1} AS h1, 'Part ' || page_id AS h2, 'ab' AS h3, 'Part ' || page_id || ' ab' AS tail FROM stripped""")
+SELECT page_id, {SQL_H1} AS h1, 'Part ' || page_id AS h2, 'ab' AS h3, 'Part ' || page_id || ' ab' AS tail FROM stripped""")
 def page_headings(spark, folder):
     joined = [F.array_join(heading_column(level), "|").alias(f"h{level}") for level in (1, 2, 3)]
     tail = F.concat_ws(" ", F.element_at(heading_column(2), -1), F.element_at(heading_column(3), -1))

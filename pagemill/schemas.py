@@ -1,7 +1,7 @@
 """Schemas of the tables this package reads and writes."""
 
 from pyspark.sql.types import (
-    ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType,
+    ArrayType, BinaryType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType,
     TimestampType,
 )
 
@@ -15,18 +15,12 @@ def _schema(**fields) -> StructType:
 
 PAGES = _schema(page_id=LongType(), url=_text, html=_text)
 
-RECORD = _schema(
-    url=_text, title=_text, content=_text, meta_description=_text, meta_keywords=_text, language=_text, author=_text,
-    canonical_url=_text, word_count=IntegerType(), links=_texts, images=_texts, headings=MapType(_text, _texts),
-    schema_org_data=MapType(_text, _texts), parse_error=_text,
-)
-
 # The content table: the record with its key, and JSON text for structured data.
 CONTENT = _schema(
     url_hash=_text, url=_text, title=_text, content=_text, meta_description=_text, meta_keywords=_text, language=_text,
     author=_text, canonical_url=_text, word_count=IntegerType(), links=_texts, images=_texts,
     headings=MapType(_text, _texts), schema_org_data=_text, stored_at=TimestampType(), storage_version=_text,
-    row_hash=LongType(), hash_prefix=_text,
+    write_seq=LongType(), row_hash=LongType(), hash_prefix=_text,
 )
 
 FRONTIER = _schema(
@@ -43,11 +37,6 @@ SEEN_KEYS = _schema(key_type=_text, key=_text, first_seen=TimestampType())
 
 ROBOTS = _schema(origin=_text, fetched_at=TimestampType(), status=IntegerType(), body=_text)
 
-VERDICT = _schema(
-    url_duplicate=BooleanType(), content_duplicate=BooleanType(), title_duplicate=BooleanType(),
-    fuzzy_duplicate=BooleanType(),
-)
-
 METRIC_POINTS = _schema(
     name=_text, type=_text, ts=TimestampType(), seq=LongType(), value=DoubleType(), labels=MapType(_text, _text)
 )
