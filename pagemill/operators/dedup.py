@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import content_hash, fuzzy_hash, title_hash
 from pagemill.functions.urls import url_key_hash
 from pagemill.functions.values import HASH_RETENTION_DAYS
-from pagemill.operators.skew import HOT_ROWS, exploded, salted_join
-from pagemill.session import built_once, cut_lineage
+from pagemill.operators.skew import HOT_ROWS, exploded, hot_keys, salted_join
+from pagemill.session import built_once, written
 
 KEY_TYPES = ("url", "content", "title", "fuzzy")
 STRICT = ("url", "content")
@@ -154,9 +154,13 @@ def _keys_of(types: Sequence[str]) -> Column:
     return F.filter(F.array(*[F.col(f"{t}_key") for t in types]), lambda k: k.isNotNull())
 
 
-def _winners(rows: DataFrame) -> DataFrame:
+def _winners(rows: DataFrame, *others: str) -> DataFrame:
     """Per key the first row and the number of rows."""
-    return rows.groupBy("key_type", "key").agg(F.min(F.struct("_o", "_i")).alias("w"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("key_type", "key").agg(F.min(F.struct("_o", "_i", *others)).alias("w"), F.count(F.lit(1)).alias("n"))
+
+
+def _with_count(rows: DataFrame, types: Sequence[str]) -> DataFrame:
+    return rows.withColumn("_keys", F.size(_keys_of(types)))
 
 
 def keep_greedy(
@@ -180,6 +184,10 @@ def keep_greedy(
     3. Rounds over what is left: a row that is first in all its keys is kept;
        rows that share a key with a kept row are dropped.  Each round settles
        at least the earliest open row; the loop runs until none is open.
+
+    A round writes one narrow table, the rows that were open with what became
+    of them.  A kept row is the first of each of its keys, so the first rows
+    of the keys tell which rows are kept and which keys are taken.
     """
     key_columns = [f"{t}_key" for t in types]
     narrow = keyed.select(F.col(id).alias("_i"), F.col(order).alias("_o"), *key_columns)
@@ -187,36 +195,39 @@ def keep_greedy(
         _winners(key_rows(narrow, types, carry=("_i", "_o"))).filter(F.col("n") == 1)
         .groupBy(F.col("w._i").alias("_i")).agg(F.collect_set("key_type").alias("_single"))
     )
-    shared = cut_lineage(
+    shared = written(
         narrow.join(single, "_i", "left").select(
             "_i", "_o",
             *[
                 F.when(~F.coalesce(F.array_contains("_single", t), F.lit(False)), F.col(f"{t}_key")).alias(f"{t}_key")
                 for t in types
             ],
-        )
+        ),
+        "greedy-keys",
     )
     has_keys = F.size(_keys_of(types)) > 0
     kept = shared.filter(~has_keys).select("_i")
-    open_rows = cut_lineage(
-        shared.filter(has_keys).groupBy(*key_columns).agg(F.min(F.struct("_o", "_i")).alias("f"))
-        .select("f._i", "f._o", *key_columns)
+    open_rows = written(
+        _with_count(
+            shared.filter(has_keys).groupBy(*key_columns).agg(F.min(F.struct("_o", "_i")).alias("f")).select("f._i", "f._o", *key_columns), types
+        ),
+        "greedy-round",
     )
+    if open_rows.isEmpty():
+        return kept.withColumnRenamed("_i", id)
+    # The rows of a key only get fewer, so the hot keys of the first round are enough.
+    hot = hot_keys(key_rows(open_rows, types, carry=()), ["key_type", "key"], hot_rows)
     while not open_rows.isEmpty():
-        leads = (
-            _winners(key_rows(open_rows, types, carry=("_i", "_o")))
-            .groupBy(F.col("w._i").alias("_i")).agg(F.count(F.lit(1)).alias("_leads"))
-        )
-        first_in_all = F.coalesce(F.col("_leads") == F.size(_keys_of(types)), F.lit(False))
-        settled = cut_lineage(open_rows.join(leads, "_i", "left").withColumn("_kept", first_in_all).drop("_leads"))
-        now_kept = settled.filter("_kept")
-        kept = kept.union(now_kept.select("_i"))
-        rest = settled.filter("NOT _kept").drop("_kept")
-        taken = key_rows(now_kept, types, carry=())
-        dropped = salted_join(
-            key_rows(rest, types, carry=("_i",)), taken, ["key_type", "key"], "left_semi", ["_i"], hot_rows
+        firsts = _winners(key_rows(open_rows, types, carry=("_i", "_o", "_keys")), "_keys")
+        now_kept = firsts.groupBy(F.col("w._i").alias("_i"), F.col("w._keys").alias("_keys")).count().filter("count = _keys").select("_i")
+        taken = firsts.select("key_type", "key", F.col("w._i").alias("_i")).join(now_kept, "_i", "left_semi").select("key_type", "key")
+        touched = salted_join(
+            key_rows(open_rows, types, carry=("_i",)), taken, ["key_type", "key"], "left_semi", ["_i"], hot=hot
         ).select("_i").distinct()
-        open_rows = cut_lineage(rest.join(dropped, "_i", "left_anti"))
+        became = open_rows.join(touched.withColumn("_touched", F.lit(True)), "_i", "left").join(now_kept.withColumn("_kept", F.lit(True)), "_i", "left")
+        settled = written(became, "greedy-round")
+        kept = kept.union(settled.filter("_kept").select("_i"))
+        open_rows = settled.filter("_touched IS NULL").drop("_touched", "_kept")
     return kept.withColumnRenamed("_i", id)
 
 
@@ -228,7 +239,11 @@ def greedy_dedup(
     seen: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Adds ``kept``.  Rows whose key is among ``seen`` fall first and register nothing."""
+    """Adds ``kept``.  Rows whose key is among ``seen`` fall first and register nothing.
+
+    Rows are marked by a last join with ``keyed``; where they carry text,
+    hand in ids, order and keys alone and join the text to what is kept.
+    """
     candidates = keyed
     if seen is not None:
         hits = salted_join(

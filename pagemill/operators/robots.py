@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import let, url_local_part, url_origin
 from pagemill.functions.values import ROBOTS_TTL_SECONDS
-from pagemill.operators.skew import salted_join
+from pagemill.operators.skew import HOT_ROWS, hot_keys, salted_join
 
 
 def _quoted(text: Column) -> Column:
@@ -117,27 +117,29 @@ def robots_allowed(urls: DataFrame, rules_by_origin: DataFrame, url: str = "url"
 
 
 def fresh_rules_for(
-    requests: DataFrame, files: DataFrame, ttl_seconds: int = ROBOTS_TTL_SECONDS, salts: int = 8
+    requests: DataFrame, files: DataFrame, ttl_seconds: int = ROBOTS_TTL_SECONDS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """As-of join: each request (``origin``, ``ts``) gets the newest file in its last ``ttl_seconds``.
 
     Time is cut into cells of one TTL; a file counts in its own cell and the
-    next, so a request looks only at its cell.  Cells of one origin are
-    spread over ``salts`` tasks, to which the few files of a cell are copied.
-    Adds ``fetched_at``, null where no file is fresh.
+    next, so a request looks only at its cell.  A cell with more than
+    ``hot_rows`` requests is cut into parts of that size, to which its few
+    files are copied.  Adds ``fetched_at``, null where no file is fresh.
+    ``requests`` is read twice.
     """
     cell = F.floor(F.unix_micros("ts") / F.lit(ttl_seconds * 1_000_000))
-    asked = requests.select(
-        *requests.columns,
-        cell.alias("_cell"),
-        F.pmod(F.xxhash64(*requests.columns), F.lit(salts)).cast("int").alias("_salt"),
-        F.lit(None).cast("timestamp").alias("_file"),
+    celled = requests.withColumn("_cell", cell)
+    hot = hot_keys(celled, ["origin", "_cell"], hot_rows).withColumnRenamed("salts", "_salts")
+    parts = F.coalesce("_salts", F.lit(1).cast("bigint"))
+    asked = celled.join(hot, ["origin", "_cell"], "left").select(
+        *requests.columns, "_cell", F.pmod(F.xxhash64(*requests.columns), parts).alias("_salt"), F.lit(None).cast("timestamp").alias("_file"),
     )
     known = (
         files.select("origin", F.col("fetched_at").alias("ts")).distinct()
         .withColumn("_file", F.col("ts"))
         .withColumn("_cell", F.explode(F.array(cell, cell + 1)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .join(hot, ["origin", "_cell"], "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_salts")
     )
     window = (
         Window.partitionBy("origin", "_cell", "_salt")

@@ -8,7 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.session import written
+
 HOT_ROWS = 1_000_000
+# Tasks over which rows without a key are spread.
 SALTS = 64
 
 
@@ -22,14 +25,14 @@ def exploded(df: DataFrame, array: Column, name: str, *keep: str | Column) -> Da
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least ``hot_rows`` rows.
+    """Keys with more than ``hot_rows`` rows, and ``salts``: into how many parts of ``hot_rows`` each is to be cut.
 
-    Counted with map-side combine.  There can be at most rows/hot_rows of
-    them, so the result is small enough to broadcast by construction.
+    Counted with map-side combine, and written, so that Spark knows its size:
+    it broadcasts the list where that is small, and shuffles it where it is not.
     """
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(*keys)
-    )
+    parts = F.ceil(F.col("_n") / hot_rows).cast("bigint").alias("salts")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return written(counts.filter(F.col("_n") > hot_rows).select(*keys, parts), "hot-keys")
 
 
 def salted_join(
@@ -39,45 +42,51 @@ def salted_join(
     how: str,
     spread_by: Sequence[str],
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join ``facts`` to ``lookup``, spreading hot fact keys over ``salts`` tasks.
+    """Join ``facts`` to ``lookup``; a hot fact key is cut into parts of about ``hot_rows`` rows.
 
-    Only the lookup rows of hot keys are copied, once per salt; all other
-    rows join as usual.  Fact rows with a null key match nothing and are
-    spread too.  ``how`` is inner, left, left_semi or left_anti.  ``facts``
-    is read twice, so hand in a scan or something materialised.
+    Only the lookup rows of hot keys are copied, once per part; all other rows
+    join as usual.  Fact rows with a null key match nothing and are spread
+    too.  ``how`` is inner, left, left_semi or left_anti.  ``facts`` is read
+    twice, so hand in a scan or something materialised; or hand in ``hot``,
+    from :func:`hot_keys` of these facts or of more.
     """
-    hot = hot_keys(facts, on, hot_rows).withColumn("_hot", F.lit(True))
+    hot = (hot_keys(facts, on, hot_rows) if hot is None else hot).withColumnRenamed("salts", "_salts")
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salt = F.when(F.coalesce("_hot", F.lit(False)) | no_key, F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
-    zero, last = F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")
-    copies = F.when(F.col("_hot"), F.sequence(zero, last)).otherwise(F.array(zero))
-    left = facts.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_hot")
-    right = (
-        lookup.join(F.broadcast(hot), list(on), "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
+    parts = F.when(no_key, F.lit(SALTS).cast("bigint")).otherwise(F.coalesce("_salts", F.lit(1).cast("bigint")))
+    left = facts.join(hot, list(on), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), parts)).drop("_salts")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1).cast("bigint")) - 1)
+    right = lookup.join(hot, list(on), "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def top_k_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread_by: Sequence[str], salts: int = SALTS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread_by: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """The first ``k`` rows of every group, with ``rank`` from 1.
 
-    Two rounds: first within (group, salt), then among at most ``k * salts``
-    survivors of a group.  Spark's window group limit trims each map task
-    before either shuffle.
+    Where the largest group has more than ``hot_rows`` rows, groups are first
+    cut into parts of that size, and the best of each part go on, in as many
+    rounds as it takes for a group to fit.  Spark's window group limit trims
+    each map task before every shuffle.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    second = Window.partitionBy(*keys).orderBy(*order)
-    survivors = (
-        salted.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") <= k).drop("_first", "_salt")
-    )
-    return survivors.withColumn("rank", F.row_number().over(second)).filter(F.col("rank") <= k)
+    parts = _parts_per_round(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0, k, hot_rows)
+    rows = df
+    for number, salts in enumerate(parts):
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(number), *spread_by), F.lit(salts)))
+        within = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        rows = salted.withColumn("_first", F.row_number().over(within)).filter(F.col("_first") <= k).drop("_first", "_salt")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def _parts_per_round(largest: int, k: int, hot_rows: int) -> list[int]:
+    """Into how many parts the largest group is cut, round by round."""
+    rounds, most = [], max(hot_rows, 2 * k)
+    while largest > most:
+        rounds.append(-(-largest // most))
+        largest = rounds[-1] * k
+    return rounds
 
 
 def rank_in_group(

@@ -285,9 +285,19 @@ def stream_ingest(spark, folder):
 WITH RECURSIVE {SQL_ALL_PAGE_KEYS}, {sql_greedy('all_page_keys', 'url_key, content_key, fuzzy_key')}
 SELECT id, url FROM walk JOIN pages ON page_id = id WHERE kept""")
 def stream_dedup(spark, folder):
-    """Pages kept by greedy deduplication over a stream."""
-    pages = ingest.stream_pages(spark, folder, schema=PAGES, pattern="pages.parquet")
-    records = extract_pages(pages).select(F.col("page_id").alias("id"), "url", "title", "content")
+    """Pages kept by greedy deduplication over a stream of several batches, with keys merged between them."""
+    source = work_folder(spark, "page-files")
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    # One file for each batch; a file's pages precede those of the next, which its time tells the stream.
+    bounds = [pages.agg(F.max("page_id")).first()[0] * k // _BATCHES for k in range(1, _BATCHES)]
+    part = sum((F.col("page_id") > b).cast("int") for b in bounds)
+    for k in range(_BATCHES):
+        pages.filter(part == k).coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.stream_pages(spark, source, schema=PAGES, max_files_per_trigger=1)
+    records = extract_pages(stream).select(F.col("page_id").alias("id"), "url", "title", "content")
     kept, keys = work_folder(spark, "kept-pages"), work_folder(spark, "kept-keys")
-    ingest.dedup_stream(records, kept, keys, work_folder(spark, "kept-state"), "id", "id").awaitTermination()
+    ingest.dedup_stream(records, kept, keys, work_folder(spark, "kept-state"), "id", "id", fan_in=2).awaitTermination()
     return spark.read.parquet(kept).select("id", "url")
+
+
+_BATCHES = 4

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from pagemill.functions.values import HASH_RETENTION_DAYS, PRIORITY_HIGH, REPORT_SECONDS
-from pagemill.operators.dedup import DEFAULT, greedy_dedup, key_rows, with_keys
+from pagemill.operators.dedup import DEFAULT, KEY_TYPES, greedy_dedup, key_rows, with_keys
 from pagemill.operators.extract import extract_pages
 from pagemill.operators.frontier import tasks
-from pagemill.schemas import PAGES, SEEN_KEYS
+from pagemill.schemas import PAGES
+from pagemill.session import written
+from pagemill.sources import keylevels
 
-_KEYS_SCHEMA = StructType([*SEEN_KEYS.fields, StructField("run", StringType()), StructField("batch_id", LongType())])
 _ONCE = {"availableNow": True}
 
 
@@ -45,13 +46,6 @@ def extract_stream(
     )
 
 
-def _read_keys(spark: SparkSession, path: str, run: str, before: int) -> DataFrame:
-    """Keys of other runs and of this run's batches before ``before``: a replayed batch does not meet its own keys."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], _KEYS_SCHEMA)
-    return spark.read.schema(_KEYS_SCHEMA).parquet(path).filter((F.col("run") != run) | (F.col("batch_id") < before))
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
@@ -67,17 +61,20 @@ def dedup_stream(
     now: Column | None = None,
     retention_days: int | None = None,
     trigger: dict | None = None,
+    fan_in: int = keylevels.FAN_IN,
 ) -> StreamingQuery:
     """Keep-first over several keys, across batches.
 
     No single key partitions this state, so each batch is checked against a
-    table of stored keys, deduplicated in itself, and written with its keys
-    under its run and batch number: a batch that runs again overwrites its own
-    output and changes nothing.  The run is the query's id, which lives in the
-    checkpoint: a new checkpoint is a new run, which sees the keys of all
-    earlier runs and never overwrites their output.  One run at a time may
-    write to a pair of tables.  Pages are written before keys, and keys of later
-    batches are never read, so a lost driver cannot leave a batch half seen.
+    table of stored keys (``sources.keylevels``), deduplicated in itself, and
+    written with its keys under its run and batch number: a batch that runs
+    again overwrites its own output and changes nothing.  The run is the
+    query's id, which lives in the checkpoint: a new checkpoint is a new run,
+    which sees the keys of all earlier runs and never overwrites their output.
+    One run at a time may write to a pair of tables.  Pages are written before
+    keys, and keys of later batches are never read, so a lost driver cannot
+    leave a batch half seen.  Segments of keys are merged before a batch, by
+    ``fan_in`` of a level; with ``retention_days`` older keys stay behind.
     """
     first_seen = F.current_timestamp() if now is None else now
 
@@ -87,23 +84,16 @@ def dedup_stream(
         if run is None:
             raise RuntimeError("the streaming query's id is not known")
         place = f"run={run}/batch_id={batch_id}"
-        seen = _read_keys(spark, keys_path, run, batch_id)
-        if retention_days is not None:
-            seen = seen.filter(F.col("first_seen") >= first_seen - F.make_dt_interval(F.lit(retention_days)))
-        keyed = with_keys(batch).persist()
-        # The batch is the small side: history is scanned for its keys, not shuffled.
-        asked = key_rows(keyed, DEFAULT, carry=()).distinct()
-        seen = seen.join(asked, ["key_type", "key"], "left_semi")
-        try:
-            kept = greedy_dedup(keyed, order, DEFAULT, id, seen).filter("kept").drop("kept").persist()
-            kept.write.mode("overwrite").parquet(f"{pages_path}/{place}")
-            (
-                key_rows(kept, DEFAULT, carry=()).distinct().withColumn("first_seen", first_seen)
-                .write.mode("overwrite").parquet(f"{keys_path}/{place}")
-            )
-            kept.unpersist()
-        finally:
-            keyed.unpersist()
+        recent = None if retention_days is None else F.col("first_seen") >= first_seen - F.make_dt_interval(F.lit(retention_days))
+        keylevels.settle(spark, keys_path, run, batch_id, fan_in, recent)
+        # Ids and keys go through the steps; the pages themselves are joined to what is kept.
+        columns = list(dict.fromkeys([id, order, *(f"{t}_key" for t in KEY_TYPES)]))
+        keyed = written(with_keys(batch).select(columns), "batch-keys")
+        seen = keylevels.stored_among(spark, keys_path, key_rows(keyed, DEFAULT, carry=()).distinct(), run, batch_id)
+        marked = greedy_dedup(keyed, order, DEFAULT, id, seen if recent is None else seen.filter(recent))
+        kept = written(marked.filter("kept").select(id, *(f"{t}_key" for t in KEY_TYPES)), "batch-kept")
+        batch.join(kept, id).write.mode("overwrite").parquet(f"{pages_path}/{place}")
+        keylevels.append_keys(spark, keys_path, key_rows(kept, DEFAULT, carry=()).distinct(), first_seen, run, batch_id)
 
     return (
         records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import dedup as D
-from pagemill.operators.skew import rank_in_group, salted_join, top_k_per_group
+from pagemill.operators import skew
+from pagemill.operators.skew import _parts_per_round, hot_keys, rank_in_group, salted_join, top_k_per_group
 
 KEYED = "id bigint, ord bigint, url_key string, content_key string, title_key string, fuzzy_key string"
 
@@ -133,7 +134,7 @@ def test_salted_join_equals_plain_join(spark):
     right = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "k bigint, v string")
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
-        salted = sorted(map(tuple, salted_join(left, right, ["k"], how, ["id"], hot_rows=100, salts=8).collect()), key=str)
+        salted = sorted(map(tuple, salted_join(left, right, ["k"], how, ["id"], hot_rows=100).collect()), key=str)
         assert salted == plain, how
 
 
@@ -149,5 +150,42 @@ def test_ranking_helpers(spark):
             expected[r.seq] = rank
     ranked = rank_in_group(df, ["g"], [-F.col("p")], "seq", cell_bits=6)
     assert {r.seq: r["rank"] for r in ranked.collect()} == expected
-    top = top_k_per_group(df, ["g"], [F.desc("p"), F.col("seq")], 10, ["seq"], salts=4)
+    top = top_k_per_group(df, ["g"], [F.desc("p"), F.col("seq")], 10, ["seq"], hot_rows=60)
     assert {r.seq: r["rank"] for r in top.collect()} == {s: k for s, k in expected.items() if k <= 10}
+
+
+def test_a_hot_key_gets_as_many_parts_as_its_rows_ask_for(spark):
+    facts = spark.range(1000).select("id", F.when(F.col("id") < 700, 0).when(F.col("id") < 750, 1).otherwise(F.col("id")).alias("k"))
+    hot = hot_keys(facts, ["k"], 100)
+    assert [tuple(r) for r in hot.collect()] == [(0, 7)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for name, value in zip(before, ("-1", "false", "200")):
+            spark.conf.set(name, value)
+        lookup = spark.range(3).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+        tasks = salted_join(facts, lookup, ["k"], "inner", ["id"], hot_rows=100).filter("k = 0").select(F.spark_partition_id().alias("t"), "id")
+        counts = [r["count"] for r in tasks.groupBy("t").count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(counts) == 700 and 5 <= len(counts) <= 7 and max(counts) < 250
+
+
+def test_ranking_takes_rounds_for_large_groups():
+    assert _parts_per_round(100, 10, 100) == []
+    assert _parts_per_round(10_000, 10, 100) == [100, 10]
+    assert _parts_per_round(10_000, 100, 100) == [50, 25, 13, 7, 4, 2]
+
+
+def test_a_greedy_round_writes_one_narrow_table(spark, monkeypatch):
+    """Counted by what is written: keys, the first open rows, the hot keys, and one table a round."""
+    names = []
+    for module in (D, skew):
+        monkeypatch.setattr(module, "written", lambda df, name, original=module.written: names.append((name, df.columns)) or original(df, name))
+    rows = [
+        {"id": i, "ord": i, "url_key": f"u{i}", "content_key": f"c{(i + 1) // 2}", "title_key": "t", "fuzzy_key": f"f{i // 2}"} for i in range(8)
+    ]
+    kept = D.keep_greedy(spark.createDataFrame(rows, KEYED), "ord")
+    assert {r.id for r in kept.collect()} == {0, 2, 4, 6}
+    assert [name for name, _ in names] == ["greedy-keys", "greedy-round", "hot-keys"] + ["greedy-round"] * 4
+    assert all(set(columns) <= {"_i", "_o", "_keys", "_touched", "_kept", *(f"{t}_key" for t in D.DEFAULT)} for name, columns in names if name == "greedy-round")
