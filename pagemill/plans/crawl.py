@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.urls import normalize_url
 from pagemill.functions.values import MAX_DEPTH
 from pagemill.operators.dedup import DEFAULT, greedy_dedup, key_rows, with_keys
 from pagemill.operators.extract import extract_pages
-from pagemill.operators.graph import link_edges, targets
+from pagemill.operators.graph import current_version, link_edges, seed_level, targets
 from pagemill.session import cut_lineage, placed_by
 
 _STATES = ("stored", "duplicate", "error")
 
 
-def page_facts(pages: DataFrame, mode: str = "auto", **rules) -> DataFrame:
+def page_facts(pages: DataFrame, mode: str = "auto", newest: Sequence[str] = (), **rules) -> DataFrame:
     """What a replay needs of a page, computed once: success, keys and links.
 
-    Materialised by URL, so the rounds neither read a page text nor move the
-    facts again.  A page without content counts as a failed fetch.
+    One row for each normalised address, the newest by ``newest`` (columns of
+    ``pages``, the most telling first).  Materialised by URL, so the rounds
+    neither read a page text nor move the facts again.  A page without content
+    counts as a failed fetch.
     """
     ok = F.coalesce(F.col("html"), F.lit("")) != ""
     if "error" in pages.columns:
         ok = ok & F.col("error").isNull()
-    facts = with_keys(extract_pages(pages.withColumn("ok", ok), mode, **rules)).select(
-        "url", "ok", "links", *[f"{t}_key" for t in DEFAULT]
-    )
-    return placed_by(facts, "url", "page-facts")
+    at = pages.withColumns({"url": normalize_url(F.col("url")), "ok": ok})
+    columns = ["url", "ok", "links", *(f"{t}_key" for t in DEFAULT)]
+    facts = with_keys(extract_pages(at, mode, **rules)).select(*columns, *(F.col(c).alias(f"_newest{i}") for i, c in enumerate(newest)))
+    return placed_by(current_version(facts, [f"_newest{i}" for i in range(len(newest))]).select(columns), "url", "page-facts")
 
 
 def crawl_replay(
@@ -39,9 +44,7 @@ def crawl_replay(
     Within a level and against earlier levels only stored pages count as
     seen.
     """
-    level = cut_lineage(
-        seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"))
-    )
+    level = seed_level(seeds)
     results, seen = None, None
     for depth in range(max_depth + 1):
         fetched = cut_lineage(level.join(facts, "url", "left"))

@@ -351,7 +351,9 @@ def linked_pages(spark, folder):
     """The pages as a tree of links, each with a mirror copy under another address.
 
     Page n links to its mirror and to pages 8n+1 to 8n+8; a mirror has the
-    same content and links as its page.
+    same content and links as its page.  Every third page is stored under
+    another form of its address, and of every fifth there is an older version
+    with other content and links, which must not count.
     """
     pages = _numbered_pages(spark, folder)
     children = (
@@ -362,10 +364,21 @@ def linked_pages(spark, folder):
     mirror = F.concat(F.lit("https://mirror.example.org/"), F.col("page_id"))
     own = F.concat(F.lit('<a href="'), mirror, F.lit('"></a>'))
     linked = pages.join(children, "page_id", "left").select(
-        "page_id", "url",
+        "page_id", "url", F.lit(2).alias("version"),
         F.replace("html", F.lit("</article>"), F.concat(own, F.coalesce("anchors", F.lit("")), F.lit("</article>"))).alias("html"),
     )
-    return linked.unionByName(linked.withColumn("url", mirror))
+    mirrored = linked.withColumn("url", mirror)
+    stored = linked.withColumn("url", F.when(F.col("page_id") % 3 == 0, _loud(F.col("url"))).otherwise(F.col("url")))
+    older = linked.filter(F.col("page_id") % 5 == 0).withColumns({
+        "url": F.concat("url", F.lit("#old")), "version": F.lit(1), "html": F.lit('<main>gone</main><a href="/gone">x</a>'),
+    })
+    return stored.unionByName(mirrored).unionByName(older)
+
+
+def _loud(url):
+    """The same address with an upper-case host and a fragment."""
+    host = F.regexp_extract(url, "^[a-z]+://([^/?#]*)", 1)
+    return F.concat(F.regexp_extract(url, "^[a-z]+://", 0), F.upper(host), F.regexp_extract(url, "^[a-z]+://[^/?#]*(.*)$", 1), F.lit("#top"))
 
 
 def _roots(spark, folder):
@@ -398,7 +411,8 @@ walk(url, depth) AS (
 )
 SELECT url, min(depth) AS depth FROM walk GROUP BY url""")
 def crawl_depth(spark, folder):
-    links = placed_by(extract_pages(linked_pages(spark, folder)).select("url", "links"), "url", "linked-pages")
+    records = extract_pages(linked_pages(spark, folder)).select("url", "links", "version")
+    links = placed_by(graph.current_version(records, ["version"]).drop("version"), "url", "linked-pages")
     return graph.crawl_depth(links, _roots(spark, folder)).select("url", "depth")
 
 
@@ -430,7 +444,7 @@ replayed AS (SELECT url, depth, state FROM walk WHERE url IS NOT NULL)"""
 @query(f"WITH RECURSIVE {SQL_REPLAY} SELECT url, depth, state FROM replayed")
 def crawl_replay(spark, folder):
     """The whole crawl: mirrors turn out to be duplicates, their links are not followed."""
-    replayed = replay(page_facts(linked_pages(spark, folder)), _roots(spark, folder))
+    replayed = replay(page_facts(linked_pages(spark, folder), newest=["version"]), _roots(spark, folder))
     return replayed.select("url", "depth", "state")
 
 
@@ -438,4 +452,4 @@ def crawl_replay(spark, folder):
 SELECT depth, count(*) AS crawled, count(*) FILTER (state = 'stored') AS stored, count(*) FILTER (state = 'duplicate') AS duplicate,
   count(*) FILTER (state = 'error') AS error FROM replayed GROUP BY depth""")
 def crawl_replay_summary(spark, folder):
-    return replay_summary(replay(page_facts(linked_pages(spark, folder)), _roots(spark, folder)))
+    return replay_summary(replay(page_facts(linked_pages(spark, folder), newest=["version"]), _roots(spark, folder)))

@@ -300,4 +300,4 @@ def stream_dedup(spark, folder):
     return spark.read.parquet(kept).select("id", "url")
 
 
-_BATCHES = 4
+_BATCHES = 3

@@ -279,3 +279,26 @@ def test_replay_matches_simulation(spark, seed, follow):
     total = replay_summary(got).agg(F.sum("crawled"), F.sum("stored")).first()
     assert tuple(total) == (len(expected), sum(s == "stored" for _, s in expected.values()))
     assert {s for _, s in expected.values()} == {"stored", "duplicate", "error"}
+
+
+def test_one_page_for_each_address(spark):
+    rows = [("http://H/c#top", 1, ["http://h/a"]), ("http://h/c", 2, ["http://h/b"]), ("http://h/c#x", None, ["http://h/z"]), ("http://h/C", 1, [])]
+    df = spark.createDataFrame(rows, "url string, v int, links array<string>")
+    assert sorted(map(tuple, graph.current_version(df, ["v"]).collect())) == [("http://h/C", 1, []), ("http://h/c", 2, ["http://h/b"])]
+    ties = spark.createDataFrame([("http://h/a", 1, ["x"]), ("http://h/a#1", 1, ["y"])], df.schema)
+    picks = {tuple(graph.current_version(ties.repartition(n).orderBy(o), ["v"]).first().links) for n in (1, 3) for o in ("url", F.desc("url"))}
+    assert len(picks) == 1
+
+
+def test_replay_takes_the_newest_version_of_a_page(spark):
+    page = lambda text, *links: f"<main>{text}</main>" + "".join(f'<a href="{link}">x</a>' for link in links)
+    rows = [
+        ("http://h/s#frag", 5, page("start words here", "http://H/a#1", "/b")), ("http://h/s", 1, page("old start", "/never")),
+        ("http://H/a", 3, page("second page text", "/c")), ("http://h/a#2", 2, page("second page older", "/never")),
+        ("http://h/b", 9, ""), ("http://h/b#1", 1, page("was here once", "/never")), ("http://h/c", 1, page("third text of all")),
+    ]
+    facts = page_facts(spark.createDataFrame(rows, "url string, at int, html string"), newest=["at"])
+    got = crawl_replay(facts, spark.createDataFrame([("http://H/s#top",), ("http://h/s",)], "url string"))
+    assert sorted((r.url, r.depth, r.state) for r in got.collect()) == [
+        ("http://h/a", 1, "stored"), ("http://h/b", 1, "error"), ("http://h/c", 2, "stored"), ("http://h/s", 0, "stored"),
+    ]
