@@ -42,13 +42,26 @@ def inner_text(fragment: Column, separator: str = "") -> Column:
     return decode_entities(F.regexp_replace(fragment, _TAG, separator))
 
 
+# An attribute of a start tag, and what may stand before one.  Possessive: a tag is read once, from left to right.
+_ATTRIBUTE = r"[^\s=\"'/>]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+"
+_BEFORE = r"[\s/\"'=]*+"
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a start tag; null if the tag does not have it."""
-    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-    present = F.when(tag.rlike(rf"(?is)[\s\"'/]{name}(?=[\s/>=])"), F.lit(""))
-    return let(
-        F.regexp_extract(tag, pattern, 1),
-        lambda quoted: F.when(quoted != "", decode_entities(_unquoted(quoted))).otherwise(present),
+    """Value of an attribute of a start tag, read in order, so that no value is taken for a name; null if the tag does not have it.
+
+    Of several attributes of a name the first counts.
+    """
+    ends = r"(?=[\s/>=\"'])"
+    up_to = rf"(?is)^<[a-z][^\s>/]*+(?:{_BEFORE}(?!{name}{ends}){_ATTRIBUTE})*+{_BEFORE}{name}{ends}"
+    value = r"\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+    # The plain test spares most tags both searches.
+    return F.when(
+        F.contains(F.lower(tag), F.lit(name)),
+        let(
+            F.regexp_extract(tag, up_to + value, 1),
+            lambda quoted: F.when(quoted != "", decode_entities(_unquoted(quoted))).otherwise(F.when(tag.rlike(up_to), F.lit(""))),
+        ),
     )
 
 
@@ -60,47 +73,45 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def main_inner(stripped: Column) -> Column:
-    """Inside of the first <main>, else of the first <article>; '' if there is neither."""
+def main_element(stripped: Column) -> Column:
+    """The first <main> or <article> with its tags; '' if there is none that is closed."""
+    return F.regexp_extract(stripped, r"(?is)<(main|article)(?:\s[^>]*)?>.*?</\1\s*>", 0)
 
-    def first(name: str) -> Column:
-        return F.regexp_extract(stripped, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", 1)
 
-    return let(first("main"), lambda m: F.when(m != "", m).otherwise(first("article")))
+def main_inner(element: Column) -> Column:
+    """Inside of an element: what lies between its first '>' and its last '<'."""
+    head, tail = F.instr(element, ">"), F.length(F.substring_index(element, "<", -1)) + 1
+    return F.substr(element, head + 1, F.length(element) - head - tail)
 
 
-def _contains_any(text: Column, words) -> Column:
-    out = F.lit(False)
-    for word in words:
-        out = out | F.contains(text, F.lit(word))
-    return out
+# Mark-up that only a tree reads right, in one pass: an entity that is not of
+# the fixed list, without its semicolon being plain text; angle brackets in
+# quotes; elements whose content is text, or microdata; mark-up within a title,
+# which is text; headings that are not closed, or hold others.
+_KNOWN = "|".join(e[1:-1] for e in ENTITIES) + "|amp"
+_ODD = (
+    rf"(?is)&(?:#|(?!(?:{_KNOWN});)[a-z][a-z0-9]*+;)"
+    r"""|=\s*+(?:"[^"<>]*+[<>]|'[^'<>]*+[<>])"""
+    r"|<(?:svg|textarea|template|iframe|xmp|plaintext|[a-z][^<>]*itemtype"
+    r"|title(?:\s[^>]*+)?>[^<]*+(?:<(?!/title\s*>)|\z)"
+    r"|(h[1-6])(?:\s[^>]*+)?>(?:[^<]|<(?!/\1\s*>|h[1-6][\s>]))*+(?:<h[1-6][\s>]|\z)"
+)
+# Beside an article, a main element that comes later or is not closed counts.
+_ODD_BESIDE_ARTICLE = rf"{_ODD}|main[\s>])"
+_ODD_BESIDE_MAIN = rf"{_ODD})"
+_ODD_INSIDE = rf"(?is)<(?:{'|'.join((*UNWANTED_TAGS, 'main', 'article'))})|\bclass\s*+=[^>]*(?:{'|'.join(UNWANTED_CLASSES)})"
 
 
-def needs_tree(stripped: Column, main: Column) -> Column:
-    """True where a tree is needed: ``raw_fields`` is exact for all other pages.
+def needs_tree(stripped: Column, element: Column) -> Column:
+    """True where a tree is needed: ``raw_fields`` is exact for all other pages.  ``element`` is :func:`main_element`."""
+    is_main = F.lower(F.substr(element, F.lit(1), F.lit(5))) == "<main"
+    inner = main_inner(element)
+    beside = F.when(is_main, stripped.rlike(_ODD_BESIDE_MAIN)).otherwise(stripped.rlike(_ODD_BESIDE_ARTICLE))
+    return F.coalesce((element == "") | (inner == "") | beside | inner.rlike(_ODD_INSIDE), F.lit(False))
 
-    Plain substring tests come first; they decide for most pages.
-    """
-    # An entity without its semicolon is plain text.
-    known = "|".join(e[1:-1] for e in ENTITIES) + "|amp"
-    trees = ("itemtype", "<svg", "<textarea", "<template", "<iframe", "<xmp", "<plaintext")
-    nested = [f"<{name}" for name in (*UNWANTED_TAGS, "main", "article")]
-    classes = "|".join(UNWANTED_CLASSES)
-    in_page = let(
-        F.lower(stripped),
-        # A main element that is not closed, or not the one found, is for the tree.
-        lambda low: _contains_any(low, trees)
-        | (F.contains(low, F.lit("<main")) & ~low.rlike(r"(?s)<main(?:\s[^>]*)?>.*?</main\s*>")),
-    )
-    in_main = let(
-        F.lower(main),
-        lambda low: _contains_any(low, nested)
-        | (_contains_any(low, UNWANTED_CLASSES) & low.rlike(rf"(?s)\bclass\s*=[^>]*(?:{classes})")),
-    )
-    odd_text = (
-        stripped.rlike(rf"&(?:#|(?!(?:{known});)[A-Za-z][A-Za-z0-9]*;)") | stripped.rlike(r"""=\s*(?:"[^"<>]*[<>]|'[^'<>]*[<>])""")
-    )
-    return F.coalesce((main == "") | in_page | in_main | odd_text, F.lit(False))
+
+def _headings(stripped: Column) -> Column:
+    return _all(stripped, r"(?is)<(h[1-6])(?:\s[^>]*)?>.*?</\1\s*>", 0)
 
 
 def _named(tags: Column, name: str) -> Column:
@@ -115,24 +126,18 @@ def _meta(tags: Column, attribute_name: str, value: str) -> Column:
     )
 
 
-def _meta_fields(metas: Column) -> Column:
-    return F.struct(
-        F.coalesce(_meta(metas, "name", "description"), _meta(metas, "property", "og:description")).alias("description"),
-        _meta(metas, "name", "keywords").alias("keywords"),
-        F.coalesce(_meta(metas, "name", "author"), _meta(metas, "property", "article:author")).alias("author"),
-    )
-
-
 def _references(tags: Column, tag: str, name: str) -> Column:
     found = F.transform(_named(tags, tag), lambda t: attribute(t, name))
     return F.filter(found, lambda v: v.isNotNull())
 
 
-def raw_fields(stripped: Column, main: Column) -> Column:
-    """The page's pieces before cleaning, as one struct (null for a null page)."""
-    # One pass collects all start tags of interest, one all headings.
-    tags = _all(stripped, r"(?is)<(?:html|meta|link|a|img)\s[^>]*>", 0)
-    headings = _all(stripped, r"(?is)<(h[1-6])(?:\s[^>]*)?>.*?</\1\s*>", 0)
+def start_tags(stripped: Column) -> Column:
+    """All start tags of interest in one pass; 'a' is told from longer names by its white space, made a plain space here."""
+    return F.transform(_all(stripped, r"(?is)<(?:html|meta|link|a|img)\s[^>]*>", 0), lambda t: F.regexp_replace(t, r"^(<[aA])\s", "$1 "))
+
+
+def raw_fields(stripped: Column, main: Column, tags: Column) -> dict[str, Column]:
+    """The page's pieces before cleaning, each a column of its own, so that those not asked for are not computed."""
     title = F.regexp_extract(stripped, r"(?is)<title(?:\s[^>]*)?>.*?</title\s*>", 0)
 
     def lang(t: Column) -> Column:
@@ -145,27 +150,25 @@ def raw_fields(stripped: Column, main: Column) -> Column:
     def of_level(h: Column, level: str) -> Column:
         return F.transform(_named(h, level), lambda x: inner_text(x)).alias(level)
 
-    def fields(t: Column) -> Column:
-        return F.struct(
-            let(title, lambda x: F.when(x != "", inner_text(x))).alias("title"),
-            let(_named(t, "meta"), _meta_fields).alias("meta"),
-            let(F.get(_named(t, "html"), F.lit(0)), lang).alias("language"),
-            let(
-                F.get(F.filter(_named(t, "link"), canonical), F.lit(0)),
-                lambda x: F.when(x.isNotNull(), attribute(x, "href")),
-            ).alias("canonical"),
-            let(headings, lambda h: F.struct(*[of_level(h, level) for level in HEADINGS])).alias("headings"),
-            inner_text(main, " ").alias("content"),
-            _references(t, "a ", "href").alias("hrefs"),
-            _references(t, "img", "src").alias("srcs"),
-            # Filled by the tree only: pages with microdata go there.
-            F.array().cast("array<struct<type:string,props:map<string,string>>>").alias("microdata"),
-            F.lit(None).cast("string").alias("parse_error"),
-        )
-
-    # 'a' is told from longer names by its white space, made a plain space here.
-    plain = F.transform(tags, lambda t: F.regexp_replace(t, r"^(<[aA])\s", "$1 "))
-    return F.when(stripped.isNotNull(), let(plain, fields))
+    metas = _named(tags, "meta")
+    return {
+        "title": let(title, lambda x: F.when(x != "", inner_text(x))),
+        "description": let(metas, lambda m: F.coalesce(_meta(m, "name", "description"), _meta(m, "property", "og:description"))),
+        "keywords": let(metas, lambda m: _meta(m, "name", "keywords")),
+        "author": let(metas, lambda m: F.coalesce(_meta(m, "name", "author"), _meta(m, "property", "article:author"))),
+        "language": let(F.get(_named(tags, "html"), F.lit(0)), lang),
+        "canonical": let(
+            F.get(F.filter(_named(tags, "link"), canonical), F.lit(0)),
+            lambda x: F.when(x.isNotNull(), attribute(x, "href")),
+        ),
+        "headings": let(_headings(stripped), lambda h: F.struct(*[of_level(h, level) for level in HEADINGS])),
+        "content": inner_text(main, " "),
+        "hrefs": _references(tags, "a ", "href"),
+        "srcs": _references(tags, "img", "src"),
+        # Filled by the tree only: pages with microdata go there.
+        "microdata": F.array().cast("array<struct<type:string,props:map<string,string>>>"),
+        "parse_error": F.lit(None).cast("string"),
+    }
 
 
 def json_ld(html: Column) -> Column:
@@ -174,8 +177,10 @@ def json_ld(html: Column) -> Column:
     Read from the raw page, before scripts go.  Blocks that are not JSON are
     skipped; of a list-valued type the first entry counts.
     """
+    # Comments go, but not what looks like one inside a script.
+    seen = F.regexp_replace(html, r"(?is)(<script\b[^>]*+>.*?</script\s*+>)|<!--.*?(?:-->|\z)", "$1")
     blocks = _all(
-        html,
+        seen,
         r"(?is)<script\s(?:[^>]*?[\s\"'])?type\s*=\s*[\"']?application/ld\+json[\"']?(?:\s[^>]*)?>(.*?)</script\s*>",
         1,
     )

@@ -25,41 +25,55 @@ RECORD_COLUMNS = (
 )
 
 
+_FIELDS = ("title", "description", "keywords", "author", "language", "canonical", "headings", "content", "hrefs", "srcs", "microdata", "parse_error")
+_META = ("description", "keywords", "author")
+
+
+def _raw(name: str) -> Column:
+    return F.col(f"_raw_{name}")
+
+
 @built_once
-def _reading_columns(html: str):
+def _reading_columns(html: str, choose: bool):
     stripped, main = F.col("_stripped"), F.col("_main")
+    page = F.when(H.needs_tree(stripped, main), F.col(html)) if choose else F.lit(None).cast("string")
+    by_regex = F.col("_tree_page").isNull() & stripped.isNotNull()
     return (
         H.strip_boilerplate(F.col(html)),
-        H.main_inner(stripped),
-        F.when(H.needs_tree(stripped, main), F.col(html)),
-        H.raw_fields(stripped, main),
+        H.main_element(stripped),
+        page,
+        H.start_tags(stripped),
+        {f"_raw_{name}": F.when(by_regex, column) for name, column in H.raw_fields(stripped, H.main_inner(main), F.col("_tags")).items()},
         H.json_ld(F.col(html)),
     )
 
 
+def _of_tree(name: str) -> Column:
+    return F.col("_tree")["meta"][name] if name in _META else F.col("_tree")[name]
+
+
 def with_raw_fields(pages: DataFrame, html: str = "html", mode: str = "auto") -> DataFrame:
-    """Replaces the page by ``_raw``, its pieces, and ``_json_ld``.
+    """Replaces the page by its pieces, ``_raw_`` and a name each, and ``_json_ld``.
 
     ``mode`` is 'sql', 'tree', or 'auto' (decided per page).  Everything that
     needs the page text is read before the Python stage, so the rows that wait
     for it carry no text beyond what goes to Python.
     """
-    stripped, main, tree_page, raw, json_ld = _reading_columns(html)
+    stripped, main, tree_page, tags, raw, json_ld = _reading_columns(html, mode == "auto")
     with_json = pages.withColumn("_json_ld", json_ld)
     if mode == "tree":
-        return with_json.withColumn("_raw", F.when(F.col(html).isNotNull(), tree_fields(F.col(html)))).drop(html)
-    read = with_json.withColumn("_stripped", stripped).withColumn("_main", main)
+        treed = with_json.withColumn("_tree", F.when(F.col(html).isNotNull(), tree_fields(F.col(html))))
+        return treed.withColumns({f"_raw_{n}": _of_tree(n) for n in _FIELDS}).drop(html, "_tree")
+    read = (
+        with_json.withColumn("_stripped", stripped).withColumn("_main", main)
+        .withColumn("_tree_page", tree_page).withColumn("_tags", tags)
+        .withColumns(raw).drop("_stripped", "_main", "_tags", html)
+    )
     if mode == "sql":
-        return read.withColumn("_raw", raw).drop("_stripped", "_main", html)
+        return read.drop("_tree_page")
     wanted = F.col("_tree_page")
-    return (
-        read.withColumn("_tree_page", tree_page)
-        .withColumn("_raw", F.when(wanted.isNull(), raw))
-        .drop("_stripped", "_main", html)
-        .withColumn("_tree", tree_fields(wanted))
-        .withColumn("_raw", F.when(wanted.isNotNull(), F.col("_tree")).otherwise(F.col("_raw")))
-        .drop("_tree_page", "_tree")
-    )
+    chosen = {f"_raw_{n}": F.when(wanted.isNotNull(), _of_tree(n)).otherwise(_raw(n)) for n in _FIELDS}
+    return read.withColumn("_tree", tree_fields(wanted)).withColumns(chosen).drop("_tree_page", "_tree")
 
 
 def _cleaned(text: Column) -> Column:
@@ -90,33 +104,33 @@ def _schema_org(json_ld: Column, microdata: Column) -> Column:
 
 @built_once
 def _record_columns(url: str, allowed: tuple, blocked: tuple, strict_compat: bool):
-    r, u = F.col("_raw"), F.col(url)
+    u = F.col(url)
     empty = F.array().cast("array<string>")
     headings = F.map_from_arrays(
         F.array(*[F.lit(h) for h in H.HEADINGS]),
         F.array(*[
             F.filter(
-                F.transform(F.coalesce(r["headings"][h], empty), lambda t: clean_text(t)), lambda t: t != ""
+                F.transform(F.coalesce(_raw("headings")[h], empty), lambda t: clean_text(t)), lambda t: t != ""
             )
             for h in H.HEADINGS
         ]),
     )
-    canonical = F.when(F.coalesce(r["canonical"], F.lit("")) != "", resolve_url(u, r["canonical"]))
+    canonical = F.when(F.coalesce(_raw("canonical"), F.lit("")) != "", resolve_url(u, _raw("canonical")))
     return (
-        _cleaned(r["title"]).alias("title"),
-        _cleaned(r["content"]).alias("content"),
-        _cleaned(r["meta"]["description"]).alias("meta_description"),
-        _cleaned(r["meta"]["keywords"]).alias("meta_keywords"),
-        r["language"].alias("language"),
-        _cleaned(r["meta"]["author"]).alias("author"),
+        _cleaned(_raw("title")).alias("title"),
+        _cleaned(_raw("content")).alias("content"),
+        _cleaned(_raw("description")).alias("meta_description"),
+        _cleaned(_raw("keywords")).alias("meta_keywords"),
+        _raw("language").alias("language"),
+        _cleaned(_raw("author")).alias("author"),
         canonical.alias("canonical_url"),
-        link_targets(u, F.coalesce(r["hrefs"], empty), allowed, blocked).alias("links"),
+        link_targets(u, F.coalesce(_raw("hrefs"), empty), allowed, blocked).alias("links"),
         link_targets(
-            u, F.coalesce(r["srcs"], empty), allowed, blocked, check_extension=strict_compat
+            u, F.coalesce(_raw("srcs"), empty), allowed, blocked, check_extension=strict_compat
         ).alias("images"),
         headings.alias("headings"),
-        _schema_org(F.col("_json_ld"), r["microdata"]).alias("schema_org_data"),
-        r["parse_error"].alias("parse_error"),
+        _schema_org(F.col("_json_ld"), _raw("microdata")).alias("schema_org_data"),
+        _raw("parse_error").alias("parse_error"),
     )
 
 

@@ -36,7 +36,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 
-_ENTITY = re.compile(r"&(?:#(\d{1,7});?|#[xX]([0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]*);)")
+_ENTITY = re.compile(r"&(?:#0*(\d+);?|#[xX]0*([0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*);)")
 
 
 def _char(match):
@@ -44,7 +44,8 @@ def _char(match):
     if name:
         code = 39 if name == "apos" else name2codepoint.get(name, 0)
     else:
-        code = int(decimal) if decimal else int(hexadecimal, 16)
+        digits = decimal or hexadecimal
+        code = int(digits, 10 if decimal else 16) if len(digits) < 9 else 0
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else match[0]
 
 

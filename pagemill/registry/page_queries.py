@@ -90,6 +90,47 @@ def outbound_links_allowed(spark, folder):
     return exploded(outbound_links(_records(spark, folder), blocked=("spam",)), F.col("links"), "link", "page_id")
 
 
+# --- odd mark-up, made from the given pages --------------------------------
+
+def odd_pages(spark, folder):
+    """Every page with attributes in misleading order, nested and open headings, and a commented-out JSON-LD block.
+
+    Where the page id is odd, an empty main element comes first.
+    """
+    key = F.col("page_id").cast("string")
+    odd = F.concat(
+        F.lit('<a title="see href=/wrong now" data-href=\'/no\' href="/right/'), key, F.lit('">x</a><a HREF=/q/'), key, F.lit(" href=/second>y</a>"),
+        F.lit("<h2>A"), key, F.lit(" <h3>B</h3></h2><h4>open"), key, F.lit("</article>"),
+    )
+    head = F.concat(
+        F.lit('<!-- <script type="application/ld+json">{"@type":"No"}</script> --><script type="application/ld+json">{"@type":"Yes","c":"<!-- '), key,
+        F.lit(' -->"}</script></head>'),
+    )
+    main = F.when(F.col("page_id") % 2 == 1, F.lit("<main></main><article")).otherwise(F.lit("<article"))
+    html = F.replace(F.replace(F.replace("html", F.lit("</article>"), odd), F.lit("</head>"), head), F.lit("<article"), main)
+    return table(spark, folder, "pages").withColumn("html", html)
+
+
+@query(f"""
+WITH {SQL_PARSED}, origins AS (SELECT *, regexp_extract(url, '^https?://[^/?#]*', 0) AS origin FROM parsed)
+SELECT page_id, unnest(list_sort(list_distinct(list_concat(links, [origin || '/right/' || page_id, origin || '/q/' || page_id])))) AS link FROM origins""")
+def page_links_odd(spark, folder):
+    return exploded(extract_pages(odd_pages(spark, folder)), F.col("links"), "link", "page_id")
+
+
+@query(f"""
+WITH {SQL_PARSED}
+SELECT page_id, 'A' || page_id || ' B' AS h2, 'B' AS h3, page_id % 2 = 1 AS empty_main, '{{"@type":"Yes","c":"<!-- ' || page_id || ' -->"}}' AS objects FROM parsed""")
+def page_elements_odd(spark, folder):
+    """Nested headings, an empty main element before an article, and objects in comments."""
+    records = extract_pages(odd_pages(spark, folder))
+    objects = F.array_join(F.flatten(F.map_values("schema_org_data")), " ")
+    return records.select(
+        "page_id", F.array_join(heading_column(2), "|").alias("h2"), F.array_join(heading_column(3), "|").alias("h3"),
+        (F.col("content") == "").alias("empty_main"), objects.alias("objects"),
+    )
+
+
 # --- pages with more markup, made from the given pages ---------------------
 
 def rich_pages(spark, folder):

@@ -1,6 +1,7 @@
 """Page extraction: fixtures per feature, and both modes against each other."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ def test_only_complex_pages_go_to_the_tree(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
 
     def complex_pages(df):
-        read = df.withColumn("s", H.strip_boilerplate(F.col("html"))).withColumn("m", H.main_inner(stripped))
+        read = df.withColumn("s", H.strip_boilerplate(F.col("html"))).withColumn("m", H.main_element(stripped))
         return read.filter(H.needs_tree(stripped, main)).count()
 
     assert complex_pages(pages) == 0
@@ -158,3 +159,74 @@ def test_plan_is_one_scan_without_shuffle(spark, small):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("FileScan") == 1
     assert set(RECORD_COLUMNS) <= set(df.columns)
+
+
+# --- odd mark-up ------------------------------------------------------------
+
+
+def random_page(rng):
+    """A page of random pieces: quotes, order of attributes, nesting, comments and unclosed elements in the odd places."""
+    word = lambda: rng.choice(["alpha", "b", "see href=/wrong now", "&amp;", "x y", "é", "1 < 2", "&quot;q&quot;", "a&b"])
+
+    def attributes(*needed):
+        given = [f'title="{rng.choice(["see href=/wrong now", "t", "src=x lang=de"])}"', "data-href='/no'", "data-src=/no", "disabled", "class=x", 'alt=""', "href2=/no"]
+        chosen = rng.sample(given, rng.randrange(3)) + list(needed)
+        rng.shuffle(chosen)
+        return "".join(rng.choice([" ", "  ", "\n"]) + a for a in chosen)
+
+    def anchor():
+        target = rng.choice(["/right", "rel/p", "//o.com/x?a=1&amp;b=2", "#top", "", "/img.png", "mailto:x"])
+        return f"<{rng.choice(['a', 'A'])}{attributes(rng.choice([f'href={chr(34)}{target}{chr(34)}', f'HREF={chr(39)}{target}{chr(39)}', f'href = {target or 47}']))}>{word()}</a>"
+
+    def heading():
+        level = rng.randrange(1, 4)
+        inner = rng.choice([word(), f"{word()} <i>{word()}</i>", f"A <h{level % 3 + 1}>B</h{level % 3 + 1}>"])
+        return f"<h{level}{attributes()}>{inner}" + rng.choice([f"</h{level}>"] * 5 + [""])
+
+    def piece(depth=0):
+        return rng.choice([
+            word, anchor, heading, lambda: f"<img{attributes('src=/p.png')}>", lambda: "<!-- <a href='/c'>c</a> -->", lambda: "<br>",
+            lambda: f"<p>{word()}", lambda: f"<script>var a = '<a href=/s>';</script>",
+            lambda: f"<div{attributes()}>{piece(depth + 1) if depth < 3 else word()}</div>",
+            lambda: rng.choice(["<nav>n <a href='/nav'>x</a></nav>", "<aside>s</aside>", '<p class="menu">m</p>', "&#65;", "&eacute;"]) if rng.random() < 0.3 else word(),
+        ])()
+
+    pieces = lambda n: "".join(piece() for _ in range(rng.randrange(n)))
+    title = rng.choice(["<title>T &amp; t</title>", "<title>a <b>x</b></title>", "", "<title lang=x>u</title>", "<title>c<!-- d --></title>", "<title>open"] + ["<title>plain</title>"] * 4)
+    meta = "".join(rng.sample([
+        f"<meta{attributes('name=description', 'content=' + chr(34) + 'd &amp; e' + chr(34))}>", f"<meta{attributes('name=keywords')}>",
+        f"<link{attributes('rel=canonical', 'href=/canon')}>", "<meta property='og:description' content='og'>", "<meta content='x name=author' name=other>",
+        '<script type="application/ld+json">{"@type":"A"}</script>', '<!-- <script type="application/ld+json">{"@type":"No"}</script> -->',
+    ], rng.randrange(4)))
+    main = rng.choice([
+        lambda: f"<main{attributes()}>{pieces(6)}</main>", lambda: f"<article{attributes()}>{pieces(6)}</article>", lambda: "<main></main><article>a</article>",
+        lambda: f"<article>{pieces(4)}</article><main>{pieces(4)}</main>", lambda: pieces(4), lambda: f"<main>{pieces(4)}",
+    ] + [lambda: f"<article>{word()} {pieces(6)}</article>"] * 4)()
+    return f"<html{attributes(*rng.choice([['lang=en'], ['xml:lang=fr'], []]))}><head>{title}{meta}</head><body>{pieces(4)}{main}{pieces(4)}</body></html>"
+
+
+def test_modes_agree_on_odd_markup(spark):
+    rows = [(i, URL, random_page(random.Random(i))) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results = [{r.page_id: r for r in extract_pages(pages, mode).collect()} for mode in ("auto", "tree")]
+    differ = [rows[i][2] for i in results[0] if results[0][i] != results[1][i]]
+    assert not differ, differ[0]
+
+
+@pytest.mark.parametrize("mode", ["auto", "tree"])
+def test_attributes_are_read_in_order(extract, mode):
+    row = extract(page('<main>m</main><a title="see href=/wrong now" href="/right">x</a><a data-href="/no" HREF=\'/q\'>y</a><a href=/one href=/two>z</a><a href>w</a>'), mode)
+    assert row.links == ["http://h.com/one", "http://h.com/q", "http://h.com/right"]
+    row = extract('<html data-lang="xx" title="lang=yy" lang="en"><body><main>m</main><img alt="src=/no" src="/yes.png"></body></html>', mode)
+    assert (row.language, row.images) == ("en", ["http://h.com/yes.png"])
+
+
+@pytest.mark.parametrize("mode", ["auto", "tree"])
+def test_nested_and_open_elements(extract, mode):
+    assert extract(page("<h1>A <h2>B</h2></h1><main>m</main>"), mode).headings["h2"] == ["B"]
+    assert extract(page("<main>m</main><h1>open <b>x</b>"), mode).headings["h1"] == ["open x"]
+    assert extract(page("<main></main><article>a</article>"), mode).content == ""
+    assert extract(page("<main>m</main>", "<title>a <b>x</b></title>"), mode).title == "a <b>x</b>"
+    assert extract(page("<main>&#0000000065;&#x000000041;&#99999999999999999999;</main>"), mode).content == "AA&#99999999999999999999;"
+    commented = '<!-- <script type="application/ld+json">{"@type":"No"}</script> --><script type="application/ld+json">{"@type":"A","c":"<!-- x -->"}</script>'
+    assert extract(page("<main>m</main>", commented), mode).schema_org_data == {"A": ['{"@type":"A","c":"<!-- x -->"}']}
