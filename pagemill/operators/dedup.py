@@ -91,41 +91,33 @@ def keep_first(df: DataFrame, key: str, order: str, id: str = "id") -> DataFrame
     return df.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 
 
-def first_seen_flags(keyed: DataFrame, order: str, id: str = "id") -> DataFrame:
-    """Four flags per row: does an earlier row of the same table share its key?
+def as_of_flags(keyed: DataFrame, kept: DataFrame, order: str, id: str = "id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Four flags per row: had an earlier row that was *kept* the same key when this one came?
 
-    A row is first of its key or a duplicate, so it is enough to mark the
-    winners by ``id``.
+    ``kept`` has the ids of the rows that were stored (:func:`keep_greedy`);
+    only those register their keys, of all four kinds.  So a key counts from
+    the first kept row on that has it.  Adds ``kept`` as well.  ``keyed`` is
+    read several times: hand in a table of ids, order and keys.
     """
-    rows = key_rows(keyed, carry=(id, order))
-    winners = (
-        rows.groupBy("key_type", "key")
-        .agg(F.min(F.struct(F.col(order), F.col(id).alias("_id"))).alias("w"))
-        .groupBy(F.col("w._id").alias(id))
-        .agg(*[F.max(F.col("key_type") == t).alias(f"_{t}_first") for t in KEY_TYPES])
-    )
-    return keyed.join(winners, id, "left").select(
-        *keyed.columns,
-        *[
-            (F.col(f"{t}_key").isNotNull() & ~F.coalesce(f"_{t}_first", F.lit(False))).alias(f"{t}_duplicate")
-            for t in KEY_TYPES
-        ],
+    marked = keyed.join(kept.select(id).withColumn("kept", F.lit(True)), id, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    rows = key_rows(marked.select(F.col(id).alias("_i"), F.col(order).alias("_o"), "kept", *(f"{t}_key" for t in KEY_TYPES)), carry=("_i", "_o", "kept"))
+    registered = rows.filter("kept").groupBy("key_type", "key").agg(F.min(F.struct("_o", "_i")).alias("_from"))
+    hits = salted_join(rows, registered, ["key_type", "key"], "inner", ["_i"], hot_rows).filter(F.struct("_o", "_i") > F.col("_from"))
+    flags = hits.groupBy(F.col("_i").alias(id)).agg(*[F.max(F.col("key_type") == t).alias(f"{t}_duplicate") for t in KEY_TYPES])
+    return marked.join(flags, id, "left").select(
+        *keyed.columns, "kept", *[F.coalesce(f"{t}_duplicate", F.lit(False)).alias(f"{t}_duplicate") for t in KEY_TYPES],
     )
 
 
-def duplicate_stats(flagged: DataFrame, sizes: str = "exact") -> DataFrame:
-    """Checks, hits per type (titles counted too) and sizes of the key sets.
+def duplicate_stats(flagged: DataFrame) -> DataFrame:
+    """Checks, hits per type (titles counted too) and sizes of the sets of registered keys, from :func:`as_of_flags`.
 
-    ``sizes='first_seen'`` is for flags from :func:`first_seen_flags`: there
-    every key has one row that is no duplicate, so the sets need no distinct
-    count.  'exact' and 'approximate' work for any flags.
+    Every registered key has one kept row that is no duplicate by it, the one
+    that registered it, so the sets need no distinct count.
     """
 
     def size(t: str) -> Column:
-        key = F.col(f"{t}_key")
-        if sizes == "first_seen":
-            return F.count_if(key.isNotNull() & ~F.col(f"{t}_duplicate"))
-        return F.approx_count_distinct(key) if sizes == "approximate" else F.count_distinct(key)
+        return F.count_if(F.col("kept") & F.col(f"{t}_key").isNotNull() & ~F.col(f"{t}_duplicate"))
 
     return flagged.agg(
         F.count(F.lit(1)).alias("total_checks"),

@@ -9,7 +9,9 @@ from pagemill.functions.urls import url_domain
 from pagemill.functions.values import (
     POLITENESS_DELAY, PRIORITY_HIGH, PRIORITY_LOW, RETRY_ATTEMPTS,
 )
+from pagemill.operators.selection import first_rows
 from pagemill.operators.skew import rank_in_group, top_k_per_group
+from pagemill.session import written
 
 def tasks(
     urls: DataFrame, depth: int | Column, priority: int | Column, parent_url: Column | None = None,
@@ -116,6 +118,7 @@ def plan_batch(
     in seconds after the epoch for visited domains, else after the start.
     With a ``horizon`` (seconds) only slots that begin within it are planned,
     so the ranking keeps at most horizon/delay rows of a domain.
+    ``max_pages`` is as for :func:`within_limits`.
     """
     order = [-F.col("priority"), F.col("seq")]
     seen = last_access.groupBy("domain").agg(F.max("ts").alias("_last"))
@@ -132,15 +135,19 @@ def plan_batch(
         .withColumn("not_before", not_before)
         .drop("_last", "rank")
     )
-    if max_pages:
-        planned = planned.orderBy("slot", F.desc("priority"), "seq").limit(max_pages)
-    return planned
+    return within_limits(planned, max_pages)
 
 
 def within_limits(plan: DataFrame, max_pages: int | None = None, max_duration: float | None = None) -> DataFrame:
-    """First ``max_pages`` of the plan that start before ``max_duration``; 0 or None is no limit."""
+    """First ``max_pages`` of the plan that start before ``max_duration``; 0 or None is no limit.
+
+    Pages count in the order of their start, then priority, then ``seq``.
+    Large limits never meet in one task.
+    """
     out = plan.filter(F.col("not_before") < float(max_duration)) if max_duration else plan
-    return out.orderBy("not_before", F.desc("priority"), "seq").limit(max_pages) if max_pages else out
+    if not max_pages:
+        return out
+    return first_rows(written(out, "plan"), [F.col("not_before"), -F.col("priority"), F.col("seq")], max_pages)
 
 
 def depth_filter(frontier: DataFrame, max_depth: int) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from pagemill.functions.values import HISTOGRAM_BUCKETS, METRIC_EXPORT, METRIC_HISTORY
+from pagemill.operators.selection import SMALL, values_at_ranks
 from pagemill.operators.skew import top_k_per_group
 
 
@@ -165,58 +166,23 @@ def export_metrics(points: DataFrame, n: int = METRIC_EXPORT) -> DataFrame:
 
 
 def percentiles(
-    values: DataFrame, value: str, keys: Sequence[str], quantiles: Sequence[float], cells: int = 1024
+    values: DataFrame, value: str, keys: Sequence[str], quantiles: Sequence[float], small: int = SMALL
 ) -> DataFrame:
     """Exact percentiles (nearest rank) per group, one row per quantile.
 
-    Values are counted first, so equal values cost one row.  The range of a
-    group is cut into ``cells``; cell counts tell which cell holds each
-    quantile, and only the counts of those cells are ranked.  A large group
-    is never sorted in one task.  Without keys the whole table is one group.
+    A large group is never sorted in one task, whatever its values: see
+    :func:`values_at_ranks`.  Without keys the whole table is one group.
     """
-    if not keys:
-        return percentiles(values.withColumn("_all", F.lit(0)), value, ["_all"], quantiles, cells).drop("_all")
-    keys = list(keys)
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    ranges = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * cells), F.lit(cells - 1))).otherwise(F.lit(0))
-    celled = counts.join(ranges, keys).withColumn("_cell", cell)
-    order = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cell_counts = (
-        celled.groupBy(*keys, "_cell", "_total").agg(F.sum("_n").alias("_in_cell"))
-        .withColumn("_before", F.coalesce(F.sum("_in_cell").over(order), F.lit(0)))
-    )
-    wanted = F.transform(
-        F.array(*[F.lit(float(q)) for q in quantiles]),
-        lambda q: F.struct(q.alias("q"), F.greatest(F.ceil(q * F.col("_total")), F.lit(1)).cast("bigint").alias("rank")),
-    )
-    hits = (
-        cell_counts.withColumn("_w", F.explode(wanted))
-        .filter((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_in_cell")))
-        .select(*keys, "_cell", "_before", F.col("_w.q").alias("quantile"), F.col("_w.rank").alias("_rank"))
-    )
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_v")
-    needed = celled.join(hits.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi").withColumn(
-        "_upto", F.sum("_n").over(inside)
-    )
-    return (
-        needed.select(*keys, "_cell", "_v", "_n", "_upto").join(hits, [*keys, "_cell"])
-        .filter(
-            (F.col("_before") + F.col("_upto") >= F.col("_rank"))
-            & (F.col("_before") + F.col("_upto") - F.col("_n") < F.col("_rank"))
-        )
-        .select(*keys, "quantile", F.col("_v").alias("value"))
-    )
+    rank = lambda q: F.greatest(F.ceil(q * F.col("_total")), F.lit(1))
+    wanted = F.transform(F.array(*[F.lit(float(q)) for q in quantiles]), lambda q: F.struct(q.alias("target"), rank(q).alias("rank")))
+    found = values_at_ranks(values, value, keys, wanted, small)
+    return found.select(*keys, F.col("target").alias("quantile"), "value")
 
 
 def approximate_percentiles(
     values: DataFrame, value: str, keys: Sequence[str], quantiles: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:
+    """``values``, one for each quantile, whose rank is off by at most 1 / ``accuracy`` of the group's size."""
     return values.groupBy(*keys).agg(
         F.percentile_approx(value, [float(q) for q in quantiles], accuracy).alias("values")
     )

@@ -9,7 +9,8 @@ from pagemill.operators.extract import extract_pages
 from pagemill.registry.base import SQL_PARSED, query, sql_collapse, table
 from pagemill.registry.page_queries import SQL_FEATURES, SQL_FUZZY_KEY, sql_features
 from pagemill.registry.url_queries import SQL_URL_KEY_HASH
-from pagemill.session import written
+from pagemill.session import work_folder, written
+from pagemill.sources import keylevels
 
 
 def keyed_documents(spark, folder):
@@ -40,6 +41,7 @@ SQL_ALL_PAGE_KEYS = f"""
 page_texts AS (SELECT page_id AS doc_id, content AS text, title FROM parsed),
 {sql_features('page_texts')},
 all_page_keys AS (SELECT page_id AS id, url, {SQL_URL_KEY_HASH} AS url_key, sha256({sql_collapse('lower(content)')}) AS content_key,
+                    CASE WHEN title <> '' THEN md5({sql_collapse('lower(title)')}) END AS title_key,
                     {SQL_FUZZY_KEY} AS fuzzy_key FROM parsed JOIN features ON doc_id = page_id)"""
 
 SQL_PAGE_KEYS = f"""
@@ -68,16 +70,41 @@ def dedup_flags(spark, folder):
     return flagged.select("id", *[f"{t}_duplicate" for t in D.KEY_TYPES])
 
 
+def sql_as_of(keys: str, **columns: str) -> str:
+    """One row at a time in id order over relation ``keys``: flags against the keys that the kept rows have registered so far.
+
+    ``columns`` gives the key column of each kind that the relation has; title never decides.
+    """
+    kinds = ("url", "content", "title", "fuzzy")
+    named = ", ".join(f"{columns.get(k, 'NULL::VARCHAR')} AS {k}_key" for k in kinds)
+    hits = ", ".join(f"coalesce(list_contains(w.{k}_set, o.{k}_key), false) AS {k}_duplicate" for k in kinds)
+    sets = ", ".join(f"CASE WHEN kept AND {k}_key IS NOT NULL THEN list_append({k}_set, {k}_key) ELSE {k}_set END" for k in kinds)
+    flags = [f"{k}_duplicate" for k in kinds]
+    return f"""
+as_of_rows AS MATERIALIZED (SELECT id, {named}, row_number() OVER (ORDER BY id) AS n FROM {keys}),
+judged(n, id, kept, {", ".join(flags)}, {", ".join(f"{k}_set" for k in kinds)}) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, false, false, false, false, false, {", ".join("[]::VARCHAR[]" for _ in kinds)}
+  UNION ALL
+  SELECT n, id, kept, {", ".join(flags)}, {sets}
+  FROM (SELECT *, NOT (url_duplicate OR content_duplicate OR fuzzy_duplicate) AS kept
+        FROM (SELECT o.*, {", ".join(f"w.{k}_set" for k in kinds)}, {hits} FROM judged w JOIN as_of_rows o ON o.n = w.n + 1))),
+flagged AS (SELECT * FROM judged WHERE id IS NOT NULL),
+registered AS (SELECT {", ".join(f"len(list_distinct({k}_set)) AS total_{k}_hashes" for k in kinds)} FROM judged ORDER BY n DESC LIMIT 1)"""
+
+
+def judged(keyed):
+    """Rows of ``keyed`` as each was judged when it came, in the order of ids."""
+    return D.as_of_flags(keyed, D.keep_greedy(keyed, "id"), "id")
+
+
 @query(f"""
-WITH {SQL_DOC_KEYS},
-firsts AS (SELECT id, id > min(id) OVER (PARTITION BY content_key) AS content_duplicate,
-             id > min(id) OVER (PARTITION BY fuzzy_key) AS fuzzy_duplicate FROM keys)
-SELECT id, content_duplicate, fuzzy_duplicate, content_duplicate AS strict_verdict,
-  content_duplicate OR fuzzy_duplicate AS verdict FROM firsts""")
+WITH RECURSIVE {SQL_DOC_KEYS}, {sql_as_of('keys', content='content_key', fuzzy='fuzzy_key')}
+SELECT id, kept, content_duplicate, fuzzy_duplicate, content_duplicate AS strict_verdict, content_duplicate OR fuzzy_duplicate AS verdict FROM flagged""")
 def dedup_verdict(spark, folder):
-    flagged = D.first_seen_flags(keyed_documents(spark, folder), "id")
+    """Flags against what was stored when a document came, and the verdicts from them."""
+    flagged = judged(keyed_documents(spark, folder))
     return flagged.select(
-        "id", "content_duplicate", "fuzzy_duplicate",
+        "id", "kept", "content_duplicate", "fuzzy_duplicate",
         D.is_duplicate(strict=True).alias("strict_verdict"), D.is_duplicate().alias("verdict"),
     )
 
@@ -90,15 +117,35 @@ def dedup_keep_first(spark, folder):
     return D.keep_first(documents, "content_key", "id").select("id", "content_key")
 
 
-@query(f"""
-WITH {SQL_PAGE_KEYS},
-flags AS (SELECT *, id > min(id) OVER (PARTITION BY url_key) AS u, id > min(id) OVER (PARTITION BY content_key) AS c, id > min(id) OVER (PARTITION BY title_key) AS t FROM page_keys)
-SELECT count(*) AS total_checks, count(*) FILTER (u) AS url_duplicates, count(*) FILTER (c) AS content_duplicates,
-  count(*) FILTER (t) AS title_duplicates, count(DISTINCT url_key) AS total_url_hashes, count(DISTINCT content_key) AS total_content_hashes,
-  count(DISTINCT title_key) AS total_title_hashes FROM flags""")
+SQL_PAGE_STATS = f"""
+{SQL_ALL_PAGE_KEYS}, {sql_as_of('all_page_keys', url='url_key', content='content_key', title='title_key', fuzzy='fuzzy_key')},
+dedup_stats AS (
+  SELECT count(*) AS total_checks, count(*) FILTER (url_duplicate) AS url_duplicates, count(*) FILTER (content_duplicate) AS content_duplicates,
+    count(*) FILTER (title_duplicate) AS title_duplicates, count(*) FILTER (fuzzy_duplicate) AS fuzzy_duplicates,
+    any_value(total_url_hashes) AS total_url_hashes, any_value(total_content_hashes) AS total_content_hashes,
+    any_value(total_title_hashes) AS total_title_hashes, any_value(total_fuzzy_hashes) AS total_fuzzy_hashes FROM flagged, registered)"""
+
+
+@query(f"WITH RECURSIVE {SQL_PAGE_STATS} SELECT * FROM dedup_stats")
 def dedup_stats(spark, folder):
-    flagged = D.first_seen_flags(keyed_pages(spark, folder), "id")
-    return D.duplicate_stats(flagged, "first_seen").drop("fuzzy_duplicates", "total_fuzzy_hashes")
+    """All four kinds, counted over checks against stored pages."""
+    return D.duplicate_stats(judged(keyed_pages(spark, folder)))
+
+
+@query(f"""
+WITH {SQL_ALL_PAGE_KEYS}, known AS (SELECT * FROM all_page_keys WHERE id % 3 = 0 AND url LIKE 'https:%')
+SELECT id, url_key IN (SELECT url_key FROM known) AS url_duplicate, content_key IN (SELECT content_key FROM known) AS content_duplicate,
+  title_key IN (SELECT title_key FROM known) AS title_duplicate, fuzzy_key IN (SELECT fuzzy_key FROM known) AS fuzzy_duplicate FROM all_page_keys""")
+def dedup_flags_pages(spark, folder):
+    """All four flags of the pages against the keys of some of them, which are stored in levels."""
+    keyed, path = keyed_pages(spark, folder), work_folder(spark, "history")
+    known = keyed.filter((F.col("id") % 3 == 0) & F.startswith("url", F.lit("https:")))
+    for batch in range(3):
+        part = D.key_rows(known.filter(F.floor(F.col("id") / 3) % 3 == batch), carry=()).distinct()
+        keylevels.append_keys(spark, path, part, F.lit("2024-01-01").cast("timestamp"), "known", batch)
+    keylevels.settle(spark, path, "known", 3, fan_in=2)
+    seen = keylevels.stored_among(spark, path, D.key_rows(keyed, carry=()).distinct())
+    return D.duplicate_flags(keyed, seen).select("id", *[f"{t}_duplicate" for t in D.KEY_TYPES])
 
 
 def sql_greedy(keys: str, columns: str) -> str:

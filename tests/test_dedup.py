@@ -76,7 +76,7 @@ def test_title_never_decides_and_empty_content_has_no_key(spark):
     keyed = D.with_keys(spark.createDataFrame(rows, "id bigint, url string, title string, content string"))
     kept = D.greedy_dedup(keyed, "id").filter("kept")
     assert {r.id for r in kept.collect()} == {0, 1}
-    flags = D.first_seen_flags(keyed, "id").orderBy("id").collect()
+    flags = D.as_of_flags(keyed, kept, "id").orderBy("id").collect()
     assert [(r.url_duplicate, r.content_duplicate, r.title_duplicate) for r in flags] == [
         (False, False, False), (False, False, True), (True, False, True),
     ]
@@ -101,11 +101,48 @@ def test_keep_first_and_stats(spark):
         key = row["content_key"] or ("own", row["id"])
         first.setdefault(key, row["id"])
     assert got == set(first.values())
-    stats = D.duplicate_stats(D.first_seen_flags(df, "ord")).first()
-    present = [r["content_key"] for r in rows if r["content_key"]]
+
+
+def as_of(rows, types=D.DEFAULT):
+    """Flags, kept ids and registered keys when rows come in order and only kept rows register keys."""
+    sets, flags, kept = {t: set() for t in D.KEY_TYPES}, {}, set()
+    for row in sorted(rows, key=lambda r: r["ord"]):
+        own = {t: row[f"{t}_key"] is not None and row[f"{t}_key"] in sets[t] for t in D.KEY_TYPES}
+        flags[row["id"]] = own
+        if not any(own[t] for t in types):
+            kept.add(row["id"])
+            for t in D.KEY_TYPES:
+                sets[t] |= {row[f"{t}_key"]} - {None}
+    return flags, kept, sets
+
+
+@pytest.mark.parametrize("seed, values, hot_rows", [(5, 20, 1000), (6, 60, 5), (7, 150, 2)])
+def test_flags_and_statistics_of_stored_rows(spark, seed, values, hot_rows):
+    rows = random_rows(200, values, seed)
+    df = spark.createDataFrame(rows, KEYED)
+    flags, kept, sets = as_of(rows)
+    flagged = D.as_of_flags(df, D.keep_greedy(df, "ord"), "ord", hot_rows=hot_rows).cache()
+    assert {r.id: {t: r[f"{t}_duplicate"] for t in D.KEY_TYPES} for r in flagged.collect()} == flags
+    assert {r.id for r in flagged.filter("kept").collect()} == kept
+    assert {r.id for r in flagged.filter(~D.is_duplicate()).collect()} == kept
+    stats = D.duplicate_stats(flagged).first()
     assert stats.total_checks == 200
-    assert stats.total_content_hashes == len(set(present))
-    assert stats.content_duplicates == len(present) - len(set(present))
+    for t in D.KEY_TYPES:
+        assert stats[f"{t}_duplicates"] == sum(f[t] for f in flags.values())
+        assert stats[f"total_{t}_hashes"] == len(sets[t])
+
+
+def test_a_page_that_was_not_stored_registers_nothing(spark):
+    rows = [
+        {"id": 0, "ord": 0, "url_key": "u0", "content_key": "c", "title_key": "t0", "fuzzy_key": "f0"},
+        {"id": 1, "ord": 1, "url_key": "u1", "content_key": "c", "title_key": "t", "fuzzy_key": "f"},
+        {"id": 2, "ord": 2, "url_key": "u2", "content_key": "d", "title_key": "t", "fuzzy_key": "f"},
+    ]
+    df = spark.createDataFrame(rows, KEYED)
+    last = D.as_of_flags(df, D.keep_greedy(df, "ord"), "ord").filter("id = 2").first()
+    assert last.kept and not (last.fuzzy_duplicate or last.title_duplicate)
+    stats = D.duplicate_stats(D.as_of_flags(df, D.keep_greedy(df, "ord"), "ord")).first()
+    assert (stats.content_duplicates, stats.fuzzy_duplicates, stats.total_fuzzy_hashes, stats.total_title_hashes) == (1, 0, 2, 2)
 
 
 def test_new_and_retained_keys(spark):

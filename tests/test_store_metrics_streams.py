@@ -82,7 +82,7 @@ def test_percentiles_are_exact(spark):
     }
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("even", None)], "g string, v double")
     wanted = [0.0, 0.01, 0.5, 0.9, 0.99, 1.0]
-    got = {(r.g, r.quantile): r.value for r in metrics.percentiles(df, "v", ["g"], wanted, cells=16).collect()}
+    got = {(r.g, r.quantile): r.value for r in metrics.percentiles(df, "v", ["g"], wanted, small=40).collect()}
     expected = {(g, q): sorted(vs)[max(math.ceil(q * len(vs)), 1) - 1] for g, vs in groups.items() for q in wanted}
     assert got == expected
 
