@@ -69,6 +69,17 @@ METRIC_HISTORY = 1000
 METRIC_EXPORT = 100
 # Default buckets of the public Prometheus client libraries.
 HISTOGRAM_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
+METRIC_DESCRIPTIONS = {
+    "urls_crawled_total": "URLs crawled",
+    "response_time_seconds": "HTTP response time",
+    "http_responses_total": "HTTP responses by status code",
+    "pages_stored_total": "Pages stored",
+    "bytes_downloaded_total": "Bytes downloaded",
+    "errors_total": "Crawl errors",
+    "duplicates_skipped_total": "Duplicate pages skipped",
+    "queue_size": "URLs in queue",
+    "active_workers": "Active workers",
+}
 NOISY_LOGGERS = ("aiohttp.access", "urllib3.connectionpool", "requests.packages.urllib3")
 NOISY_DEBUG_PHRASES = ("connection pool", "resetting dropped connection")
 STORAGE_VERSION = "1.0"

@@ -195,6 +195,11 @@ def is_empty(frontier: DataFrame) -> bool:
     return frontier.isEmpty()
 
 
+def empty_flag(frontier: DataFrame) -> DataFrame:
+    """:func:`is_empty` as a row, for reports; reads one row at most."""
+    return frontier.select(F.lit(1).alias("_")).limit(1).agg((F.count(F.lit(1)) == 0).alias("is_empty"))
+
+
 def to_json_rows(frontier: DataFrame) -> DataFrame:
     """Frontier rows as JSON text, epoch seconds for the discovery time."""
     row = F.struct(

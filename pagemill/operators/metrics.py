@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from pagemill.functions.values import HISTOGRAM_BUCKETS, METRIC_EXPORT, METRIC_HISTORY
+from pagemill.functions.values import HISTOGRAM_BUCKETS, METRIC_DESCRIPTIONS, METRIC_EXPORT, METRIC_HISTORY
 from pagemill.operators.selection import SMALL, values_at_ranks
 from pagemill.operators.skew import top_k_per_group
 
@@ -62,7 +62,8 @@ def final_report(sections: dict[str, DataFrame]) -> DataFrame:
 def metric_points(log: DataFrame) -> DataFrame:
     """Metric points of a crawl log: ``ts, seq, status, response_time, outcome, bytes, error_type``.
 
-    One pass; each record gives the points its outcome calls for.
+    One pass; each record gives the points its outcome calls for, and a gauge
+    point of the queue where the log has its size, ``queued``.
     """
 
     def point(name: str, kind: str, value: Column, labels: Column | None = None) -> Column:
@@ -81,6 +82,8 @@ def metric_points(log: DataFrame) -> DataFrame:
             F.create_map(F.lit("status_code"), F.col("status").cast("string")),
         ),
     ]
+    if "queued" in log.columns:
+        always.append(point("queue_size", "gauge", F.col("queued")))
     stored = [
         point("pages_stored_total", "counter", one),
         point("bytes_downloaded_total", "counter", F.col("bytes")),
@@ -100,6 +103,19 @@ def metric_points(log: DataFrame) -> DataFrame:
     )
 
 
+def gauge_points(stats: DataFrame, ts: Column, seq: Column, prefix: str = "crawler_") -> DataFrame:
+    """The figures of a one-row result as gauge points, to be added to those of the log."""
+    none = F.create_map().cast("map<string,string>")
+    return as_gauges(stats, prefix).select("name", F.lit("gauge").alias("type"), ts.alias("ts"), seq.cast("bigint").alias("seq"), "value", none.alias("labels"))
+
+
+def description(name: Column, prefix: str = "crawler_") -> Column:
+    """What a metric is about; null for names that are not known."""
+    known = F.create_map(*(F.lit(x) for pair in METRIC_DESCRIPTIONS.items() for x in pair))
+    stat = F.concat(F.lit("Crawler stat: "), F.substr(name, F.lit(len(prefix) + 1)))
+    return F.when(F.startswith(name, F.lit(prefix)), stat).otherwise(F.try_element_at(known, name))
+
+
 def label_text(labels: Column) -> Column:
     """Labels as text with sorted keys: groupable, unlike a map."""
     return F.array_join(
@@ -162,7 +178,7 @@ def export_metrics(points: DataFrame, n: int = METRIC_EXPORT) -> DataFrame:
         ).alias("points"),
     )
     current = _current(points).withColumnRenamed("value", "current_value")
-    return current.join(exported, ["name", "type"]).select("name", "type", "current_value", "points")
+    return current.join(exported, ["name", "type"]).select("name", description(F.col("name")).alias("description"), "type", "current_value", "points")
 
 
 def percentiles(

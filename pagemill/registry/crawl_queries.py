@@ -13,7 +13,7 @@ from pagemill.registry.base import SQL_PARSED, SQL_URL_PARTS, query, table
 from pagemill.registry.dedup_queries import SQL_ALL_PAGE_KEYS
 from pagemill.schemas import FRONTIER
 from pagemill.session import placed_by, work_folder, written
-from pagemill.streaming.ingest import as_instant, without_zone, load_frontier, recrawl_due, save_frontier
+from pagemill.streaming.ingest import as_instant, load_frontier, log_frontier, recrawl_due, save_frontier, snapshot_frontier, without_zone
 
 # --- fetch records, made from the events -----------------------------------
 
@@ -79,13 +79,16 @@ def fetch_success(spark, folder):
     return fetchlog.read_bodies(fetch_log(spark, folder)).filter(fetchlog.is_success()).select("event_id", "content")
 
 
-@query(f"""
-WITH {SQL_OUTCOMES}
-SELECT count(*) FILTER (outcome <> 'robots_blocked') AS total_requests, count(*) FILTER (outcome = 'ok') AS successful_requests,
+SQL_FETCH_COUNTERS = f"""
+{SQL_OUTCOMES},
+fetch_counters AS (SELECT count(*) FILTER (outcome <> 'robots_blocked') AS total_requests, count(*) FILTER (outcome = 'ok') AS successful_requests,
   count(*) FILTER (outcome IN ('timeout', 'client_error', 'unexpected_error')) AS failed_requests,
   count(*) FILTER (outcome = 'robots_blocked') AS robots_blocked,
   CAST(sum(octet_length(encode(props))) FILTER (outcome = 'ok') AS BIGINT) AS total_bytes,
-  CAST(sum(length(props)) FILTER (outcome = 'ok') AS BIGINT) AS total_chars FROM outcomes""")
+  CAST(sum(length(props)) FILTER (outcome = 'ok') AS BIGINT) AS total_chars FROM outcomes)"""
+
+
+@query(f"WITH {SQL_FETCH_COUNTERS} SELECT * FROM fetch_counters")
 def fetch_counters(spark, folder):
     return fetchlog.fetch_counters(fetchlog.read_bodies(fetch_log(spark, folder)))
 
@@ -252,24 +255,24 @@ done AS (SELECT DISTINCT url FROM edges WHERE language = 'en'),
 targets AS (SELECT url, min(parent_url) AS parent_url FROM edges GROUP BY url)"""
 
 
-def _page_records(spark, folder):
+def page_records(spark, folder):
     return written(extract_pages(table(spark, folder, "pages")).select("page_id", "url", "language", "links"), "page-links")
 
 
-def _processed(records):
+def processed_urls(records):
     """Links of the English pages count as processed already."""
     return records.filter(F.col("language") == "en").select(F.explode("links").alias("url"))
 
 
 @query(f"WITH {SQL_PARSED} SELECT url AS parent_url, unnest(links) AS url, 1 AS depth, 2 AS priority FROM parsed")
 def link_edges(spark, folder):
-    return graph.link_edges(_page_records(spark, folder))
+    return graph.link_edges(page_records(spark, folder))
 
 
 @query(f"WITH {_SQL_TARGETS} SELECT url, 1 AS depth, parent_url FROM targets WHERE url NOT IN (SELECT url FROM done)")
 def one_hop_new_links(spark, folder):
-    records = _page_records(spark, folder)
-    return graph.one_hop(records, _processed(records))
+    records = page_records(spark, folder)
+    return graph.one_hop(records, processed_urls(records))
 
 
 def _candidates(records):
@@ -279,8 +282,8 @@ def _candidates(records):
 
 @query(f"WITH {_SQL_TARGETS} SELECT url, parent_url, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS domain FROM targets WHERE url NOT IN (SELECT url FROM done)")
 def frontier_new_tasks(spark, folder):
-    records = _page_records(spark, folder)
-    return frontier.new_tasks(_candidates(records), _processed(records)).select("url", "parent_url", "domain")
+    records = page_records(spark, folder)
+    return frontier.new_tasks(_candidates(records), processed_urls(records)).select("url", "parent_url", "domain")
 
 
 @query(f"""
@@ -295,33 +298,54 @@ def depth_limited(spark, folder):
 
 @query(f"WITH {_SQL_TARGETS} SELECT count(*) AS added FROM targets WHERE url NOT IN (SELECT url FROM done)")
 def frontier_added(spark, folder):
-    records = _page_records(spark, folder)
-    return frontier.count_added(_candidates(records), _processed(records))
+    records = page_records(spark, folder)
+    return frontier.count_added(_candidates(records), processed_urls(records))
 
 
 @query(f"WITH {_SQL_TARGETS} SELECT url FROM targets WHERE url NOT IN (SELECT url FROM done)")
 def processed_set_add(spark, folder):
-    records = _page_records(spark, folder)
-    return frontier.add_to_set(_processed(records).distinct(), graph.link_edges(records), "url")
+    records = page_records(spark, folder)
+    return frontier.add_to_set(processed_urls(records).distinct(), graph.link_edges(records), "url")
 
 
-@query(f"""
-WITH {_SQL_TARGETS}, queued AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM pages),
-done_domains AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM done)
-SELECT (SELECT count(*) FROM queued) AS total_queued, (SELECT count(DISTINCT domain) FROM queued) AS domains_with_urls,
+SQL_FRONTIER_STATS = f"""
+{_SQL_TARGETS}, queued AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM pages),
+done_domains AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM done),
+frontier_stats AS (SELECT (SELECT count(*) FROM queued) AS total_queued, (SELECT count(DISTINCT domain) FROM queued) AS domains_with_urls,
   (SELECT count(*) FROM done) AS total_processed,
-  (SELECT count(*) FROM (SELECT domain FROM queued UNION SELECT domain FROM done_domains)) AS total_domains""")
+  (SELECT count(*) FROM (SELECT domain FROM queued UNION SELECT domain FROM done_domains)) AS total_domains)"""
+
+
+@query(f"WITH {SQL_FRONTIER_STATS} SELECT * FROM frontier_stats")
 def frontier_stats(spark, folder):
-    records = _page_records(spark, folder)
-    return frontier.frontier_stats(page_frontier(spark, folder), _processed(records))
+    records = page_records(spark, folder)
+    return frontier.frontier_stats(page_frontier(spark, folder), processed_urls(records))
 
 
-@query(f"WITH {SQL_FRONTIER} SELECT seq, url, priority FROM frontier")
+@query(f"""
+WITH {SQL_FRONTIER}
+SELECT seq, url, CASE WHEN seq % 5 = 1 THEN 1 ELSE priority END AS priority FROM frontier WHERE seq % 5 <> 2 OR seq % 2 = 1""")
 def frontier_saved(spark, folder):
-    """The frontier as a second run finds it."""
-    path = work_folder(spark, "frontier")
-    save_frontier(page_frontier(spark, folder), path, run=1)
-    return load_frontier(spark, path, 1, FRONTIER).select("seq", "url", "priority")
+    """The frontier after four runs: a snapshot, pages queued, pages taken and tried again, pages taken and queued later."""
+    path, queue = work_folder(spark, "frontier"), written(page_frontier(spark, folder), "queue")
+    fifth = F.col("seq") % 5
+    save_frontier(queue.filter(fifth.isin(0, 1)), path, run=1)
+    log_frontier(path, 2, added=queue.filter(fifth > 1))
+    log_frontier(path, 3, added=queue.filter(fifth == 1).withColumn("priority", F.lit(1)), removed=queue.filter(fifth.isin(1, 2)))
+    log_frontier(path, 4, added=queue.filter((fifth == 2) & (F.col("seq") % 2 == 1)))
+    snapshot_frontier(spark, path, 3, FRONTIER)
+    return load_frontier(spark, path, 4, FRONTIER).select("seq", "url", "priority")
+
+
+@query("""SELECT 'queued' AS part, (SELECT count(*) FROM pages) = 0 AS is_empty
+UNION ALL SELECT 'ftp', (SELECT count(*) FROM pages WHERE url LIKE 'ftp:%') = 0
+UNION ALL SELECT 'https', (SELECT count(*) FROM pages WHERE url LIKE 'https:%') = 0""")
+def frontier_empty(spark, folder):
+    """Is anything queued, at all or of a scheme?"""
+    queue = page_frontier(spark, folder)
+    parts = [("queued", queue), *((p, queue.filter(F.startswith("url", F.lit(f"{p}:")))) for p in ("ftp", "https"))]
+    flags = [frontier.empty_flag(rows).select(F.lit(part).alias("part"), "is_empty") for part, rows in parts]
+    return flags[0].unionByName(flags[1]).unionByName(flags[2])
 
 
 @query("""

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pagemill.operators import dedup, fetchlog, frontier, metrics
 from pagemill.operators.extract import extract_pages
 from pagemill.registry.base import SQL_PARSED, query, sql_words, table
-from pagemill.registry.crawl_queries import fetch_log, page_frontier
-from pagemill.registry.dedup_queries import SQL_ALL_PAGE_KEYS, keyed_pages, sql_greedy
+from pagemill.registry.crawl_queries import SQL_FETCH_COUNTERS, SQL_FRONTIER_STATS, fetch_log, page_frontier, page_records, processed_urls
+from pagemill.registry.dedup_queries import SQL_ALL_PAGE_KEYS, SQL_PAGE_STATS, judged, keyed_pages, sql_greedy
+from pagemill.registry.store_queries import SQL_STORAGE_STATS, stored_pages
 from pagemill.schemas import PAGES
 from pagemill.session import work_folder
+from pagemill.sources import store
 from pagemill.sources.tables import events_by_kind, read_logs, without_noise, write_json
 from pagemill.streaming import ingest
 
@@ -26,6 +28,7 @@ def crawl_log(spark, folder):
         F.when(kind == "error", F.when(F.col("value") < 30, "timeout").otherwise("client")).alias("error_type"),
         F.col("value").alias("response_time"),
         F.octet_length("props").cast("bigint").alias("bytes"),
+        (F.col("event_id") * 7 % 1000).alias("queued"),
     )
 
 
@@ -33,7 +36,7 @@ SQL_LOG = """
 log AS (SELECT event_id AS seq, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'duplicate' ELSE 'stored' END AS outcome,
   CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 404 ELSE 200 END AS status,
   CASE WHEN event_type = 'error' THEN CASE WHEN value < 30 THEN 'timeout' ELSE 'client' END END AS error_type,
-  value AS response_time, octet_length(encode(props)) AS bytes FROM events),
+  value AS response_time, octet_length(encode(props)) AS bytes, event_id * 7 % 1000 AS queued FROM events),
 summary AS (SELECT count(*) AS urls_crawled, count(*) FILTER (outcome = 'stored') AS pages_stored, count(*) FILTER (outcome = 'error') AS errors,
   count(*) FILTER (outcome = 'duplicate') AS duplicates_skipped, CAST(sum(bytes) AS BIGINT) AS total_bytes_downloaded,
   avg(response_time) AS average_response_time, date_diff('microsecond', min(ts), max(ts)) / 1000000.0 AS elapsed_time FROM log)"""
@@ -71,28 +74,34 @@ def bulk_gauges(spark, folder):
     return _rounded(metrics.as_gauges(metrics.crawl_summary(crawl_log(spark, folder))), "value")
 
 
+def _sql_section(section: str, relation: str, *columns: str) -> str:
+    each = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return f"SELECT '{section}' AS section, name, round(value, 6) AS value FROM (SELECT {each} FROM {relation}) UNPIVOT (value FOR name IN ({', '.join(columns)}))"
+
+
+_CRAWL_FIGURES = ("urls_crawled", "pages_stored", "errors", "duplicates_skipped", "average_response_time", "elapsed_time", "pages_per_minute", "megabytes")
+_HASHES = [f"{t}_duplicates" for t in dedup.KEY_TYPES] + [f"total_{t}_hashes" for t in dedup.KEY_TYPES]
+
+
 @query(f"""
-WITH {SQL_LOG}, {SQL_PARSED}
-SELECT 'crawl' AS section, 'urls_crawled' AS name, urls_crawled::DOUBLE AS value FROM summary
-UNION ALL SELECT 'crawl', 'megabytes', round(total_bytes_downloaded / 1048576, 6) FROM summary
-UNION ALL SELECT 'frontier', 'total_queued', (SELECT count(*) FROM pages)
-UNION ALL SELECT 'frontier', 'domains_with_urls', (SELECT count(DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) FROM pages)
-UNION ALL SELECT 'fetch', 'total_requests', (SELECT count(*) FROM events WHERE event_type <> 'error' OR value >= 10)
-UNION ALL SELECT 'duplicates', 'total_checks', (SELECT count(*) FROM pages)
-UNION ALL SELECT 'duplicates', 'total_content_hashes', (SELECT count(DISTINCT lower(content)) FROM parsed)""")
+WITH RECURSIVE {SQL_LOG}, {SQL_PAGE_STATS}, {SQL_FRONTIER_STATS.replace(SQL_PARSED + ",", "")}, {SQL_FETCH_COUNTERS}, {SQL_STORAGE_STATS.replace(SQL_PARSED + ",", "")},
+crawl AS (SELECT *, urls_crawled / (elapsed_time / 60) AS pages_per_minute, total_bytes_downloaded / 1048576 AS megabytes FROM summary)
+{_sql_section("crawl", "crawl", *_CRAWL_FIGURES)}
+UNION ALL {_sql_section("frontier", "frontier_stats", "total_queued", "domains_with_urls", "total_processed", "total_domains")}
+UNION ALL {_sql_section("fetch", "fetch_counters", "total_requests", "successful_requests", "failed_requests", "robots_blocked", "total_bytes", "total_chars")}
+UNION ALL {_sql_section("duplicates", "dedup_stats", "total_checks", *_HASHES)}
+UNION ALL {_sql_section("storage", "storage_stats", "total_stored", "total_urls", "without_content", "total_size_bytes")}""")
 def final_report(spark, folder):
-    """The closing report: crawl, frontier, fetch and duplicate figures in one relation."""
+    """The closing report: all figures of crawl, frontier, fetching, duplicates and storage in one relation."""
     summary = metrics.crawl_summary(crawl_log(spark, folder))
-    queued = page_frontier(spark, folder)
-    duplicates = dedup.duplicate_stats(dedup.first_seen_flags(keyed_pages(spark, folder), "id"), "first_seen")
-    return metrics.final_report({
-        "crawl": summary.select(
-            "urls_crawled", F.round(F.col("total_bytes_downloaded") / 1048576, 6).alias("megabytes")
-        ),
-        "frontier": frontier.frontier_stats(queued, queued.limit(0)).select("total_queued", "domains_with_urls"),
-        "fetch": fetchlog.fetch_counters(fetchlog.read_bodies(fetch_log(spark, folder))).select("total_requests"),
-        "duplicates": duplicates.select("total_checks", "total_content_hashes"),
-    })
+    sections = {
+        "crawl": summary.withColumn("megabytes", F.col("total_bytes_downloaded") / 1048576).drop("total_bytes_downloaded"),
+        "frontier": frontier.frontier_stats(page_frontier(spark, folder), processed_urls(page_records(spark, folder))),
+        "fetch": fetchlog.fetch_counters(fetchlog.read_bodies(fetch_log(spark, folder))),
+        "duplicates": dedup.duplicate_stats(judged(keyed_pages(spark, folder))),
+        "storage": store.storage_stats(spark, stored_pages(spark, folder)),
+    }
+    return _rounded(metrics.final_report(sections), "value")
 
 
 def _points(spark, folder):
@@ -105,6 +114,7 @@ points AS (
   SELECT 'urls_crawled_total' AS name, 'counter' AS type, ts, seq, 1.0::DOUBLE AS value, '' AS labels FROM log
   UNION ALL SELECT 'response_time_seconds', 'histogram', ts, seq, response_time, '' FROM log
   UNION ALL SELECT 'http_responses_total', 'counter', ts, seq, 1, 'status_code=' || status FROM log
+  UNION ALL SELECT 'queue_size', 'gauge', ts, seq, queued, '' FROM log
   UNION ALL SELECT 'pages_stored_total', 'counter', ts, seq, 1, '' FROM log WHERE outcome = 'stored'
   UNION ALL SELECT 'bytes_downloaded_total', 'counter', ts, seq, bytes, '' FROM log WHERE outcome = 'stored'
   UNION ALL SELECT 'errors_total', 'counter', ts, seq, 1, 'error_type=' || error_type FROM log WHERE outcome = 'error'
@@ -116,6 +126,20 @@ def metric_points(spark, folder):
     return _points(spark, folder).select("name", "type", "seq", "value", metrics.label_text(F.col("labels")).alias("labels"))
 
 
+@query(f"""
+WITH {SQL_LOG}, figures AS (SELECT *, urls_crawled / (elapsed_time / 60) AS pages_per_minute FROM summary)
+SELECT 'crawler_' || name AS name, 'gauge' AS type, round(value, 6) AS value, 'Crawler stat: ' || name AS description
+FROM ({_sql_section("", "figures", *_CRAWL_FIGURES[:-1], "total_bytes_downloaded")})
+UNION ALL SELECT 'queue_size', 'gauge', arg_max(queued, (ts, seq))::DOUBLE, 'URLs in queue' FROM log""")
+def gauges_described(spark, folder):
+    """Gauges of queue and crawl figures with their last values and what they are about."""
+    log = crawl_log(spark, folder)
+    figures = metrics.gauge_points(metrics.crawl_summary(log), F.current_timestamp(), F.lit(0))
+    points = metrics.metric_points(log).filter("type = 'gauge'").unionByName(figures)
+    current = _rounded(metrics.current_values(points), "value")
+    return current.select("name", F.lit("gauge").alias("type"), "value", metrics.description(F.col("name")).alias("description"))
+
+
 @query(f"WITH {_SQL_POINTS} SELECT name, labels, sum(value) AS value FROM points WHERE type = 'counter' GROUP BY name, labels")
 def errors_by_type(spark, folder):
     """All counters by label set: errors by type, responses by status, duplicates by type."""
@@ -152,7 +176,7 @@ def metrics_export(spark, folder):
     """Metrics as JSON with their last 100 points, read back."""
     path = work_folder(spark, "metrics-json")
     write_json(metrics.export_metrics(_points(spark, folder)), path)
-    schema = "name string, type string, current_value double, points array<struct<timestamp:timestamp,value:double,labels:map<string,string>>>"
+    schema = "name string, description string, type string, current_value double, points array<struct<timestamp:timestamp,value:double,labels:map<string,string>>>"
     total = F.aggregate(F.col("points")["value"], F.lit(0.0), lambda a, v: a + v)
     return spark.read.schema(schema).json(path).select(
         "name", "type", F.round("current_value", 6).alias("current_value"), F.size("points").cast("bigint").alias("n_points"),
@@ -233,14 +257,32 @@ def log_events(spark, folder):
 # --- streams ---------------------------------------------------------------
 
 
-@query("""
-SELECT time_bucket(INTERVAL 30 SECOND, ts) AS window_start, count(*) AS crawled,
-  count(*) FILTER (event_type NOT IN ('error', 'signup')) AS stored, count(*) FILTER (event_type = 'error') AS errors,
-  count(*) FILTER (event_type = 'signup') AS duplicates, count(*) * 2.0::DOUBLE AS pages_per_minute, round(avg(value), 6) AS average_response_time
-FROM events GROUP BY 1""")
+_SQL_TOTALS = """
+totals AS (SELECT *, sum(crawled) OVER w AS total_crawled, sum(stored) OVER w AS total_stored, sum(errors) OVER w AS total_errors,
+    sum(duplicates) OVER w AS total_duplicates, min(window_start) OVER w AS start, sum(spent) OVER w AS total_spent, sum(added) OVER w AS total_added
+  FROM windows WINDOW w AS (ORDER BY window_start))"""
+
+
+def _sql_windows(interval: str) -> str:
+    return f"""
+windows AS (SELECT time_bucket(INTERVAL {interval}, ts) AS window_start, count(*) AS crawled,
+    count(*) FILTER (event_type NOT IN ('error', 'signup')) AS stored, count(*) FILTER (event_type = 'error') AS errors,
+    count(*) FILTER (event_type = 'signup') AS duplicates, avg(value) AS mean, sum(value) AS spent, sum(event_id % 3) AS added FROM events GROUP BY 1)"""
+
+
+@query(f"""
+WITH {_sql_windows("30 SECOND")}, {_SQL_TOTALS}
+SELECT window_start, crawled, stored, errors, duplicates, crawled * 2.0::DOUBLE AS pages_per_minute, round(mean, 6) AS average_response_time,
+  CAST(total_crawled AS BIGINT) AS total_crawled, CAST(total_stored AS BIGINT) AS total_stored, CAST(total_errors AS BIGINT) AS total_errors,
+  CAST(total_duplicates AS BIGINT) AS total_duplicates, round(total_crawled / ((epoch(window_start) - epoch(start) + 30) / 60), 6) AS average_pages_per_minute,
+  round(total_spent, 3) AS time_so_far, CAST(500 + total_added - total_crawled AS BIGINT) AS queue_size FROM totals""")
 def progress_30s(spark, folder):
-    rows = ingest.progress(crawl_log(spark, folder))
-    return _rounded(rows.withColumn("window_start", ingest.without_zone(F.col("window_start"))), "average_response_time")
+    """Every 30 seconds: the window's figures, totals so far, and the queue, which held 500 URLs at the start."""
+    log = crawl_log(spark, folder).withColumn("added", F.col("seq") % 3)
+    rows = ingest.with_totals(ingest.progress(log), queued=500).drop("added")
+    time_so_far = F.round(F.col("average_time_so_far") * F.col("total_crawled"), 3)
+    rows = rows.withColumns({"window_start": ingest.without_zone(F.col("window_start")), "time_so_far": time_so_far}).drop("average_time_so_far")
+    return _rounded(rows, "average_response_time", "average_pages_per_minute")
 
 
 def _event_stream(spark, folder):
@@ -248,28 +290,24 @@ def _event_stream(spark, folder):
     events = ingest.stream_pages(spark, folder, schema=schema, pattern="events.parquet")
     kind = F.col("event_type")
     return events.select(
-        ingest.as_instant(F.col("ts")).alias("ts"), "user_id",
+        ingest.as_instant(F.col("ts")).alias("ts"), "user_id", (F.col("event_id") % 3).alias("added"),
         F.when(kind == "error", "error").when(kind == "signup", "duplicate").otherwise("stored").alias("outcome"),
         F.col("value").alias("response_time"),
     )
 
 
-@query("""
-SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS crawled, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1""")
+@query(f"""
+WITH {_sql_windows("1 HOUR")}, {_SQL_TOTALS}
+SELECT window_start, crawled, errors, CAST(total_crawled AS BIGINT) AS total_crawled, CAST(total_errors AS BIGINT) AS total_errors,
+  CAST(500 + total_added - total_crawled AS BIGINT) AS queue_size FROM totals""")
 def stream_progress(spark, folder):
-    """Hourly progress of the event stream; later results of a window replace earlier ones."""
+    """Hourly progress of the event stream with totals; later results of a window replace earlier ones."""
     path = work_folder(spark, "progress")
-    hourly = ingest.progress(_event_stream(spark, folder), 3600, watermark="1 hour")
-
-    def store(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
-
-    hourly.writeStream.outputMode("update").foreachBatch(store).option(
-        "checkpointLocation", work_folder(spark, "progress-state")
-    ).trigger(availableNow=True).start().awaitTermination()
-    written = spark.read.parquet(path)
-    latest = written.groupBy("window_start").agg(F.max_by(F.struct("crawled", "errors"), "batch_id").alias("r"))
-    return latest.select(ingest.without_zone(F.col("window_start")).alias("window_start"), "r.crawled", "r.errors")
+    ingest.progress_stream(_event_stream(spark, folder), path, work_folder(spark, "progress-state"), 3600, "1 hour").awaitTermination()
+    rows = ingest.read_progress(spark, path, 3600, queued=500)
+    return rows.select(
+        ingest.without_zone(F.col("window_start")).alias("window_start"), "crawled", "errors", "total_crawled", "total_errors", "queue_size"
+    )
 
 
 @query("SELECT DISTINCT user_id FROM events")

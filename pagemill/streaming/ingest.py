@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -46,11 +46,6 @@ def extract_stream(
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def dedup_stream(
     records: DataFrame,
     pages_path: str,
@@ -124,38 +119,135 @@ def without_zone(ts: Column) -> Column:
     return F.expr(_EPOCH) + F.make_dt_interval(secs=seconds)
 
 
+_COUNTS = ("crawled", "stored", "errors", "duplicates")
+# Windows whose totals are summed up together, before the sums of such spans.
+_SPAN_WINDOWS = 4096
+
+
 def progress(log: DataFrame, seconds: int = REPORT_SECONDS, watermark: str | None = None) -> DataFrame:
     """Crawl progress per tumbling window; batch and stream alike.
 
-    ``log`` has ``ts``, ``outcome`` and ``response_time``.
+    ``log`` has ``ts``, ``outcome`` and ``response_time``, and may have
+    ``added``, the URLs that a record put into the queue.
     """
     source = log.withWatermark("ts", watermark) if watermark else log
+    added = F.coalesce(F.sum("added"), F.lit(0)) if "added" in log.columns else F.lit(0)
     return source.groupBy(F.window("ts", f"{seconds} seconds")).agg(
         F.count(F.lit(1)).alias("crawled"),
         F.count_if(F.col("outcome") == "stored").alias("stored"),
         F.count_if(F.col("outcome") == "error").alias("errors"),
         F.count_if(F.col("outcome") == "duplicate").alias("duplicates"),
         F.avg("response_time").alias("average_response_time"),
+        added.cast("bigint").alias("added"),
     ).select(
-        F.col("window.start").alias("window_start"), "crawled", "stored", "errors", "duplicates",
-        (F.col("crawled") * 60.0 / seconds).alias("pages_per_minute"), "average_response_time",
+        F.col("window.start").alias("window_start"), *_COUNTS,
+        (F.col("crawled") * 60.0 / seconds).alias("pages_per_minute"), "average_response_time", "added",
     )
 
 
+def with_totals(windows: DataFrame, seconds: int = REPORT_SECONDS, queued: int = 0) -> DataFrame:
+    """Windows of :func:`progress` with what holds at their end: totals so far, their rate and mean, and the queue size.
+
+    ``queued`` URLs were in the queue at the start; each crawled one leaves it.
+    Sums run over spans of windows first and then inside of them, so a long
+    crawl is not summed up in one task.
+    """
+    span = F.floor(F.unix_seconds("window_start") / (seconds * _SPAN_WINDOWS))
+    parts = {**{c: F.col(c) for c in (*_COUNTS, "added")}, "spent": F.coalesce(F.col("average_response_time"), F.lit(0.0)) * F.col("crawled")}
+    cut = windows.withColumn("_span", span)
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = cut.groupBy("_span").agg(F.min("window_start").alias("_from"), *(F.sum(v).alias(f"_{n}") for n, v in parts.items())).select(
+        "_span", F.min("_from").over(Window.orderBy("_span")).alias("_start"),
+        *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in parts),
+    )
+    inside = Window.partitionBy("_span").orderBy("window_start")
+    totals = {n: (F.col(f"_{n}") + F.sum(v).over(inside)) for n, v in parts.items()}
+    summed = cut.join(spans, "_span").select(
+        *windows.columns, F.least("_start", F.min("window_start").over(inside)).alias("_start"), *(v.alias(f"total_{n}") for n, v in totals.items())
+    )
+    minutes = (F.unix_seconds("window_start") - F.unix_seconds("_start") + seconds) / 60
+    return summed.select(
+        *windows.columns, *(f"total_{c}" for c in _COUNTS), (F.col("total_crawled") / minutes).alias("average_pages_per_minute"),
+        (F.col("total_spent") / F.col("total_crawled")).alias("average_time_so_far"),
+        (F.lit(queued) + F.col("total_added") - F.col("total_crawled")).cast("bigint").alias("queue_size"),
+    )
+
+
+def progress_stream(
+    log: DataFrame, path: str, checkpoint: str, seconds: int = REPORT_SECONDS, watermark: str = "10 minutes", trigger: dict | None = None
+) -> StreamingQuery:
+    """Write each batch's changed windows under its number; :func:`read_progress` gives the report so far."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        progress(log, seconds, watermark).writeStream.outputMode("update").foreachBatch(store)
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or _ONCE)).start()
+    )
+
+
+def read_progress(spark: SparkSession, path: str, seconds: int = REPORT_SECONDS, queued: int = 0) -> DataFrame:
+    """The report: every window as last written, with totals.  Late records change the totals of all later windows."""
+    written_rows = spark.read.parquet(path)
+    columns = [c for c in written_rows.columns if c not in ("batch_id", "window_start")]
+    latest = written_rows.groupBy("window_start").agg(F.max_by(F.struct(*columns), "batch_id").alias("w")).select("window_start", "w.*")
+    return with_totals(latest, seconds, queued)
+
+
 # --- state between runs ----------------------------------------------------
 
 
 def save_frontier(frontier: DataFrame, path: str, run: int) -> None:
-    """Write the frontier as it stands after ``run``; running it again replaces it."""
-    frontier.write.mode("overwrite").parquet(f"{path}/run={run}")
+    """Write the whole frontier as it stands after ``run``: a snapshot, from which later loads start."""
+    frontier.write.mode("overwrite").parquet(f"{path}/snapshots/run={run}")
+
+
+def log_frontier(path: str, run: int, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+    """Append what ``run`` put into the frontier and what it took out (``url``); running it again replaces both.
+
+    A URL that a run both took out and put in, as a retry does, is in.
+    """
+    for kind, rows in (("added", added), ("removed", None if removed is None else removed.select("url").distinct())):
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(f"{path}/changes/{kind}/run={run}")
+
+
+def _runs(spark: SparkSession, folder: str) -> list[int]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    return sorted(int(n.removeprefix("run=")) for n in names if n.startswith("run="))
 
 
 def load_frontier(spark: SparkSession, path: str, run: int, schema: StructType) -> DataFrame:
-    """The frontier as left by ``run``; empty if there is none."""
-    folder = f"{path}/run={run}"
-    if not _exists(spark, folder):
+    """The frontier as left by ``run``: the last snapshot and the changes since; empty if there is neither.
+
+    The last change of a URL counts.
+    """
+    snapshots = [r for r in _runs(spark, f"{path}/snapshots") if r <= run]
+    start = snapshots[-1] if snapshots else -1
+    parts = [spark.read.schema(schema).parquet(f"{path}/snapshots/run={start}").withColumns({"_run": F.lit(start), "_in": F.lit(True)})] if snapshots else []
+    for kind, present in (("added", True), ("removed", False)):
+        own = schema if present else StructType([schema["url"]])
+        for changed in _runs(spark, f"{path}/changes/{kind}"):
+            if start < changed <= run:
+                rows = spark.read.schema(own).parquet(f"{path}/changes/{kind}/run={changed}")
+                parts.append(rows.withColumns({"_run": F.lit(changed), "_in": F.lit(present)}))
+    if not parts:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    if len(parts) == 1 and snapshots:
+        return parts[0].select(schema.names)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    last = F.max_by(F.struct("_in", *(c for c in schema.names if c != "url")), F.struct("_run", "_in"))
+    return rows.groupBy("url").agg(last.alias("r")).filter("r._in").select(*(F.col("url") if c == "url" else F.col(f"r.{c}") for c in schema.names))
+
+
+def snapshot_frontier(spark: SparkSession, path: str, run: int, schema: StructType) -> None:
+    """Make the frontier after ``run`` a snapshot, so that loads need no older changes.  Do it every few runs."""
+    save_frontier(load_frontier(spark, path, run, schema), path, run)
 
 
 def recrawl_due(crawls: DataFrame, now: Column, interval_seconds: int) -> DataFrame:

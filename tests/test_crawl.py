@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import fetchlog, frontier, graph, robots
 from pagemill.plans.crawl import crawl_replay, page_facts, replay_summary
 from pagemill.schemas import FETCH_LOG, FRONTIER
-from pagemill.streaming.ingest import load_frontier, recrawl_due, save_frontier
+from pagemill.streaming.ingest import load_frontier, log_frontier, recrawl_due, save_frontier, snapshot_frontier
 
 EPOCH = datetime.datetime(1970, 1, 1)
 
@@ -74,6 +74,7 @@ def test_limits_and_stats(spark, queue):
     stats = frontier.frontier_stats(df, processed).first()
     assert tuple(stats) == (120, 4, 2, 5)
     assert not frontier.is_empty(df) and frontier.is_empty(df.limit(0))
+    assert [frontier.empty_flag(d).first().is_empty for d in (df, df.limit(0))] == [False, True]
 
 
 def test_enqueue_is_a_set(spark):
@@ -121,6 +122,33 @@ def test_state_between_runs(spark, queue, tmp_path):
     assert back.first().discovered_time == at(1.5) and back.count() == df.count()
 
 
+def test_frontier_log_equals_the_whole_table(spark, tmp_path):
+    """Random changes over several runs, with a snapshot between them, against a dictionary."""
+    rng, path, state = random.Random(2), str(tmp_path / "frontier"), {}
+    frame = lambda rows: spark.createDataFrame(rows, FRONTIER)
+    loaded = lambda run: sorted(map(tuple, load_frontier(spark, path, run, FRONTIER).collect()))
+    after = {}
+    for run in range(1, 6):
+        removed = rng.sample(sorted(state), min(len(state), 6))
+        added = [(f"http://d/{rng.randrange(30)}", "d", run, rng.randint(1, 4), "p", None, run, run) for _ in range(8)]
+        added = list({row[0]: row for row in added}.values()) + [(u, "d", run, 1, "again", None, 1, run) for u in removed[:2]]
+        added = list({row[0]: row for row in added}.values())
+        for url in removed:
+            state.pop(url)
+        state.update({row[0]: row for row in added})
+        gone = spark.createDataFrame([(u,) for u in removed], "url string")
+        log_frontier(path, run, frame(added), gone)
+        if run == 2:
+            log_frontier(path, run, frame(added), gone)  # the same run again
+        if run == 3:
+            snapshot_frontier(spark, path, run, FRONTIER)
+        after[run] = sorted(state.values())
+    for run, rows in after.items():
+        assert loaded(run) == rows
+    files = load_frontier(spark, path, 5, FRONTIER).inputFiles()
+    assert not any(f"changes/{kind}/run={run}" in f for f in files for kind in ("added", "removed") for run in (1, 2, 3))
+
+
 def test_recrawl(spark):
     crawls = spark.createDataFrame([("http://a/", at(0)), ("http://a/", at(90)), ("http://b/", at(40))], "url string, ts timestamp")
     assert [r.url for r in recrawl_due(crawls, F.lit(at(100)), 60).collect()] == ["http://b/"]

@@ -178,3 +178,24 @@ def test_times_do_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert row.m == 1710037800000000 and row.b == datetime.datetime(2024, 3, 10, 2, 30)
+
+
+def test_streamed_progress_equals_batch(spark, tmp_path, monkeypatch):
+    """Three batches, with records that come late, give the totals of one pass; spans are summed apart."""
+    monkeypatch.setattr(ingest, "_SPAN_WINDOWS", 4)
+    rng = random.Random(6)
+    rows = [(DAY + datetime.timedelta(seconds=rng.randrange(900)), rng.choice(["stored", "error", "duplicate"]), rng.random(), rng.randrange(4)) for _ in range(300)]
+    rows.sort(key=lambda r: r[0] + datetime.timedelta(seconds=rng.randrange(60)))
+    schema = "ts timestamp, outcome string, response_time double, added long"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(3):
+        spark.createDataFrame(rows[k * 100:(k + 1) * 100], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.stream_pages(spark, source, schema=spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+    ingest.progress_stream(stream, out, str(tmp_path / "state"), 30, "10 minutes").awaitTermination()
+    key = lambda df: sorted((r.window_start, r.total_crawled, r.total_errors, r.queue_size, round(r.average_time_so_far, 9), round(r.average_pages_per_minute, 9)) for r in df.collect())
+    streamed = key(ingest.read_progress(spark, out, 30, queued=50))
+    assert streamed == key(ingest.with_totals(ingest.progress(spark.createDataFrame(rows, schema)), 30, 50))
+    assert streamed[-1][1] == 300 and streamed[-1][3] == 50 + sum(r[3] for r in rows) - 300
+    assert len(spark.read.parquet(out).select("batch_id").distinct().collect()) >= 3
+    so_far = [r for r in rows if r[0] < streamed[7][0] + datetime.timedelta(seconds=30)]
+    assert streamed[7][1:3] == (len(so_far), sum(r[1] == "error" for r in so_far))
