@@ -39,7 +39,7 @@ PATTERNS = {
 }
 _SIGN, _NO_SIGN = r"[^\p{L}\p{M}\p{N}]", r"[\p{L}\p{M}\p{N}]"
 _SPACE = " \t\n\x0b\x0c\r"
-_WORD = 40  # of a longer word before a match, its last characters
+_BACK = 40
 
 
 def _digits(found: Column) -> Column:
@@ -63,25 +63,32 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _last_word(left: Column) -> Column:
+    return F.element_at(F.split(F.rtrim(left, F.lit(_SPACE)), r"[\x20\x09-\x0D]"), -1)
+
+
 def _before(gaps: Column, found: Column, i: Column, kind: str) -> Column:
-    """The word that ends before match ``i``, at any distance of white space; it may lie in earlier matches."""
-    last = lambda left: F.right(F.rtrim(left, F.lit(_SPACE)), F.lit(_WORD + 1))
-    gap = last(F.get(gaps, i))
-    if kind == "context":  # a match ends where white space begins, so the word is in the gap or the whole match before
-        word = F.when((gap == "") & (i > 0), F.get(found, i - 1)).otherwise(gap)
+    """The word that ends before match ``i``, at any distance of white space and of any length.
+
+    It may begin in earlier matches; of those that touch each other it reaches back over ``_BACK``.
+    """
+    gap = F.rtrim(F.get(gaps, i), F.lit(_SPACE))
+    if kind == "context":  # a match ends where white space begins, so the word is in the gap or the match before
+        word = F.when((gap == "") & (i > 0), F.get(found, i - 1)).otherwise(_last_word(gap))
     else:
-        # Each match has a character at least, so this many reach back over a word.
-        back = F.transform(F.sequence(F.greatest(i - _WORD - 1, F.lit(0)), i - 1), lambda j: F.concat(F.get(gaps, j), F.get(found, j)))
-        inside = (F.length(gap) > _WORD) | gap.rlike(r"[\x20\x09-\x0D]")
-        word = F.when((i == 0) | inside, gap).otherwise(last(F.concat(F.array_join(back, ""), F.get(gaps, i))))
-    return F.lower(F.regexp_extract(F.right(word, F.lit(_WORD)), r"[^\x20\x09-\x0D]++\z", 0))
+        back = F.transform(F.sequence(F.greatest(i - _BACK, F.lit(0)), i - 1), lambda j: F.concat(F.get(gaps, j), F.get(found, j)))
+        inside = (i == 0) | gap.rlike(r"[\x20\x09-\x0D]")
+        word = F.when(inside, _last_word(gap)).otherwise(_last_word(F.concat(F.array_join(back, ""), gap)))
+    return F.lower(word)
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """``kind``, ``k``, ``gap`` (code points before, since the last match), ``size``, ``lead`` and ``tail`` (trimmed off), ``instance`` and the word ``before``, in order."""
+    """``kind``, ``k``, ``gap`` (code points before, since the last match), ``size``, ``lead`` and ``tail`` (trimmed off), ``instance`` and the word ``before``, in order.
+
+    Matches and gaps are bound once for a text; each match then looks at its own.
+    """
     pattern = PATTERNS[kind]
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    def one(m: Column, i: Column) -> Column:  # noqa: E306
+    def one(m: Column, i: Column, found: Column, gaps: Column) -> Column:  # noqa: E306
         headless = F.regexp_replace(m, rf"\A{_SIGN}++", "") if kind == "context" else m
         core = F.regexp_replace(headless, rf"(?<={_NO_SIGN}){_SIGN}++\z", "") if kind == "context" else m
         size = lambda c: F.length(c).cast("long")
@@ -91,12 +98,17 @@ def _matches(text: Column, kind: str) -> Column:
             (size(m) - size(headless)).alias("lead"), (size(headless) - size(core)).alias("tail"), valid.alias("valid"), F.sha2(core, 256).alias("instance"),
             F.when(valid, _before(gaps, found, i, kind)).otherwise("").alias("before"),
         )
-    return F.transform(found, one)  # noqa: E305
+    bound = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))  # noqa: E305
+    return F.element_at(F.transform(bound, lambda b: F.transform(b["found"], lambda m, i: one(m, i, b["found"], b["gaps"]))), 1)
+
+
+def _mark(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``row``, ``id``, ``kind``, ``start``, ``stop``, ``instance``, ``before``, ``valid`` of all matches; rows without matches have one with null ``kind``."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("mark", _mark(F.col("text")))
     every = F.flatten(F.array(*(_matches(F.col("text"), kind) for kind in KINDS)))
     out = rows.select("row", "id", "mark", F.explode_outer(every).alias("m")).select("row", "id", "mark", "m.*").repartition("row")
     order = Window.partitionBy("row", "kind").orderBy("k")
@@ -106,7 +118,9 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_score: float = 0.8, least_seeds: int = 3, least_share: float = 0.1) -> DataFrame:
-    """``row``, ``id``, ``mark`` (hash of the text) and ``found``: the sorted spans ``(start, kind number, stop, kind)`` of each row of ``df``; empty where there are none.
+    """``row``, ``id``, ``mark`` (hash of the text) and ``found``: the sorted spans ``(start, kind number, stop, kind, reach)`` of each row of ``df``; empty where there are none.
+
+    ``reach`` is the furthest stop of the spans before.
 
     Null texts count as empty.  Base spans always stay; a context span is added
     where it touches none of them and its pattern has a score of ``least_score``,
@@ -121,7 +135,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     line = Window.partitionBy("row").orderBy("start", F.col("kind") == "context")
     is_base = F.col("kind") != "context"
     beside = good.withColumn("reach", F.max(F.when(is_base, F.col("stop"))).over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    beside = beside.withColumn("next", F.min(F.when(is_base, F.col("start"))).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    # Backwards, as a frame that ends with the partition would be summed up anew for every row.
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc(F.col("kind") == "context"))
+    beside = beside.withColumn("next", F.min(F.when(is_base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     free = ~is_base & (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("stop")) >= F.col("stop"))
     candidates = written(beside.filter(free).drop("reach", "next"), "pii-candidates")
     edges = written(
@@ -139,9 +155,11 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
             share(accepted).alias("p"), F.sum("seed").alias("seeds"), share(is_seed).alias("share")), "pii-scores")
     strong = patterns.filter((F.col("p") >= least_score) & (F.col("seeds") >= least_seeds) & (F.col("share") >= least_share)).select("before")
     added = candidates.join(strong, "before", "left_semi")
-    entry = F.struct("start", _rank(F.col("kind")).alias("rank"), "stop", "kind")
-    found = base.unionByName(added).groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("found"))
-    empty = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,kind:string>>")
+    chosen = base.unionByName(added).withColumn("rank", _rank(F.col("kind")))
+    earlier = Window.partitionBy("row").orderBy("start", "rank", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.struct("start", "rank", "stop", "kind", F.coalesce(F.max("stop").over(earlier), F.lit(0)).alias("reach"))
+    found = chosen.select("row", entry.alias("entry")).groupBy("row").agg(F.sort_array(F.collect_list("entry")).alias("found"))
+    empty = F.array().cast("array<struct<start:bigint,rank:int,stop:bigint,kind:string,reach:bigint>>")
     return every.select("row", "id", "mark").distinct().join(found, "row", "left").select("row", "id", "mark", F.coalesce("found", empty).alias("found"))
 
 
@@ -162,20 +180,37 @@ def pii_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def masked(text: Column, spans_col: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of overlapping spans only the first to begin is named, all their characters go."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    def step(state: Column, s: Column) -> Column:  # noqa: E306
-        gap = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        name = F.when(s["start"] >= state["at"], F.concat(F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
-        return F.struct(F.concat(state["out"], gap, name).alias("out"), F.greatest(state["at"], s["stop"]).alias("at"))
-    last = F.aggregate(spans_col, zero, step)  # noqa: E305
-    return F.concat(last["out"], F.substring(text, (last["at"] + 1).cast("int"), F.length(text)))
+    """The text with each span replaced by its kind in angle brackets; of overlapping spans only the first to begin is named, all their characters go.
+
+    In UTF-32 every code point has four bytes, so a span's place needs no search and the work is linear in the text.
+    """
+    def cut(b: Column, start: Column, stop: Column) -> Column:
+        return F.decode(F.substring(b, (start * 4 + 1).cast("int"), (F.greatest(stop - start, F.lit(0)) * 4).cast("int")), "UTF-32")
+
+    def piece(b: Column, s: Column) -> Column:
+        return F.when(s["start"] >= s["reach"], F.concat(cut(b, s["reach"], s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+
+    def whole(b: Column) -> Column:
+        last = F.element_at(spans_col, -1)
+        rest = cut(b, F.greatest(last["reach"], last["stop"]), F.octet_length(b) / 4)
+        return F.concat(F.array_join(F.transform(spans_col, lambda s: piece(b, s)), ""), rest)
+
+    return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), whole), 1)
 
 
 def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with the spans in its texts replaced by their kinds; texts without any, null ones too, stay as they are."""
+    """``df`` with the spans in its texts replaced by their kinds; texts without any, null ones too, stay as they are.
+
+    Rows get the spans of their id and text; columns keep their names, whatever these are.
+    """
+    names = {c.lower() for c in df.columns}
+    own = {}
+    for name in ("id", "mark", "found"):
+        own[name] = f"_{name}"
+        while own[name].lower() in names:
+            own[name] = f"_{own[name]}"
     hits = find(df, id_col, text_col, **options).filter(F.size("found") > 0)
-    hits = hits.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.first("found").alias("_found"))
-    met = df.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_mark")), "left")
-    clean = F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(masked(text_of(text_col), F.col("_found")))
+    hits = hits.groupBy(F.col("id").alias(own["id"]), F.col("mark").alias(own["mark"])).agg(F.first("found").alias(own["found"]))
+    met = df.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col(own["id"])) & (_mark(text_of(text_col)) == F.col(own["mark"])), "left")
+    clean = F.when(F.col(own["found"]).isNull(), F.col(f"`{text_col}`")).otherwise(masked(text_of(text_col), F.col(own["found"])))
     return met.withColumn(text_col, clean).select(*(F.col(f"`{c}`") for c in df.columns))

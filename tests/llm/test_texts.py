@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, pii, quality, sharding, simhash, toxicity
+from pagemill.llm import exact_dedup, packing, pii, quality, sharding, simhash, toxicity
 from pagemill.llm.queries import LLM_QUERIES
 
 
@@ -194,3 +194,133 @@ def test_quality_reads_long_words(spark):
     kept = {r.doc_id for r in quality.quality_scores(table).filter("kept").collect()}
     assert kept == set(range(len(plain) + len(clean)))
     assert quality.fired(junk[0]) & 1 and not np.array_equal(quality.features(clean[0]), quality.features(junk[0]))
+
+
+def test_work_on_a_long_text_is_linear(spark):
+    """A text with 20,000 matches, and one of twice the length: found and masked in about twice the time at most."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"call +1 (663) 555-{i:04d}, id{i} and a{i}@b.co" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.pii_digest(df).first().n_email == n
+        out = pii.mask(df).first().text
+        assert out.count("<email>") == n and "@" not in out
+        return time.perf_counter() - began
+
+    seconds(50)
+    short, long = seconds(3_000), seconds(6_000)
+    assert long < 20 and long < 3 * short + 3
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "mail a@b.co now", 5, 6, 7), (None, "none", 1, 2, 3), (None, "ip 10.0.0.1", 4, 4, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _mark int, _found int")
+    assert sorted(map(tuple, pii.mask(df).collect()), key=str) == sorted(
+        [(1, "mail <email> now", 5, 6, 7), (None, "none", 1, 2, 3), (None, "ip <ip>", 4, 4, 4)], key=str)
+
+
+def test_masking_by_code_points(spark):
+    text = "\U0001f600é a@b.co\u0301 " + "x" * 10 + " 10.0.0.1 \U0001f600"
+    df = spark.createDataFrame([(1, text), (2, "a@b.co"), (3, "")], "doc_id long, text string")
+    assert [r.text for r in pii.mask(df).orderBy("doc_id").collect()] == ["\U0001f600é <email>\u0301 xxxxxxxxxx <ip> \U0001f600", "<email>", ""]
+
+
+def test_suspects_alone_are_shuffled(spark, monkeypatch):
+    """The filter lets all suspects through, also where it is as small as it can be."""
+    from pagemill.llm import common
+
+    rows = [(i, f"text number {i // 2 if i < 200 else i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(exact_dedup.exact_duplicates(df).collect())
+    assert sum(r.group_size == 2 for r in expected) == 200
+    keys = spark.range(100).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    everything = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    passed = common.filtered(everything, keys, "k")
+    assert passed.join(keys, "k", "left_semi").count() == 100 and passed.count() < 200
+    small = common.filtered(everything, everything.limit(15_000), "k", most=1)
+    assert small.count() >= 15_000
+    assert common.filtered(everything, keys.limit(0), "k").count() == 0
+
+
+def test_toxicity_handles_odd_labels_and_rows(spark):
+    good, bad = "kind words about the weather today", "awful nasty rude words and threats"
+    docs = [(i, (bad if i % 3 == 0 else good) + f" {i % 7}") for i in range(120)] + [(500, None), (501, ""), (None, bad), (0, good), (502, "nasty " * 50_000)]
+    labels = [(i, int(i % 3 == 0)) for i in range(100)] + [(0, 0), (3, None), (None, 1), (9999, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS pick", "2 AS labels", "3 AS fold")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    first = toxicity.toxicity(df, marks, ("toxic",)).collect()
+    again = toxicity.toxicity(df.repartition(7), marks.repartition(3), ("toxic",)).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again)) and len(first) == len(docs)
+    flagged = {r.doc_id for r in first if r.flagged}
+    assert set(range(3, 120, 3)) <= flagged and not flagged & {1, 2, 4, 500, 501}
+    none = toxicity.toxicity(df, marks.limit(0), ("toxic",)).collect()
+    assert all(r.p_toxic == 0 and not r.flagged for r in none)
+    assert toxicity.toxicity(df.limit(0), marks, ("toxic",)).count() == 0
+
+
+def test_quality_does_not_depend_on_partitions_or_ids(spark):
+    rows = [(None, f"Some plain words of text number {i % 40}." if i % 4 else "!!%% $$ ## ||| " * (i % 5 + 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    totals = [sorted((r.fired, r.score) for r in quality.quality_scores(d, sample_rows=30).collect()) for d in (df, df.repartition(7))]
+    assert totals[0] == totals[1]
+
+
+def test_readings_equal_a_plain_count(spark):
+    """Labellers and features over distinct words against a count word by word."""
+    import re
+    from collections import Counter
+
+    rng = random.Random(8)
+    for _ in range(200):
+        text = " ".join(rng.choice(["word", "WORD!!", "|", "a_b", "$$%", "Mixed1", "ÄÖ", "12", "x" * 90, "same", "same"]) for _ in range(rng.randrange(1, 60)))
+        words = text.split()
+        shapes = [s for w in words for s in quality._folded(w)]
+        n = len(words)
+        odd = sum(any(c not in "aA0.,;:'\"()-?!’" for c in s) for s in shapes) / len(shapes)
+        signs = sum(not (c.isalnum() or c.isspace() or c in ".,;:'\"()-?!") for c in text) / len(text)
+        upper = sum(quality._folded(w)[0].startswith("A") and len(w) > 1 for w in words) / n
+        same = sum(a == b for a, b in zip(words, words[1:])) / n
+        again = 1 - sum(len(set(words[i:i + 128])) for i in range(0, n, 128)) / n
+        tests = (odd > 0.25, signs > 0.05, upper > 0.25 and n > 3, sum(w.endswith("!!") for w in words) / n > 0.1, words.count("|") / n > 0.15, again > 0.5 and n > 8, same > 0.15 and n > 8)
+        assert quality.fired(text) == sum(1 << k for k, t in enumerate(tests) if t)
+        found = np.zeros(quality.DIM)
+        for name, times in Counter([*shapes, *(f"{a} {b}" for a, b in zip(shapes, shapes[1:]))]).items():
+            found[quality.bucket(name)] += times / len(shapes)
+        found[quality.bucket(f"again {round(10 * again)}")] += 1
+        assert np.allclose(quality.features(text), np.sqrt(found), atol=1e-5)
+
+
+def test_stages_keep_columns_and_read_files_without_writing_them(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i % 5, f"A plain text about matter {i // 2} with words enough to be kept.", "en", "s", 1, 10 + i, 20 + i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int, _key int")
+    df.write.parquet(str(tmp_path / "docs"))
+    docs, names = spark.read.parquet(str(tmp_path / "docs")), []
+    monkeypatch.setattr(corpus_pipeline, "written", lambda d, name, original=corpus_pipeline.written: names.append(name) or original(d, name))
+    for stage in (corpus_pipeline.drop_low_quality, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        out = stage(spark, docs, "")
+        assert out.columns == df.columns
+        assert {(r["_row"], r["_key"]) for r in out.collect()} <= {(10 + i, 20 + i) for i in range(30)}
+    assert set(names) == {"pipeline-rejected"} and corpus_pipeline.drop_copies(spark, docs, "").count() == 15
+    assert corpus_pipeline.drop_copies(spark, df, "").count() == 15 and "pipeline-rows" in names
+    for stage in (corpus_pipeline.drop_low_quality, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mask_private):
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_words_are_coded_like_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.Words(path)
+    rng = random.Random(1)
+    parts = ["It's", "they'LL", "’tis", "Ünïcode", "naïve", "ǅ", "İstanbul", "ΑΣ", "e\u0301", "12³½", "--!'s", "\x1c", "\x85", "\xa0", "…", "€5", "<|endoftext|>", "<|", "日本", "\u0345", "ﬁ", "ß", "Ǆ", "_a_", "''s", "x" * 100, "\ud7ff", "ŉ", "µ", "ª"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\n", "'"]) for _ in range(rng.randrange(12)))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for c in packing._PLAIN:
+        for text in (f"a{chr(c)}b", f"{chr(c)}'s {chr(c)}"):
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
