@@ -13,8 +13,12 @@ from __future__ import annotations
 
 import functools
 import math
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,23 +33,98 @@ from pagemill.session import written
 _PACKED = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long, part long, round int, bin int, offset long, bins int, bound int, room long, last boolean"
 
 
+# Characters below U+0180 and common punctuation, for which lower case and word
+# classes are the same everywhere and normalisation changes nothing; control
+# characters and the dotted capital I are left to the library.
+_PLAIN = [*range(9, 14), *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x180), *range(0x2010, 0x2028), 0x20AC]
+_BLANK = (*range(9, 14), 0x20, 0xA0)
+_KEPT_WORDS, _LONGEST_KEPT = 1 << 19, 64
+
+
+def _class(kind: str) -> str:
+    """The plain characters that are letters, numbers (``L``, ``N``) or neither nor white space, as a regular expression's class."""
+    def kind_of(c: int) -> str:
+        return "space" if c in _BLANK else unicodedata.category(chr(c))[0] if unicodedata.category(chr(c))[0] in "LN" else "other"
+
+    return "[" + "".join(re.escape(chr(c)) for c in _PLAIN if kind_of(c) == kind) + "]"
+
+
+class Words(dict):
+    """Token ids of words, as little-endian bytes, made by the library and kept, as most words of a text came before.
+
+    The vocabulary cuts lower-cased text into words, each encoded alone.  Texts
+    of plain characters are cut here; all others, and those that hold a
+    special string, go to the library whole.  Words are kept in two
+    generations: what is used again moves to the young one, and when that is
+    full the old one goes.
+    """
+
+    def __init__(self, path: str) -> None:
+        self._library = Tokenizer.from_file(path)
+        self._library.no_truncation()
+        self._library.no_padding()
+        self._old: dict[str, bytes] = {}
+        vocabulary = self._library.get_vocab()
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for symbol, i in vocabulary.items() if symbol.endswith("</w>")]] = True
+        plain = "".join(re.escape(chr(c)) for c in _PLAIN)
+        self._other = re.compile(f"[^{plain}]|<\\|")
+        self._cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{_class('L')}+|{_class('N')}|{_class('other')}+").findall
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self._old[word]
+        return found
+
+    def _library_ids(self, texts: list[str]) -> Iterator[bytes]:
+        for coded in self._library.encode_batch_fast(texts, add_special_tokens=False):  # leaves out the places in the text
+            yield np.array(coded.ids, "<u4").tobytes()
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, all coded as one text: the last symbol of a word is one that ends words."""
+        if not words:
+            return []
+        ids = np.array(self._library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self._ends_word[ids]) + 1)
+        if len(ends) != len(words):
+            return list(self._library_ids(words))
+        blob, ends = ids.tobytes(), ends.tolist()
+        return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+    def coded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        whole = [t for t in texts if self._other.search(t)]
+        by_library = dict(zip(whole, self._library_ids(whole)))
+        cut = [None if t in by_library else self._cut(t.lower()) for t in texts]
+        new = list(set(chain.from_iterable(c for c in cut if c)).difference(self, self._old))
+        if len(self) + len(new) > _KEPT_WORDS:
+            self._old = dict(self)
+            self.clear()
+            new = list(set(chain.from_iterable(c for c in cut if c)).difference(self._old))
+        self.update(zip(new, self._word_ids(new)))
+        out = [by_library[t] if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]
+        for word in new:
+            if len(word) > _LONGEST_KEPT:
+                del self[word]
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.coded([text])[0], "<u4").tolist()
+
+
 @functools.lru_cache(2)
-def _tokenizer(path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+def _words(path: str) -> Words:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+    return Words(path)
 
 
 def pieces(df: DataFrame, path: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's ids, ``end_id`` last, cut into pieces of ``size``: ``doc_id, piece, start, length, ids_crc32``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizer(path)
+        own = _words(path)
         for batch in slices(batches, limit=1 << 20):
             made = []
-            coded = own.encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)  # leaves out the places in the text
-            for doc, found in zip(batch.column("doc_id").to_pylist(), coded):
-                ids = np.array([*found.ids, end_id], "<u4")
+            for doc, coded in zip(batch.column("doc_id").to_pylist(), own.coded(batch.column("text").to_pylist())):
+                ids = np.append(np.frombuffer(coded, "<u4"), np.array([end_id], "<u4"))
                 made += [(doc, k, s, len(ids[s:s + size]), zlib.crc32(ids[s:s + size].tobytes())) for k, s in enumerate(range(0, len(ids), size))]
             columns = list(zip(*made))
             kinds = (batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
