@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import written
+
 # One step in a Python worker handles about so many bytes of text at a time.
 BLOCK_BYTES = 4 << 20
 
@@ -42,11 +44,14 @@ BROADCAST_BYTES = 8 << 20
 
 
 def _joined(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
-    keys = keys.select(F.col(key).alias("_key")).distinct()
-    width = 16 + total(keys.limit(1000), F.octet_length(F.col("_key").cast("string"))) // 1000
+    own = "_key"
+    while own.lower() in {c.lower() for c in rows.columns}:
+        own = f"_{own}"
+    keys = keys.select(F.col(key).alias(own)).distinct()
+    width = 16 + total(keys.limit(1000), F.octet_length(F.col(own).cast("string"))) // 1000
     if keys.count() * width <= BROADCAST_BYTES:
         keys = F.broadcast(keys)
-    return rows.join(keys, F.col(key).eqNullSafe(F.col("_key")), how)
+    return rows.join(keys, F.col(key).eqNullSafe(F.col(own)), how)
 
 
 def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -57,3 +62,34 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def anti_join(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``keys`` (null equals null), in the same way."""
     return _joined(rows, keys, key, "left_anti")
+
+
+# Bits of a Bloom filter for each key, and how many of them a key sets; bits of one of Spark's bitmaps, and the most
+# bitmaps of a filter: 64 MB, whatever the number of keys.  Beyond that more rows pass that need not.
+_KEY_BITS, _HASHES, _BITMAP_BITS, MOST_BITMAPS = 16, 5, 32768, 16384
+
+
+def _bits(key: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), key), F.lit(_BITMAP_BITS)).cast("int") for i in range(_HASHES)]
+
+
+def filtered(rows: DataFrame, keys: DataFrame, key: str, most: int = MOST_BITMAPS) -> DataFrame:
+    """Rows whose key may be among ``keys`` (distinct, not null): all that are, and few that are not.
+
+    The filter is broadcast; its size has a bound, so this is one way for any
+    number of keys.
+    """
+    count = max(1, keys.count())
+    bitmaps = min(most, -(-count * _KEY_BITS // _BITMAP_BITS))
+    place = F.pmod(F.xxhash64(key), F.lit(bitmaps)).cast("int").alias("_map")
+    made = keys.select(place, F.explode(F.array(*_bits(key))).alias("_bit")).groupBy("_map").agg(F.bitmap_construct_agg(F.col("_bit").cast("bigint")).alias("_set"))
+
+    def present(bit: Column) -> Column:
+        octet = F.conv(F.hex(F.substr(F.col("_set"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(octet, bit % 8) == 1
+
+    met = rows.withColumn("_map", place).join(F.broadcast(written(made, "filter")), "_map")
+    passes = F.lit(True)
+    for bit in _bits(key):
+        passes = passes & present(bit)
+    return met.filter(passes).select(rows.columns)

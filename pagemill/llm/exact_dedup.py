@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import golomb
-from pagemill.llm.common import semi_join, text_of
+from pagemill.llm.common import filtered, text_of
 from pagemill.session import written
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -112,8 +112,9 @@ def _decided(df: DataFrame, rows: DataFrame, answers: DataFrame, id_col: str, te
         "dedup-marked",
     )
     suspects = rows.filter("suspect")
-    texts = semi_join(df.select(F.col(id_col).alias("id"), squeezed(text_col).alias("squeezed")), suspects.select("id"), "id")
-    same = texts.groupBy(F.unhex(F.sha2("squeezed", 256)).alias("sha"), "squeezed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # A filter of bounded size lets the suspects' texts through, and few others, before anything is shuffled.
+    texts = df.select(squeezed(text_col).alias("squeezed")).withColumn("sha", F.unhex(F.sha2("squeezed", 256)))
+    same = filtered(texts, suspects.select("sha").distinct(), "sha").groupBy("sha", "squeezed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     clash = F.raise_error(F.lit("two texts with one SHA-256"))
     sure = same.groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).select("sha", F.when(F.col("texts") > 1, clash).otherwise(F.col("n")).cast("long").alias("group_size"))
     order = F.struct((-F.col("points")).alias("p"), "id", "src", "row")
