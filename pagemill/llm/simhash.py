@@ -85,7 +85,8 @@ def near_links(distinct: DataFrame, distance: int = 3, hot_rows: int = 2048) ->
 def _matched(index: DataFrame, probes: DataFrame, distance: int) -> DataFrame:
     near = (F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= distance) & ((F.col("flip") != 0) | (F.col("print") < F.col("other")))
     there = index.withColumnsRenamed({"seg": "_seg", "key": "_key"})
-    met = there.join(probes, (F.col("_seg") == F.col("seg")) & (F.col("_key") == F.col("key")) & near)
+    # Merged, never broadcast: Spark's guess of a side's size does not see that its rows were multiplied.
+    met = there.hint("merge").join(probes.hint("merge"), (F.col("_seg") == F.col("seg")) & (F.col("_key") == F.col("key")) & near)
     return met.select(F.least("print", "other").alias("a"), F.greatest("print", "other").alias("b"))
 
 
