@@ -64,6 +64,12 @@ class _Shapes(dict):
 _shapes = _Shapes()
 
 
+def _freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, and an empty cache after the last: a worker that goes on to other work keeps no words."""
+    yield from batches
+    _shapes.clear()
+
+
 def shapes_of(word: str) -> tuple[str, ...]:
     """A word with letters and digits folded, in pieces of 8 signs: ``Then,`` is ``a,``, ``THEN!!`` is ``A!!``."""
     return _shapes[word]
@@ -177,11 +183,11 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = source.schema["id"].dataType.simpleString()
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in _freed(slices(batches)):
             yield pa.RecordBatch.from_arrays([pa.array([fired(t) for t in batch.column("text").to_pylist()], pa.int32())], ["fired"])
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in _freed(slices(batches)):
             read = [Reading(t) for t in batch.column("text").to_pylist()]
             columns = [batch.column("pick"), pa.array([r.fired() for r in read], pa.int32()), pa.array([r.features().tobytes() for r in read], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["pick", "fired", "x"])
@@ -197,7 +203,7 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weights, base = logistic(x, 1 - _posterior(bits, share, bad, good))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in _freed(slices(batches)):
             read = [Reading(t) for t in batch.column("text").to_pylist()]
             sets = np.array([r.fired() for r in read], np.int64)
             weak = _posterior((sets[:, None] >> np.arange(len(LABELLERS))) & 1, share, bad, good)
