@@ -95,11 +95,13 @@ class Words(dict):
         whole = [t for t in texts if self._other.search(t)]
         by_library = dict(zip(whole, self._library_ids(whole)))
         cut = [None if t in by_library else self._cut(t.lower()) for t in texts]
-        new = list(set(chain.from_iterable(c for c in cut if c)).difference(self, self._old))
+        met = set(chain.from_iterable(c for c in cut if c))
+        # Looked up one by one: a set's difference from these would go through all words kept, for every slice.
+        new = [w for w in met if w not in self and w not in self._old]
         if len(self) + len(new) > _KEPT_WORDS:
             self._old = dict(self)
             self.clear()
-            new = list(set(chain.from_iterable(c for c in cut if c)).difference(self._old))
+            new = [w for w in met if w not in self._old]
         self.update(zip(new, self._word_ids(new)))
         out = [by_library[t] if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]
         for word in new:
