@@ -17,6 +17,7 @@ import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ _FIRST = 8
 _NONE, _LETTERS, _NUMBERS, _OTHERS, _SPACING, _JOINING, _ONE_MORE, _TWO_MORE = range(8)
 _CACHE = 1 << 18
 _BLOCK = 256
+_BYTES = [bytes([i]) for i in range(256)]
 
 
 @functools.cache
@@ -137,7 +139,7 @@ class ByteBpe:
                 self.known.clear()
             raw = piece.encode()
             whole = self.ranks.get(raw)
-            parts = [raw] if whole is not None else merge([raw[i:i + 1] for i in range(len(raw))], self.ranks.get)
+            parts = [raw] if whole is not None else merge(list(map(_BYTES.__getitem__, raw)), self.ranks.get)
             ids = tuple(self.ranks[p] for p in parts)
             if len(piece) > 256:  # long pieces seldom come back
                 return ids
@@ -158,9 +160,9 @@ class ByteBpe:
                 continue
             own = starts[cuts[k]:cuts[k + 1]] - firsts[k]
             edges = [*own.tolist(), len(text)]
-            pieces = [self.piece(text[a:b]) for a, b in zip(edges, edges[1:])]
-            ids = np.array([i for p in pieces for i in p], "<u4")
-            yield Encoded(ids, own, np.cumsum([0, *map(len, pieces)]))
+            known = self.known
+            pieces = [known.get(piece) or self.piece(piece) for piece in [text[a:b] for a, b in zip(edges, edges[1:])]]
+            yield Encoded(np.fromiter(chain.from_iterable(pieces), "<u4"), own, np.cumsum([0, *map(len, pieces)]))
             k += 1
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -4,6 +4,23 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from math import inf
+
+# Up to so many symbols the least rank is sought in a list, which is quicker than a heap.
+_SHORT = 48
+
+
+def _merge_short(symbols: list, rank: Callable) -> list:
+    ranks = [inf if (r := rank(a + b)) is None else r for a, b in zip(symbols, symbols[1:])]
+    while ranks and (least := min(ranks)) != inf:
+        i = ranks.index(least)
+        symbols[i] += symbols.pop(i + 1)
+        del ranks[i]
+        if i < len(ranks):
+            ranks[i] = inf if (r := rank(symbols[i] + symbols[i + 1])) is None else r
+        if i:
+            ranks[i - 1] = inf if (r := rank(symbols[i - 1] + symbols[i])) is None else r
+    return symbols
 
 
 def merge(symbols: list, rank: Callable) -> list:
@@ -14,6 +31,8 @@ def merge(symbols: list, rank: Callable) -> list:
     """
     symbols = list(symbols)
     n = len(symbols)
+    if n <= _SHORT:
+        return _merge_short(symbols, rank)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i, symbols[i] + symbols[i + 1]) for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
     heapq.heapify(heap)
