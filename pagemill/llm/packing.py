@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagemill.llm.common import slices, text_of
+from pagemill.llm.common import slices, takes_over, text_of
 from pagemill.session import written
 
 _PACKED = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long, part long, round int, bin int, offset long, bins int, bound int, room long, last boolean"
@@ -122,6 +122,7 @@ def _words(path: str) -> Words:
 def pieces(df: DataFrame, path: str, size: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's ids, ``end_id`` last, cut into pieces of ``size``: ``doc_id, piece, start, length, ids_crc32``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("packing", _words.cache_clear)
         own = _words(path)
         for batch in slices(batches, limit=1 << 20):
             made = []

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import semi_join, slices, text_of
+from pagemill.llm.common import semi_join, slices, takes_over, text_of
 
 DIM = 1 << 10
 _WINDOW = 128
@@ -66,6 +66,7 @@ _shapes = _Shapes()
 
 def _freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``batches``, and an empty cache after the last: a worker that goes on to other work keeps no words."""
+    takes_over("quality", lambda: (_odd.cache_clear(), bucket.cache_clear()))
     yield from batches
     _shapes.clear()
 

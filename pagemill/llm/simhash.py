@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import slices, text_of
+from pagemill.llm.common import slices, takes_over, text_of
 from pagemill.llm.components import components
 from pagemill.session import written
 
@@ -51,6 +51,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id`` and ``print`` (signed 64-bit) for each row."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_over("simhash")
         for batch in slices(batches):
             made = [fingerprint(t.encode(), words, seed) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.int64())], ["id", "print"])
