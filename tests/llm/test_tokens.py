@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 import tiktoken
 
-from pagemill.llm import bpe, token_counts
+from pagemill.llm import bpe, common, merges, token_counts
 
 RANKS, MODEL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 ALPHABET = "ab'stlrevmd  \n\t.,!1é２ 　\x1c\x85▁中😀<>/S\x00"
@@ -45,3 +45,24 @@ def test_tables(spark):
     assert [bytes(r.text_bytes) for r in bpe.decode(bpe.encode(rows, RANKS), RANKS).filter("doc_id = 2").collect()] == [b"it's"] * 2
     assert sorted((r.doc_id or 0, r.n_bytes, r.over_limit) for r in token_counts.token_counts(rows, MODEL).collect()) == [(0, 0, False), (1, 0, False), (2, 4, False), (2, 4, False)]
     assert bpe.coding_digest(rows.limit(0), RANKS).count() == token_counts.token_counts(rows.limit(0), MODEL).count() == 0
+
+
+def test_short_pieces_merge_as_a_heap_would(monkeypatch):
+    rng = random.Random(8)
+    cases = [([rng.choice("ab") for _ in range(rng.randrange(1, 40))], {"".join(rng.choices("ab", k=rng.randrange(2, 6))): rng.randrange(20) for _ in range(25)}) for _ in range(400)]
+    short = [merges.merge(s, ranks.get) for s, ranks in cases]
+    assert short == [merges._merge_short(list(s), ranks.get) for s, ranks in cases]
+    monkeypatch.setattr(merges, "_SHORT", 0)
+    assert short == [merges.merge(s, ranks.get) for s, ranks in cases]
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
+    monkeypatch.setattr(common, "_kept_by", {})
+    freed = []
+    common.takes_over("a", lambda: freed.append("a"))
+    common.takes_over("a", lambda: freed.append("a"))
+    assert not freed
+    common.takes_over("b")
+    assert freed == ["a"]
+    common.takes_over("a")
+    assert freed == ["a"]

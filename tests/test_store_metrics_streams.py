@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import dedup as D
 from pagemill.operators import metrics
 from pagemill.operators.extract import extract_pages
+from pagemill.registry import metric_queries
 from pagemill.schemas import METRIC_POINTS, PAGES
 from pagemill.sources import store
 from pagemill.sources.tables import events_by_kind, read_logs, read_pages, seed_urls, without_noise, write_json
@@ -199,3 +200,26 @@ def test_streamed_progress_equals_batch(spark, tmp_path, monkeypatch):
     assert len(spark.read.parquet(out).select("batch_id").distinct().collect()) >= 3
     so_far = [r for r in rows if r[0] < streamed[7][0] + datetime.timedelta(seconds=30)]
     assert streamed[7][1:3] == (len(so_far), sum(r[1] == "error" for r in so_far))
+
+
+def test_a_table_streams_as_one_file_and_as_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"http://h/{i}", "<title>t</title>") for i in range(9)], PAGES)
+    rows.repartition(3).write.parquet(str(tmp_path / "folder/pages.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file/pages.parquet")
+    for kind in ("folder", "file"):
+        got = metric_queries.stream_ingest(spark, str(tmp_path / kind))
+        assert sorted((r.page_id, r.title) for r in got.collect()) == [(i, "t") for i in range(9)]
+
+
+def test_streamed_batches_arrive_as_many_files(spark, tmp_path, monkeypatch):
+    """One file for a batch is read, and its pages are extracted, by one task."""
+    monkeypatch.setattr(metric_queries, "work_folder", lambda spark, name: str(tmp_path / name))
+    rows = [(i, f"http://h/{i}", f"<article>{'same words' if i % 4 == 0 else f'alpha{i}alpha beta{i}beta'}</article>") for i in range(240)]
+    spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(str(tmp_path / "in/pages.parquet"))
+    kept = {r.id for r in metric_queries.stream_dedup(spark, str(tmp_path / "in")).collect()}
+    records = extract_pages(spark.createDataFrame(rows, PAGES)).withColumnRenamed("page_id", "id")
+    assert kept == {r.id for r in D.greedy_dedup(D.with_keys(records), "id").filter("kept").collect()}
+    assert len(list((tmp_path / "page-files").glob("*.parquet"))) >= 3 * min(spark.sparkContext.defaultParallelism, 4)
+    assert spark.read.parquet(str(tmp_path / "kept-pages")).select("batch_id").distinct().count() == 3

@@ -1,6 +1,7 @@
 """Text columns against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.functions.values import EMAIL_PATTERN, STOP_WORDS
+from pagemill.operators.dedup import with_keys
 
 SAMPLES = [
     "", " ", "\xa0 a b\x1cc\x85d\n", "Mail me: First.Last+x@Mail-Host.co.uk, or é@x.org or foo@x.o", "The the THE cat sat sat",
@@ -74,3 +76,18 @@ def test_hostile_charsets_give_null(spark):
     df = spark.createDataFrame([(bytearray(b"abc"), c) for c in ("undefined", "x\0y", "idna", "hex", "no-such")], "b binary, c string")
     got = [r.t for r in df.select(T.decode_body(F.col("b"), F.col("c")).alias("t"), "c").collect() if r.c != "idna"]
     assert got == [None] * 4
+
+
+def test_white_space_collapses_and_collapsed_text_is_left(spark):
+    rng = random.Random(5)
+    signs = "ab  \t\n\x0b\x1c\x1f\x85\xa0   　"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(500)]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", T.collapse_ws(F.col("x")).alias("c"))
+    rows = rows.withColumn("left", F.regexp_count("c", F.lit(T.RUNS))).collect()
+    assert all(r.c == " ".join(r.x.split()) and r.left == 0 for r in rows)
+
+
+def test_content_is_normalised_once_for_all_keys(spark):
+    keyed = with_keys(spark.createDataFrame([(1, "http://h/a", "T", "Some Words")], "id long, url string, title string, content string"))
+    plan = keyed.select("content_key", "fuzzy_key")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(content") == 1
