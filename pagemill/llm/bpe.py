@@ -17,7 +17,6 @@ import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import slices, text_of
-from pagemill.llm.merges import merge
+from pagemill.llm.merges import Pairs, merge
 
 # Unicode white space, and the endings that an apostrophe takes with it.
 _SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -39,6 +38,7 @@ _FIRST = 8
 _NONE, _LETTERS, _NUMBERS, _OTHERS, _SPACING, _JOINING, _ONE_MORE, _TWO_MORE = range(8)
 _CACHE = 1 << 18
 _BLOCK = 256
+_TOGETHER = 48  # pieces of more bytes are merged one by one, with a heap
 _BYTES = [bytes([i]) for i in range(256)]
 
 
@@ -125,26 +125,53 @@ class Encoded:
 
 
 class ByteBpe:
-    """Encodes and decodes by a rank file, one piece after the other."""
+    """Encodes and decodes by a rank file.  The pieces of many texts that were not met before are merged together."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        if piece not in self.known:
-            if len(self.known) >= _CACHE:
-                self.known.clear()
+        self._pairs = Pairs(self.ranks)
+        self._single = np.array([self.ranks[b] for b in _BYTES], np.int64)
+        # Ids of pieces, as little-endian bytes, in two generations: what is used again moves to the young one.
+        self.known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _coded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece and its ids."""
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
             raw = piece.encode()
             whole = self.ranks.get(raw)
-            parts = [raw] if whole is not None else merge(list(map(_BYTES.__getitem__, raw)), self.ranks.get)
-            ids = tuple(self.ranks[p] for p in parts)
+            if whole is not None:
+                yield piece, whole.to_bytes(4, "little")
+            elif len(raw) > _TOGETHER:
+                yield piece, np.array([self.ranks[p] for p in merge(list(map(_BYTES.__getitem__, raw)), self.ranks.get)], "<u4").tobytes()
+            else:
+                by_size.setdefault(len(raw), []).append((piece, raw))
+        for size, group in by_size.items():
+            rows = self._single[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)].reshape(-1, size)
+            ids, sizes = self._pairs.merge(rows)
+            blob, ends = ids.astype("<u4").tobytes(), (4 * sizes).tolist()
+            for k, (piece, _) in enumerate(group):
+                yield piece, blob[4 * size * k:4 * size * k + ends[k]]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        found = list(map(self.known.get, pieces))
+        new = {piece for piece, ids in zip(pieces, found) if ids is None}
+        if not new:
+            return found
+        if len(self.known) + len(new) > _CACHE:
+            self._old, self.known, new = self.known, {}, set(pieces)
+        known, old = self.known, self._old
+        known.update((piece, old[piece]) for piece in new if piece in old)
+        known.update(self._coded([piece for piece in new if piece not in known]))
+        found = list(map(known.__getitem__, pieces))
+        for piece in new:
             if len(piece) > 256:  # long pieces seldom come back
-                return ids
-            self.known[piece] = ids
-        return self.known[piece]
+                del known[piece]
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[Encoded]:
         filled = [t for t in texts if t]
@@ -152,17 +179,18 @@ class ByteBpe:
         firsts = np.cumsum(sizes) - sizes
         joined = "".join(filled)
         starts = piece_starts(np.frombuffer(joined.encode("utf-32-le"), "<u4"), firsts) if filled else np.zeros(0, np.int64)
-        cuts = np.searchsorted(starts, np.append(firsts, len(joined)))
+        edges = [*starts.tolist(), len(joined)]
+        coded = self._ids([joined[a:b] for a, b in zip(edges, edges[1:])])
+        ids = np.frombuffer(b"".join(coded), "<u4")
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)])
+        cuts = np.searchsorted(starts, np.append(firsts, len(joined))).tolist()
         k = 0
         for text in texts:
             if not text:
                 yield Encoded(np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(1, np.int64))
                 continue
-            own = starts[cuts[k]:cuts[k + 1]] - firsts[k]
-            edges = [*own.tolist(), len(text)]
-            known = self.known
-            pieces = [known.get(piece) or self.piece(piece) for piece in [text[a:b] for a, b in zip(edges, edges[1:])]]
-            yield Encoded(np.fromiter(chain.from_iterable(pieces), "<u4"), own, np.cumsum([0, *map(len, pieces)]))
+            a, b = cuts[k], cuts[k + 1]
+            yield Encoded(ids[at[a]:at[b]], starts[a:b] - firsts[k], at[a:b + 1] - at[a])
             k += 1
 
     def decode(self, ids: np.ndarray) -> bytes:

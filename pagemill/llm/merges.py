@@ -6,6 +6,8 @@ import heapq
 from collections.abc import Callable
 from math import inf
 
+import numpy as np
+
 # Up to so many symbols the least rank is sought in a list, which is quicker than a heap.
 _SHORT = 48
 
@@ -50,3 +52,55 @@ def merge(symbols: list, rank: Callable) -> list:
         if (h := before[i]) >= 0 and (r := rank(symbols[h] + joined)) is not None:
             heapq.heappush(heap, (r, h, symbols[h] + joined))
     return [s for s in symbols if s is not None]
+
+
+class Pairs:
+    """Ranks of pairs of symbols, for symbols that are numbers themselves: a symbol's number is the rank that its pair had."""
+
+    NONE = np.int64(1 << 62)
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        made = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left = ranks.get(token[:k])
+                if left is not None and (right := ranks.get(token[k:])) is not None:
+                    made[left << 31 | right] = rank
+        self._keys = np.array(sorted(made), np.int64)
+        self._ranks = np.array([made[k] for k in self._keys.tolist()] + [self.NONE], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``NONE`` where it has none."""
+        wanted = left << 31 | right
+        at = np.searchsorted(self._keys, wanted)
+        there = at < len(self._keys)
+        there[there] = self._keys[at[there]] == wanted[there]
+        return self._ranks[np.where(there, at, len(self._keys))]
+
+    def merge(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge as ``merge`` does, in all rows (of one length) at once: the symbols left, and how many a row has."""
+        out, sizes, open_rows = rows.copy(), np.full(len(rows), rows.shape[1]), np.arange(len(rows))
+        ranks = self.rank(rows[:, :-1], rows[:, 1:])
+        while rows.shape[1] > 1 and len(rows):
+            least = ranks.argmin(1)  # the leftmost of equals
+            found = ranks[np.arange(len(rows)), least]
+            ended = found == self.NONE
+            if ended.any():
+                out[open_rows[ended], :rows.shape[1]], sizes[open_rows[ended]] = rows[ended], rows.shape[1]
+                rows, ranks, least, found, open_rows = (x[~ended] for x in (rows, ranks, least, found, open_rows))
+            n, width = rows.shape
+            each = np.arange(n)
+            rows[each, least] = found
+            stays = np.ones((n, width), bool)
+            stays[each, least + 1] = False
+            rows = rows[stays].reshape(n, width - 1)
+            # The pair merged goes; its neighbours are pairs with the new symbol.
+            stays = np.ones((n, width - 1), bool)
+            stays[each, least] = False
+            ranks = ranks[stays].reshape(n, width - 2)
+            after = least < width - 2
+            ranks[each[after], least[after]] = self.rank(found[after], rows[each[after], least[after] + 1])
+            before = least > 0
+            ranks[each[before], least[before] - 1] = self.rank(rows[each[before], least[before] - 1], found[before])
+        out[open_rows, :rows.shape[1]], sizes[open_rows] = rows, rows.shape[1]
+        return out, sizes

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -66,3 +67,25 @@ def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
     assert freed == ["a"]
     common.takes_over("a")
     assert freed == ["a"]
+
+
+def test_pieces_merged_together_are_as_each_alone():
+    rng = random.Random(9)
+    ranks = {bytes([b]): b for b in range(256)}
+    for _ in range(300):
+        a, b = rng.choice([*ranks][97:]), rng.choice([*ranks][97:100])
+        ranks.setdefault(a + b, len(ranks))
+    pairs = merges.Pairs(ranks)
+    for size in (1, 2, 3, 7, 30):
+        raw = [bytes(rng.choices(b"abc~", k=size)) for _ in range(200)]
+        ids, sizes = pairs.merge(np.frombuffer(b"".join(raw), np.uint8).astype(np.int64).reshape(-1, size))
+        alone = [[ranks[s] for s in merges.merge([bytes([b]) for b in r], ranks.get)] for r in raw]
+        assert [row[:n] for row, n in zip(ids.tolist(), sizes.tolist())] == alone
+
+
+def test_pieces_are_kept_in_two_generations(texts, monkeypatch):
+    want = [e.ids.tolist() for e in bpe.ByteBpe(RANKS).encode(texts)]
+    monkeypatch.setattr(bpe, "_CACHE", 50)
+    own = bpe.ByteBpe(RANKS)
+    assert [e.ids.tolist() for t in texts for e in own.encode([t])] == want
+    assert 0 < len(own.known) <= 50 and 0 < len(own._old) <= 50
