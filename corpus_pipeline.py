@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, packing, pii, quality, simhash
-from pagemill.llm.common import anti_join
+from pagemill.llm.common import anti_join, small_batches
 from pagemill.session import written
 
 ORACLE_SQL = None  # a fitted classifier, fingerprints and packing are no SQL; tests hold the stages against brute force
@@ -53,7 +53,8 @@ def _without(numbered: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality scorer keeps (operator 7), each row by its own text."""
     numbered, row = _numbered(docs)
-    return _without(numbered, row, quality.quality_scores(numbered, row_col=row).filter("NOT kept"))
+    with small_batches(spark):
+        return _without(numbered, row, quality.quality_scores(numbered, row_col=row).filter("NOT kept"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +70,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     numbered, row = _numbered(docs)
     key = _free(numbered, "_key")
     keyed = numbered.select("text", F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", row).alias(key))
-    groups = simhash.near_duplicates(keyed, key)
-    return _without(numbered, row, groups.filter(F.col(key)[row] != F.col("component_id")[row]).select(F.col(key)[row].alias(row)))
+    with small_batches(spark):
+        groups = simhash.near_duplicates(keyed, key)
+        return _without(numbered, row, groups.filter(F.col(key)[row] != F.col("component_id")[row]).select(F.col(key)[row].alias(row)))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +83,8 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 4096 tokens (operator 4)."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    with small_batches(spark):
+        return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -38,7 +38,8 @@ _PACKED = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, ro
 # characters and the dotted capital I are left to the library.
 _PLAIN = [*range(9, 14), *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x180), *range(0x2010, 0x2028), 0x20AC]
 _BLANK = (*range(9, 14), 0x20, 0xA0)
-_KEPT_WORDS, _LONGEST_KEPT = 1 << 19, 64
+_KEPT_WORDS, _LONGEST_KEPT = 1 << 18, 64
+_MARKS = 1 << 22
 
 
 def _class(kind: str) -> str:
@@ -54,9 +55,10 @@ class Words(dict):
 
     The vocabulary cuts lower-cased text into words, each encoded alone.  Texts
     of plain characters are cut here; all others, and those that hold a
-    special string, go to the library whole.  Words are kept in two
-    generations: what is used again moves to the young one, and when that is
-    full the old one goes.
+    special string, go to the library whole.  A word is kept from the second
+    slice on that has it, as most words never come again: the first leaves a
+    mark at its hash.  Words are kept in two generations: what is used again
+    moves to the young one, and when that is full the old one goes.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,6 +66,7 @@ class Words(dict):
         self._library.no_truncation()
         self._library.no_padding()
         self._old: dict[str, bytes] = {}
+        self._marks = bytearray(_MARKS)
         vocabulary = self._library.get_vocab()
         self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends_word[[i for symbol, i in vocabulary.items() if symbol.endswith("</w>")]] = True
@@ -99,13 +102,16 @@ class Words(dict):
         # Looked up one by one: a set's difference from these would go through all words kept, for every slice.
         new = [w for w in met if w not in self and w not in self._old]
         if len(self) + len(new) > _KEPT_WORDS:
-            self._old = dict(self)
+            self._old, self._marks = dict(self), bytearray(_MARKS)
             self.clear()
             new = [w for w in met if w not in self._old]
         self.update(zip(new, self._word_ids(new)))
         out = [by_library[t] if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]
+        marks = self._marks
         for word in new:
-            if len(word) > _LONGEST_KEPT:
+            mark = hash(word) % _MARKS
+            if len(word) > _LONGEST_KEPT or not marks[mark]:
+                marks[mark] = 1
                 del self[word]
         return out
 

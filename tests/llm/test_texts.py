@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagemill.llm import exact_dedup, packing, pii, quality, sharding, simhash, toxicity
+from pagemill.llm import common, exact_dedup, packing, pii, quality, sharding, simhash, toxicity
 from pagemill.llm.queries import LLM_QUERIES
 
 
@@ -324,3 +325,47 @@ def test_words_are_coded_like_the_library(spark):
     for c in packing._PLAIN:
         for text in (f"a{chr(c)}b", f"{chr(c)}'s {chr(c)}"):
             assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_small_batches_leave_the_session_as_it_was(spark):
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 1000) AS text")
+
+    def most():
+        return max(r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect())
+
+    assert most() == 4000
+    with common.small_batches(spark, 1 << 18):
+        assert most() < 1000
+    assert spark.conf.get(key, None) is None and most() == 4000
+    spark.conf.set(key, "8m")
+    try:
+        with common.small_batches(spark, 1 << 18):
+            assert most() == 4000
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_words_are_kept_once_they_come_again(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "_KEPT_WORDS", 40)
+    own = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    first = own.coded([" ".join(f"w{'abcdefghij'[k % 10]}o{'abc'[k // 10]}" for k in range(30))])
+    assert len(own) == 0
+    assert own.coded([" ".join(f"w{'abcdefghij'[k % 10]}o{'abc'[k // 10]}" for k in range(30))]) == first and len(own) == 30
+    own.coded(["some other words than these, in which few come back"] * 2)
+    assert len(own) <= 40 and own.coded(["waoa wboa"]) == own.coded(["waoa wboa"])
+
+
+def test_stages_hand_texts_over_in_small_batches(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, f"The {k} quick foxes, and so on. " * 40, "en", "web", 1280) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs, seen = spark.read.parquet(str(tmp_path / "docs")), []
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for module in (simhash, packing):
+        monkeypatch.setattr(module, "written", lambda d, n, original=module.written: seen.append(spark.conf.get(limit, None)) or original(d, n))
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() and corpus_pipeline.pack(spark, docs, "").count() == 60
+    assert len(seen) > 1 and None not in seen and spark.conf.get(limit, None) is None
