@@ -104,3 +104,38 @@ class Pairs:
             ranks[each[before], least[before] - 1] = self.rank(rows[each[before], least[before] - 1], found[before])
         out[open_rows, :rows.shape[1]], sizes[open_rows] = rows, rows.shape[1]
         return out, sizes
+
+
+class HashedPairs(Pairs):
+    """``Pairs`` of a list of merges, whose symbols are numbered in the list's order.
+
+    A pair is looked up by hash; pairs whose place is taken by another go to the
+    next, smaller table.
+    """
+
+    def __init__(self, made: dict[tuple[int, int], int]) -> None:
+        if list(made.values()) != sorted(set(made.values())):
+            raise ValueError("a merge's symbol must have a larger number than those of the merges before it")
+        keys, numbers = np.array([a << 31 | b for a, b in made], np.int64), np.array(list(made.values()), np.int64)
+        self._tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        while len(keys):
+            size = 1 << (len(keys).bit_length() + 3)
+            places, shift = np.full(size, -1, np.int64), np.uint64(65 - size.bit_length())
+            at = self._place(keys, shift)
+            places[at] = keys
+            held = places[at] == keys
+            ranks = np.full(size, self.NONE, np.int64)
+            ranks[at[held]] = numbers[held]
+            self._tables.append((shift, places, ranks))
+            keys, numbers = keys[~held], numbers[~held]
+
+    @staticmethod
+    def _place(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift).view(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted, found = left << 31 | right, self.NONE
+        for shift, places, ranks in self._tables:
+            at = self._place(wanted, shift)
+            found = np.where(places[at] == wanted, ranks[at], found)
+        return np.broadcast_to(found, wanted.shape)

@@ -12,6 +12,7 @@ partition, or after a fixed number of rounds.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import os
 import re
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagemill.llm.common import slices, takes_over, text_of
+from pagemill.llm.merges import HashedPairs
 from pagemill.session import written
 
 _PACKED = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long, part long, round int, bin int, offset long, bins int, bound int, room long, last boolean"
@@ -40,80 +42,150 @@ _PLAIN = [*range(9, 14), *range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131,
 _BLANK = (*range(9, 14), 0x20, 0xA0)
 _KEPT_WORDS, _LONGEST_KEPT = 1 << 18, 64
 _MARKS = 1 << 22
+# Words of up to so many bytes are merged together, filled up with a symbol that no pair has; longer ones go to the library.
+_WIDTHS, _NO_SYMBOL = (4, 6, 8, 10, 12, 16, 24, 48), (1 << 31) - 1
+_END = "</w>"
 
 
-def _class(kind: str) -> str:
-    """The plain characters that are letters, numbers (``L``, ``N``) or neither nor white space, as a regular expression's class."""
-    def kind_of(c: int) -> str:
-        return "space" if c in _BLANK else unicodedata.category(chr(c))[0] if unicodedata.category(chr(c))[0] in "LN" else "other"
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself, if it is printed, or else the next free one from U+0100 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(0x100, 0x200))
+    return [chr(b if b in printed else next(free)) for b in range(256)]
 
-    return "[" + "".join(re.escape(chr(c)) for c in _PLAIN if kind_of(c) == kind) + "]"
+
+_SPACE, _LETTER, _NUMBER, _SIGN, _ODD = range(5)
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 class Words(dict):
-    """Token ids of words, as little-endian bytes, made by the library and kept, as most words of a text came before.
+    """Token ids of words, as little-endian bytes, made once and kept, as most words of a text came before.
 
     The vocabulary cuts lower-cased text into words, each encoded alone.  Texts
-    of plain characters are cut here; all others, and those that hold a
-    special string, go to the library whole.  A word is kept from the second
-    slice on that has it, as most words never come again: the first leaves a
-    mark at its hash.  Words are kept in two generations: what is used again
-    moves to the young one, and when that is full the old one goes.
+    of plain characters are cut here, all of a slice at once, and each different
+    word is looked up once.  The bytes of new words are merged by the library's
+    own list of merges, many words at once.  All other texts, and those that
+    hold a special string, go to the library whole, as do very long words.  A
+    word is kept from the second slice on that has it, as most words never come
+    again: the first leaves a mark at its hash.  Words are kept in two
+    generations: what is used again moves to the young one, and when that is
+    full the old one goes.
     """
 
     def __init__(self, path: str) -> None:
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
+        model = json.loads(self._library.to_str())["model"]
+        number = model["vocab"]
+        self._pairs = HashedPairs({(number[a], number[b]): number[a + b] for a, b in model["merges"]})
+        signs = _byte_signs()
+        self._within = np.array([number[sign] for sign in signs], np.int64)
+        self._last = np.array([number[sign + _END] for sign in signs], np.int64)
         self._old: dict[str, bytes] = {}
         self._marks = bytearray(_MARKS)
-        vocabulary = self._library.get_vocab()
-        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends_word[[i for symbol, i in vocabulary.items() if symbol.endswith("</w>")]] = True
         plain = "".join(re.escape(chr(c)) for c in _PLAIN)
-        self._other = re.compile(f"[^{plain}]|<\\|")
-        self._cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{_class('L')}+|{_class('N')}|{_class('other')}+").findall
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = found = self._old[word]
-        return found
+        self._other = re.compile(f"[^{plain}]|<\\|").search
+        # By code point: kind, lower case and bytes; the last stands for all above.
+        size = max(_PLAIN) + 2
+        self._kinds = np.full(size, _ODD, np.uint8)
+        self._lower = np.arange(size, dtype="<u4")
+        for c in _PLAIN:
+            self._kinds[c] = _SPACE if c in _BLANK else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _SIGN)
+            self._lower[c] = ord(chr(c).lower())
+        self._widths = np.array([1] * 0x80 + [2] * 0x780 + [3] * (size - 0x800), np.int32)
 
     def _library_ids(self, texts: list[str]) -> Iterator[bytes]:
         for coded in self._library.encode_batch_fast(texts, add_special_tokens=False):  # leaves out the places in the text
             yield np.array(coded.ids, "<u4").tobytes()
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, all coded as one text: the last symbol of a word is one that ends words."""
-        if not words:
-            return []
-        ids = np.array(self._library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = 4 * (np.flatnonzero(self._ends_word[ids]) + 1)
-        if len(ends) != len(words):
-            return list(self._library_ids(words))
-        blob, ends = ids.tobytes(), ends.tolist()
-        return [blob[a:b] for a, b in zip([0, *ends], ends)]
+    def _word_ids(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Plain words, each with its ids: those of about one length are merged together."""
+        raws = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        long = np.flatnonzero(sizes > _WIDTHS[-1])
+        yield from zip([words[k] for k in long], self._library_ids([words[k] for k in long]))
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer(b"".join(raws), np.uint8)
+        symbols = self._within[raw]
+        symbols[ends - 1] = self._last[raw[ends - 1]]
+        symbols = np.append(symbols, np.full(_WIDTHS[-1], _NO_SYMBOL))
+        for narrower, width in zip((0, *_WIDTHS), _WIDTHS):
+            group = np.flatnonzero((sizes > narrower) & (sizes <= width))
+            rows = symbols[(ends - sizes)[group, None] + np.arange(width)]
+            spare = width - sizes[group]
+            rows[np.arange(width) >= sizes[group, None]] = _NO_SYMBOL
+            ids, left = self._pairs.merge(rows)
+            blob = ids.astype("<u4").tobytes()
+            for k, a, size in zip(group.tolist(), range(0, len(blob), 4 * width), (4 * (left - spare)).tolist()):
+                yield words[k], blob[a:a + size]
+
+    def _keep(self, made: dict[str, bytes], met: dict[str, bytes]) -> None:
+        """Keep the words that an earlier slice had as well, ``met`` among them."""
+        marks, again = self._marks, list(met)
+        for word in made:
+            mark = hash(word) % _MARKS
+            if not marks[mark]:
+                marks[mark] = 1
+            elif len(word) <= _LONGEST_KEPT:
+                again.append(word)
+        if len(self) + len(again) > _KEPT_WORDS:
+            self._old, self._marks = dict(self), bytearray(_MARKS)
+            self.clear()
+        self.update((word, met.get(word) or made[word]) for word in again)
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words, all different."""
+        found = list(map(self.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        met = {w: ids for w in new if (ids := self._old.get(w)) is not None}
+        made = dict(self._word_ids([w for w in new if w not in met]))
+        self._keep(made, met)
+        made |= met
+        return [made[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def _edges(self, points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Where words and runs of blanks begin in lower-cased code points that end with a blank, and the end."""
+        before = np.append(np.uint8(_SPACE), kinds[:-1])
+        edges = (kinds != before) | (kinds == _NUMBER)
+        edges[0] = True
+        quotes = np.flatnonzero((points == ord("'")) & (before != _SIGN))
+        far = np.append(points, [0, 0])
+        for ending in _ENDINGS:
+            hit = quotes[far[quotes + 1] == ord(ending[0])]
+            if len(ending) == 2:
+                hit = hit[far[hit + 2] == ord(ending[1])]
+            edges[hit + 1] = False
+            edges[hit + 1 + len(ending)] = True
+        return np.append(np.flatnonzero(edges), len(points))
 
     def coded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        whole = [t for t in texts if self._other.search(t)]
-        by_library = dict(zip(whole, self._library_ids(whole)))
-        cut = [None if t in by_library else self._cut(t.lower()) for t in texts]
-        met = set(chain.from_iterable(c for c in cut if c))
-        # Looked up one by one: a set's difference from these would go through all words kept, for every slice.
-        new = [w for w in met if w not in self and w not in self._old]
-        if len(self) + len(new) > _KEPT_WORDS:
-            self._old, self._marks = dict(self), bytearray(_MARKS)
-            self.clear()
-            new = [w for w in met if w not in self._old]
-        self.update(zip(new, self._word_ids(new)))
-        out = [by_library[t] if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]
-        marks = self._marks
-        for word in new:
-            mark = hash(word) % _MARKS
-            if len(word) > _LONGEST_KEPT or not marks[mark]:
-                marks[mark] = 1
-                del self[word]
-        return out
+        if not texts:
+            return []
+        joined = "\n".join([*texts, ""])
+        points = np.minimum(np.frombuffer(joined.encode("utf-32-le"), "<u4"), len(self._kinds) - 1)
+        kinds = self._kinds[points]
+        if (kinds == _ODD).any() or "<|" in joined:
+            whole = [t for t in texts if self._other(t)]
+            by_library = dict(zip(whole, self._library_ids(whole)))
+            own = iter(self.coded([t for t in texts if t not in by_library]))
+            return [by_library[t] if t in by_library else next(own) for t in texts]
+        points = self._lower[points]
+        edges = self._edges(points, kinds)
+        places = np.append(0, np.cumsum(self._widths[points], dtype=np.int32))[edges]
+        parts = pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(points.tobytes().decode("utf-32-le").encode()))
+        parts = parts.dictionary_encode()  # each different word is looked up once
+        different = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = [w for w in different if not w.isspace()]
+        ids = dict(zip(words, self._ids_of(words)))
+        coded = pa.array([ids.get(w, b"") for w in different], pa.large_binary()).take(parts.indices)
+        _, ends, blob = coded.buffers()
+        ends = np.frombuffer(ends, np.int64)[:len(edges)]
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = ends[np.searchsorted(edges, np.append(0, text_ends))].tolist()
+        blob = memoryview(blob) if blob else b""
+        return [bytes(blob[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.coded([text])[0], "<u4").tolist()

@@ -369,3 +369,45 @@ def test_stages_hand_texts_over_in_small_batches(spark, monkeypatch, tmp_path):
         monkeypatch.setattr(module, "written", lambda d, n, original=module.written: seen.append(spark.conf.get(limit, None)) or original(d, n))
     assert corpus_pipeline.drop_near_copies(spark, docs, "").count() and corpus_pipeline.pack(spark, docs, "").count() == 60
     assert len(seen) > 1 and None not in seen and spark.conf.get(limit, None) is None
+
+
+def test_plain_words_need_no_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    library, own = Tokenizer.from_file(path), packing.Words(path)
+    own._library = None
+    texts = ["", " ", "\xa0 ", " led by blanks", "\n", "'", "''s", "don't'll've", "x'they 's't", "a1²½'re", "é'É", *(f"{chr(c)}a{chr(c)}{chr(c)}'s" for c in packing._PLAIN)]
+    texts += ["".join(rng.choices("etaoinshrdlu ÉÑß'’.,-1€\xa0", k=rng.randrange(200))) for _ in range(400)]
+    want = [c.ids for c in library.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(3):  # the third time from the words kept
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.coded(texts)] == want
+        rng.shuffle(order := list(range(len(texts))))
+        texts, want = [texts[k] for k in order], [want[k] for k in order]
+    assert own.coded([]) == [] and len(own)
+
+
+def test_pairs_found_by_hash():
+    from pagemill.llm.merges import HashedPairs
+
+    rng = np.random.default_rng(6)
+    made, symbols = {}, [(k,) for k in range(20)]
+    while len(symbols) < 3000:
+        a, b = (int(x) for x in rng.integers(len(symbols), size=2) ** 2 // len(symbols))
+        if (a, b) not in made and len(symbols[a] + symbols[b]) < 7 and symbols[a] + symbols[b] not in symbols:
+            made[a, b] = len(symbols)
+            symbols.append(symbols[a] + symbols[b])
+    pairs = HashedPairs(made)
+    rows = rng.integers(0, 20, (500, 9))
+    ids, sizes = pairs.merge(rows.copy())
+    for row, found, size in zip(rows.tolist(), ids.tolist(), sizes.tolist()):
+        while (ranked := [(made[p], k) for k, p in enumerate(zip(row, row[1:])) if p in made]):
+            number, k = min(ranked)
+            row[k:k + 2] = [number]
+        assert found[:size] == row
+    try:
+        HashedPairs({(0, 1): 5, (1, 2): 4})
+    except ValueError:
+        return
+    raise AssertionError("merges out of order were taken")
